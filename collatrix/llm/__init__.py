@@ -4,7 +4,7 @@ import importlib
 from types import ModuleType
 
 #: The modules with operators; each has QUERIES and ORACLE.
-MODULES = ("mixing", "url_filter", "token_count")
+MODULES = ("quality", "decontaminate", "toxicity", "mixing", "token_count", "url_filter")
 
 
 def query_modules() -> list[ModuleType]:
