@@ -1,0 +1,35 @@
+"""Connected components of links that may have hubs, without gathering them anywhere."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from collatrix.llm.store import materialize
+
+MAX_ROUNDS = 60
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of the links (a, b); the root is the least node of its component.
+
+    Each round takes the least label around a node, then the label of that label, so
+    paths shrink by doubling. Labels are written in each round, which cuts the
+    lineage; hubs are rows of a join that adaptive execution can split, and the
+    minimum is combined before it is shuffled.
+    """
+    both = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = materialize(both.where("node <> other").distinct(), "links")
+    labels = both.groupBy("node").agg(F.least("node", F.min("other")).alias("root"))
+    labels = materialize(labels, "labels")
+    for _ in range(MAX_ROUNDS):
+        seen = both.join(labels.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
+        better = labels.join(seen, "node", "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("near", "root")).alias("root"))
+        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        after = better.join(jump, "root", "left").select("node", "old", F.coalesce("far", "root").alias("root"))
+        after = materialize(after, "labels")
+        moved = after.where("old <> root").limit(1).count()
+        labels = after.select("node", "root")
+        if not moved:
+            return labels
+    raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
