@@ -4,7 +4,7 @@ import importlib
 from types import ModuleType
 
 #: The modules with operators; each has QUERIES and ORACLE.
-MODULES = ("quality", "decontaminate", "toxicity", "mixing", "token_count", "url_filter", "licences", "near_duplicates", "repeats")
+MODULES = ("quality", "decontaminate", "toxicity", "mixing", "token_count", "url_filter", "licences", "near_duplicates", "repeats", "lm_score")
 
 
 def query_modules() -> list[ModuleType]:
