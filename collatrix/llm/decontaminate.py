@@ -198,6 +198,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that share no window with an item."""
+    named = docs.select(F.struct("*").alias("doc"), F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash")).alias("ident"), F.col(text).alias("text"))
+    hit = decontaminate(named, items, "ident").where("n_hit > 0").select(F.col("ident").alias("one"))
+    return named.join(hit, named["ident"] == hit["one"], "left_anti").select("doc.*")
+
+
 def context_id() -> Column:
     return F.xxhash64("kind", "gram", "left", "right")
 

@@ -91,16 +91,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3
     Adds mix_pass (from 0) and mix_time. Keys must be unique; rows without a key are not mixed.
     """
     queued = queue(docs, weights, max_passes, key, text, source).where(F.col("copies") > 0)
-    total = F.col("target")
-    instances = queued.select(
-        F.col("key").alias("mix_key"),
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("mix_pass"),
-        F.col("start"),
-        F.col("size"),
-        F.col("source_size"),
-        total.alias("target"),
-    ).withColumn("mix_time", (F.col("start") + F.col("size") + F.col("mix_pass") * F.col("source_size")) / F.col("target"))
-    chosen = instances.select("mix_key", "mix_pass", "mix_time")
+    chosen = queued.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    time = (F.col("start") + F.col("size") + F.col("mix_pass") * F.col("source_size")) / F.col("target")
+    chosen = chosen.select(F.col("key").alias("mix_key"), "mix_pass", time.alias("mix_time"))
     return docs.join(chosen, docs[key] == chosen["mix_key"]).drop("mix_key").orderBy("mix_time", key)
 
 

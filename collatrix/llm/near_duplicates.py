@@ -303,6 +303,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return out.select(F.col("key").alias(key), F.col("best.key").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` with one of each class: that with the least key."""
+    named = docs.select(F.struct("*").alias("doc"), F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash")).alias("ident"), F.col(text).alias("text"))
+    kept = classes(named, "ident", "text").where("kept").select(F.col("ident").alias("one"))
+    return named.join(kept, named["ident"] == kept["one"], "left_semi").dropDuplicates(["ident"]).select("doc.*")
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
 

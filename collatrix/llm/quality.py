@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm.store import documents, materialize, read, small_batches
@@ -214,20 +214,35 @@ def threshold(scored: DataFrame, good_loss: float = GOOD_LOSS) -> float:
     return float(fine[0]) / BINS if len(fine) else 1.0
 
 
+def base_failed() -> Column:
+    """The base rules, on the column ``stats``."""
+    return (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("stats.n_words"))
+
+
+def calibrate(measured: DataFrame, labels: DataFrame, key: str = "doc_id") -> tuple[IsolationForest | None, float]:
+    """A forest of the labelled rows of ``measured`` (key, stats) that pass the base rules, and its cut-off."""
+    named = labels.withColumnRenamed(key, "key") if key != "key" else labels
+    known = labelled(measured.where(~base_failed()), named, "key")
+    forest = fit(known)
+    return (forest, threshold(with_score(known, forest))) if forest else (None, 1.0)
+
+
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its key, the base counts, base_failed, anomaly (null where the base rules decide alone) and kept."""
     measured = materialize(measure(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text"), "quality")
-    base = (F.col("stats.n_words") < MIN_WORDS) | (100 * F.col("stats.n_repeat_words") > MAX_REPEAT_PERCENT * F.col("stats.n_words"))
-    measured = measured.withColumn("base_failed", base)
-    named = labels.withColumnRenamed(key, "key") if key != "key" else labels
-    known = labelled(measured.where(~F.col("base_failed")), named, "key")
-    forest = fit(known)
-    if forest is None:
-        scored, cut = measured.withColumn("anomaly", F.lit(None).cast("double")), 1.0
-    else:
-        scored, cut = with_score(measured, forest), threshold(with_score(known, forest))
-    kept = ~F.col("base_failed") & (F.coalesce("anomaly", F.lit(0.0)) < cut)
-    return scored.select(F.col("key").alias(key), *[F.col(f"stats.{x}").alias(x) for x in BASE], "base_failed", "anomaly", kept.alias("kept"))
+    forest, cut = calibrate(measured, labels, key)
+    scored = with_score(measured, forest) if forest else measured.withColumn("anomaly", F.lit(None).cast("double"))
+    kept = ~base_failed() & (F.coalesce("anomaly", F.lit(0.0)) < cut)
+    return scored.select(F.col("key").alias(key), *[F.col(f"stats.{x}").alias(x) for x in BASE], base_failed().alias("base_failed"), "anomaly", kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps. Texts are measured twice, but never shuffled."""
+    measured = materialize(measure(docs.select(F.col(key).alias("key"), F.col(text).alias("text"))).drop("text"), "quality")
+    forest, cut = calibrate(measured, labels, key)
+    rows = measure(docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))).where(~base_failed())
+    rows = with_score(rows, forest).where(F.col("anomaly") < cut) if forest else rows
+    return rows.select("doc.*")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -367,9 +367,14 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text, spans): spans is a list of blobs of byte intervals (start, end) to remove, or null."""
+    """(doc, id, text, spans): the row of ``docs``, its key and text, and blobs of the byte intervals to remove, or null."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.col(text).alias("text"))
+    rows = docs.select(
+        F.col(key).alias("id"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"),
+        F.col(text).alias("text"),
+        F.struct(*[F.col(c) for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("doc"),
+    )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / max(PART, math.sqrt(total * 512.0))))
     long_enough = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= SPAN)).select(F.col("id").cast("long").alias("id"), "text_hash", "text")
@@ -377,10 +382,11 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     settled = dealt.groupBy("part").applyInPandas(settle_part, DEALT)
     states = settled.groupBy("chunk").applyInPandas(settle_chunk, "id long, text_hash long, states binary, covered binary")
     states = materialize(states, "blocks")
-    opened = rows.join(states, ["id", "text_hash"]).select("id", "text_hash", "text", "states", "covered").mapInPandas(open_blocks(parts, parts), FOUND)
+    # Both joins read the same columns of ``rows``, so that its exchange is made once and used again.
+    opened = rows.join(states, ["id", "text_hash"]).select("id", "text_hash", "text", "doc", "states", "covered").mapInPandas(open_blocks(parts, parts), FOUND)
     spans = opened.groupBy("bin").applyInPandas(settle_bin, "id long, text_hash long, spans binary")
     spans = spans.groupBy("id", "text_hash").agg(F.collect_list("spans").alias("spans"))
-    return rows.join(spans, ["id", "text_hash"], "left").select(F.col("id").alias(key), F.col("text").alias(text), "spans")
+    return rows.join(spans, ["id", "text_hash"], "left").select("doc", "id", "text", "spans")
 
 
 def remove(body: bytes, blobs: list[bytes] | None) -> tuple[np.ndarray, bytes]:
@@ -409,8 +415,24 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 out.append((len(body), len(body) - len(kept), [tuple(s) for s in spans.tolist()], kept))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "removed", "kept"])
 
-    found = with_spans(docs, key, text)
-    return found.select(key, of(F.col(text), F.col("spans")).alias("x")).select(key, "x.*")
+    found = with_spans(docs.select(key, text), key, text)
+    return found.select(F.col("id").alias(key), of(F.col("text"), F.col("spans")).alias("x")).select(key, "x.*")
+
+
+def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` without the repeated bytes; rows of which nothing stays are left out.
+
+    Characters that a cut goes through are dropped, as the text must stay UTF-8.
+    """
+
+    @F.pandas_udf("string")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, blobs in batches:
+            yield pd.Series([x if b is None else remove(_encoded(x), b)[1].decode("utf-8", "ignore") for x, b in zip(texts, blobs, strict=True)], dtype=object)
+
+    rest = with_spans(docs, key, text).select("doc", "spans", F.col("text").alias("before"), of(F.col("text"), F.col("spans")).alias("after"))
+    rest = rest.where(F.col("spans").isNull() | (F.col("after") != ""))
+    return rest.select(*[F.col("after").alias(c) if c == text else F.col(f"doc.{c}") for c in docs.columns])
 
 
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
