@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from collatrix.plans import coverage, ingest  # noqa: F401
+    from collatrix.plans import coverage, graph, groupstats, ingest, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
