@@ -18,7 +18,6 @@ every score is 0; an empty table gives an empty result; other columns are left o
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +31,7 @@ from collatrix.llm.store import documents, read, small_batches
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7)
-FIT_ROWS = 6000
+FIT_ROWS = 2500
 MIN_DOCS = 4
 #: Least z value of a feature's difference between the classes.
 MIN_Z = 3.0
@@ -94,32 +93,48 @@ def fit_sentences(texts: list[str], target: np.ndarray, weight: np.ndarray) -> S
     target = np.asarray(target, dtype=bool)
     if not target.any() or target.all():
         return None
-    bags = [[w for s in SENTENCE.findall(t.lower()) if (w := set(WORD.findall(s)))] for t in texts]
-    seen = {True: Counter(), False: Counter()}
-    for bag, y in zip(bags, target, strict=True):
-        seen[bool(y)].update({f for w in set().union(*bag) for f in features_of(w)} if bag else ())
+    # Texts become arrays of word numbers, and words arrays of feature numbers, so that a large sample stays small.
+    words: dict[str, int] = {}
+    bags, sentence_doc, sizes = [], [], []
+    for d, text in enumerate(texts):
+        for sentence in SENTENCE.findall(text.lower()):
+            if bag := set(WORD.findall(sentence)):
+                bags.append(np.array([words.setdefault(w, len(words)) for w in bag], dtype=np.int32))
+                sentence_doc.append(d)
+                sizes.append(len(bag))
+    found: dict[str, int] = {}
+    of_word = [[found.setdefault(f, len(found)) for f in features_of(w)] for w in words]
+    word_start = np.cumsum([0] + [len(x) for x in of_word])
+    word_features = np.array([f for x in of_word for f in x], dtype=np.int32)
+    del of_word
+    flat = np.concatenate(bags) if bags else np.zeros(0, dtype=np.int32)
+    sentence_doc, row = np.array(sentence_doc, dtype=np.int64), np.repeat(np.arange(len(bags)), sizes)
+    seen = np.zeros((2, len(found)), dtype=np.int64)
+    bounds = np.searchsorted(sentence_doc[row], np.arange(len(texts) + 1))
+    for d, y in enumerate(target):
+        own = np.unique(flat[bounds[d] : bounds[d + 1]])
+        if len(own):
+            held = np.unique(np.concatenate([word_features[word_start[w] : word_start[w + 1]] for w in own]))
+            seen[int(y), held] += 1
     n1, n0 = int(target.sum()), int((~target).sum())
-    start = {}
-    for f in seen[True] | seen[False]:
-        a, b = seen[True][f], seen[False][f]
-        if a + b >= MIN_DOCS:
-            p = (a + b) / (n1 + n0)
-            z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
-            if abs(z) >= MIN_Z:
-                start[f] = 0.1 * np.log((a + 0.5) / (n1 + 1) / ((b + 0.5) / (n0 + 1)))
-    names = sorted(start)
-    at = {f: i for i, f in enumerate(names)}
-    sentence_doc, row, col = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            for w in words:
-                ids = [at[f] for f in features_of(w) if f in at]
-                row += [len(sentence_doc)] * len(ids)
-                col += ids
-            sentence_doc.append(d)
-    sentence_doc, row, col = (np.array(x, dtype=np.int64) for x in (sentence_doc, row, col))
-    w, bias = np.array([start[f] for f in names]), -5.0
-    n, params = len(texts), None
+    a, b = seen[1], seen[0]
+    p = (a + b) / (n1 + n0)
+    z = (a / n1 - b / n0) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0) + 1e-12)
+    chosen = np.flatnonzero((a + b >= MIN_DOCS) & (np.abs(z) >= MIN_Z))
+    w = 0.1 * np.log((a[chosen] + 0.5) / (n1 + 1) / ((b[chosen] + 0.5) / (n0 + 1)))
+    spelled = list(found)
+    names = [spelled[f] for f in chosen]
+    del found, spelled
+    number = np.full(len(a), -1, dtype=np.int64)
+    number[chosen] = np.arange(len(chosen))
+    known = number[word_features]
+    kept = np.flatnonzero(known >= 0)
+    per_word = np.searchsorted(kept, word_start)
+    n_of = np.diff(per_word)[flat]
+    row = np.repeat(row, n_of)
+    step_in = np.arange(len(row)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+    col = known[kept][np.repeat(per_word[:-1][flat], n_of) + step_in]
+    bias, n, params = -5.0, len(texts), None
     weight = np.asarray(weight, dtype=float) / np.sum(weight)
     m = v = np.zeros(len(w) + 1)
     for step in range(1, STEPS + 1):
