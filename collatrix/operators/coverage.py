@@ -8,8 +8,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from collatrix.session import materialize
+
 #: Items fetched to the driver at a time.
-FETCH = 2000
+FETCH = 10_000
 
 
 def gains(incidence: DataFrame, seen: Mapping, weights: DataFrame | None = None, repeats: int = 2) -> DataFrame:
@@ -41,6 +43,7 @@ def greedy_plan(incidence: DataFrame, budget: int = 25, weights: DataFrame | Non
         done = incidence.join(reviewed.select("item").distinct(), "item", "left_semi")
         seen = {r["grp"]: r["n"] for r in done.groupBy("grp").agg(F.count("*").alias("n")).collect()}
         incidence = incidence.join(reviewed.select("item").distinct(), "item", "left_anti")
+    incidence = materialize(incidence.select("item", "grp"), "incidence")
     chosen: list[tuple] = []
     spark, kind = incidence.sparkSession, incidence.schema["item"].dataType.simpleString()
     while len(chosen) < budget:
