@@ -273,6 +273,17 @@ def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str) -> Data
     return joined.withColumn("x", of(F.col("text"))).drop("text").where(F.col("x.text_id") == F.col("words_id")).select(*members.columns, "x.cells")
 
 
+def star_links(banded: DataFrame) -> DataFrame:
+    """Links (a, b) that hold together what shares a band, from (row, head).
+
+    A row is linked to its least head only, and that to the row's other heads: a
+    group of copies has few heads, so it makes about one link per row, not one per band.
+    """
+    heads = banded.groupBy("row").agg(F.min("head").alias("b"), F.collect_set("head").alias("heads"))
+    links = heads.select(F.explode(F.array_append("heads", F.col("row"))).alias("a"), "b")
+    return links.where("a <> b").distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its key, class_id (the least key of its class), class_size and kept (one row of a class)."""
     signed = materialize(sign(docs, key, text), "signatures")
@@ -282,8 +293,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = signed.join(texts.where("n > 0").select(F.col("rep").alias("row")), "row", "left_semi")
     banded = reps.select("row", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = banded.join(heads, "band").where("row <> head").select(F.col("row").alias("a"), F.col("head").alias("b")).distinct()
-    families = components(stars).withColumnRenamed("root", "family")
+    families = components(star_links(banded.join(heads, "band"))).withColumnRenamed("root", "family")
     members = families.withColumnRenamed("node", "row").join(signed.select("row", "key", "words_id", "n", "sig"), "row")
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
     parts = F.ceil(F.greatest(F.col("m") / BLOCK_TEXTS, F.col("total") / BLOCK_SHINGLES)).cast("int")
