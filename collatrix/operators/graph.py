@@ -198,3 +198,31 @@ def capped_extra_edges(edges: DataFrame, forest: DataFrame, most: int = 2) -> Da
     rest = edges.select("a", "b", "weight").join(forest.select("a", "b"), ["a", "b"], "left_anti")
     roots = connected_components(forest).select(F.col("node").alias("a"), "root")
     return rest.join(roots, "a").groupBy("root").applyInPandas(run, "a long, b long, weight double")
+
+
+def sensitivity(edges: DataFrame, resolutions: tuple[float, ...] = (0.5, 1.0, 2.0), seeds: tuple[int, ...] = (7, 11, 13)) -> DataFrame:
+    """(resolution, seed, node, label): the communities of every setting; components are found once."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in resolutions:
+            for s in seeds:
+                found = _local_moving(pdf, r, s)
+                out.append(pd.DataFrame({"resolution": r, "seed": s, "node": found[:, 0], "root": int(pdf["root"].iloc[0]), "part": found[:, 1]}))
+        return pd.concat(out)
+
+    edges = edges.select("a", "b", "weight")
+    named = edges.join(connected_components(edges).select(F.col("node").alias("a"), "root"), "a")
+    parts = named.groupBy("root").applyInPandas(run, "resolution double, seed long, node long, root long, part long")
+    size = parts.groupBy("resolution", "seed", "root", "part").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    order = W.partitionBy("resolution", "seed").orderBy(F.desc("n"), "first")
+    ranked = size.withColumn("label", F.row_number().over(order) - 1)
+    return parts.join(ranked, ["resolution", "seed", "root", "part"]).select("resolution", "seed", "node", "label")
+
+
+def disconnected_communities(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label, pieces) of communities that fall apart when only their own edges are left."""
+    named = edges.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    inner = connected_components(named.where("la = lb").select("a", "b"))
+    pieces = labels.join(inner, "node", "left").groupBy("label").agg(F.countDistinct(F.coalesce("root", "node")).alias("pieces"))
+    return pieces.where("pieces > 1")

@@ -85,3 +85,39 @@ def average_rank(value: str, group: str) -> Column:
 def count_histogram(df: DataFrame, group: str) -> DataFrame:
     """(size, groups): how many groups have how many rows."""
     return df.groupBy(group).agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("groups"))
+
+
+def exemplars(members: DataFrame, group: str = "grp") -> DataFrame:
+    """(group, role, id): distinct members in six roles, chosen in this order.
+
+    ``members`` has (group, id, parent, degree, size, distance, affinity, is_medoid). Each role takes the best
+    member not taken yet, if possible of a parent not taken yet; the group is one array of its own.
+    """
+    import pandas as pd
+
+    roles = (("medoid", "is_medoid", -1), ("hub", "degree", -1), ("smallest", "size", 1), ("largest", "size", -1), ("farthest", "distance", -1), ("weakest", "affinity", 1))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, taken, parents = pdf.to_dict("records"), set(), set()
+        several, out = pdf["parent"].nunique() >= len(roles), []
+        for name, column, sign in roles:
+            free = [r for r in rows if r["id"] not in taken and not (several and r["parent"] in parents)]
+            if free:
+                best = min(free, key=lambda r: (sign * float(r[column]), r["id"]))  # noqa: B023
+                taken.add(best["id"])
+                parents.add(best["parent"])
+                out.append((best[group], name, best["id"]))
+        return pd.DataFrame(out, columns=[group, "role", "id"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in members.schema.fields}
+    return members.groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, role string, id {kinds['id']}")
+
+
+def core_and_edge(members: DataFrame, group: str, value: str, key: str, core: int = 4, edge: int = 3, spread: int = 4, most: int = 8) -> DataFrame:
+    """(group, key, kind): the members nearest to the centre, farthest from it, and some by a hash; each once, ``most`` in all."""
+    place = lambda *order: F.row_number().over(W.partitionBy(group).orderBy(*order))
+    ranked = members.select(group, key, place(F.desc(value), key).alias("near"), place(F.asc(value), key).alias("far"), place(F.xxhash64(key), key).alias("any"))
+    kind = F.when(F.col("near") <= core, 0).when(F.col("far") <= edge, 1).when(F.col("any") <= spread, 2)
+    kept = ranked.withColumn("kind", kind).where("kind IS NOT NULL")
+    first = kept.withColumn("n", F.row_number().over(W.partitionBy(group).orderBy("kind", "near"))).where(F.col("n") <= most)
+    return first.select(group, key, F.element_at(F.array(F.lit("core"), F.lit("edge"), F.lit("spread")), F.col("kind") + 1).alias("kind"))
