@@ -47,7 +47,7 @@ FIRST_BLOCK = 2.0**-8
 MARGIN = 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 #: Texts and shingles of one block, at most two of which meet in a task.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
-CACHE_MOST = 1_000_000
+CACHE_MOST = 250_000
 
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}
@@ -262,15 +262,16 @@ def family_links(pdf: pd.DataFrame) -> pd.DataFrame:
 def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """``members`` with their texts' unit cells, found again by id and word sequence."""
 
-    @F.pandas_udf("text_id binary, cells binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            hashed = [word_hashes(x) for x in batch]
-            yield pd.DataFrame({"text_id": [sequence_id(h) for h in hashed], "cells": [np.sort(unit_cells(shingles(h))).tobytes() for h in hashed]})
+    @F.pandas_udf("binary")
+    def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, ids in batches:
+            hashed = [word_hashes(x) for x in texts]
+            yield pd.Series([np.sort(unit_cells(shingles(h))).tobytes() if sequence_id(h) == bytes(i) else None for h, i in zip(hashed, ids, strict=True)])
 
     texts = docs.select(F.col(key).alias("text_key"), F.col(text).alias("text"))
     joined = members.join(texts, members["key"].eqNullSafe(texts["text_key"])).drop("text_key")
-    return joined.withColumn("x", of(F.col("text"))).drop("text").where(F.col("x.text_id") == F.col("words_id")).select(*members.columns, "x.cells")
+    # It takes a column of either side, so that only the texts of members are hashed again.
+    return joined.withColumn("cells", of(F.col("text"), F.col("words_id"))).drop("text").where("cells IS NOT NULL")
 
 
 def star_links(banded: DataFrame) -> DataFrame:
