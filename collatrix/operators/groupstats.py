@@ -32,14 +32,39 @@ def cooccurrence(incidence: DataFrame) -> DataFrame:
     return x.join(y, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
-def weighted_jaccard(incidence: DataFrame, weights: DataFrame, min_shared: int = 2) -> DataFrame:
-    """(a, b, shared, similarity) of items that share ``min_shared`` groups at least."""
-    w = incidence.join(F.broadcast(weights.select("grp", "weight")), "grp")
-    total = w.groupBy("item").agg(F.sum("weight").alias("total"))
-    x, y = w.select("grp", "weight", F.col("item").alias("a")), w.select("grp", F.col("item").alias("b"))
-    both = x.join(y, "grp").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum("weight").alias("common")).where(F.col("shared") >= min_shared)
-    named = both.join(total.select(F.col("item").alias("a"), F.col("total").alias("ta")), "a").join(total.select(F.col("item").alias("b"), F.col("total").alias("tb")), "b")
-    return named.select("a", "b", "shared", (F.col("common") / (F.col("ta") + F.col("tb") - F.col("common"))).alias("similarity"))
+def weighted_jaccard(incidence: DataFrame, weights: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(classes, links) of items by the weighted Jaccard similarity of their group sets.
+
+    ``classes`` is (item, class_id): items with the same set are a class, named by the
+    least item. ``links`` is (a, b, similarity) with a < b, between classes, of ``least`` or more.
+
+    Sets that are so similar share a group among the heaviest ones that make up all but ``least`` of
+    either's weight (a group's place is the same in all sets), so only these are
+    joined; weights and what can still be common from the match on rule most pairs out before sets are compared.
+    """
+    weighed = incidence.join(weights.select("grp", "weight"), "grp")
+    sets = weighed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "grp"))).alias("set"))
+    named = sets.groupBy("set").agg(F.min("item").alias("class_id"))
+    classes = sets.join(named, "set").select("item", "class_id")
+    total = -F.aggregate("set", F.lit(0.0), lambda s, x: s + x["w"])
+    rest = F.aggregate(F.slice("set", F.col("i") + 2, F.size("set")), F.lit(0.0), lambda s, x: s - x["w"])
+    opened = named.withColumn("total", total).select("class_id", "set", "total", F.posexplode("set").alias("i", "x"))
+    opened = opened.select("class_id", "set", "total", F.col("x.grp").alias("grp"), (-F.col("x.w")).alias("w"), rest.alias("rest"))
+    # Kept while what stands from this group on still weighs enough.
+    heads = opened.where(F.col("rest") + F.col("w") >= F.lit(least) * F.col("total") - 1e-9)
+    x, y = (heads.select("grp", "w", *[F.col(c).alias(f"{c}_{t}") for c in ("class_id", "set", "total", "rest")]) for t in "ab")
+    pairs = x.join(y.drop("w"), "grp").where("class_id_a < class_id_b")
+    both = F.col("total_a") + F.col("total_b")
+    enough = F.lit(least / (1 + least)) * both - 1e-9
+    pairs = pairs.where((F.least("total_a", "total_b") >= F.lit(least) * F.greatest("total_a", "total_b") - 1e-9))
+    # Judged at the first group that both have: the sets are sorted alike.
+    shared = F.array_intersect("set_a", "set_b")
+    pairs = pairs.withColumn("shared", shared).where(F.col("shared")[0]["grp"] == F.col("grp"))
+    common = -F.aggregate("shared", F.lit(0.0), lambda s, z: s + z["w"])
+    judged = pairs.select("class_id_a", "class_id_b", common.alias("common"), both.alias("both"), enough.alias("enough")).where("common >= enough")
+    similarity = F.col("common") / (F.col("both") - F.col("common"))
+    links = judged.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    return classes, links
 
 
 def max_jaccard(main: DataFrame, other: DataFrame) -> DataFrame:

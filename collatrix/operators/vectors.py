@@ -82,9 +82,12 @@ def group_distinct(found: DataFrame, k: int) -> DataFrame:
     return one.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst"))).where(F.col("rank") <= k)
 
 
-def prefer_context(found: DataFrame, src_context: str, dst_context: str) -> DataFrame:
-    """Of the hits of a family the best one in another context, or else the best one; re-ranked."""
-    keys = W.partitionBy("src", "dst_family")
-    crosses = (F.col(src_context) != F.col(dst_context)).cast("int")
-    first = found.withColumn("_pick", F.row_number().over(keys.orderBy(F.desc(crosses), F.desc("sim"), "dst"))).where("_pick = 1").drop("_pick", "rank")
-    return first.withColumn("rank", F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst")))
+def prefer_context(best: DataFrame, across: DataFrame) -> DataFrame:
+    """(src, dst, dst_family, sim): a family's best hit in another context where it has one, or else its best hit.
+
+    Both are the best hits per family: ``best`` of all items, ``across`` of those in other contexts.
+    """
+    other = across.select("src", "dst_family", F.struct("dst", "sim").alias("other"))
+    joined = best.select("src", "dst_family", F.struct("dst", "sim").alias("own")).join(other, ["src", "dst_family"], "left")
+    hit = F.coalesce("other", "own")
+    return joined.select("src", hit["dst"].alias("dst"), "dst_family", hit["sim"].alias("sim"))

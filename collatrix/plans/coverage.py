@@ -169,18 +169,18 @@ def round_robin_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "first_two_contexts",
-    f"""WITH {STATIC_SQL}, {CONTEXT_SQL}, met AS (SELECT grp, context, item, rank FROM ranked JOIN inc USING (item) JOIN ctx USING (item) WHERE rank <= 1000),
+    f"""WITH {STATIC_SQL}, {CONTEXT_SQL}, met AS (SELECT grp, context, item, rank FROM ranked JOIN inc USING (item) JOIN ctx USING (item)),
     first AS (SELECT * FROM met QUALIFY row_number() OVER (PARTITION BY grp, context ORDER BY rank) = 1)
     SELECT grp, context, item, row_number() OVER (PARTITION BY grp ORDER BY rank) AS encounter FROM first QUALIFY encounter <= 2""",
 )
 def first_two_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each group is first met in two different contexts along the static order."""
     inc = order_incidence(spark, sf_dir)
-    top = static_order(inc).orderBy(F.desc("utility"), "item").limit(1000)
-    ranked = top.select("item", F.row_number().over(W.orderBy(F.desc("utility"), "item")).alias("rank"))
-    met = inc.join(ranked, "item").join(order_contexts(spark, sf_dir), "item")
-    first = top_per_group(met, ["grp", "context"], ["rank"], 1, "nth").drop("nth")
-    return top_per_group(first, ["grp"], ["rank"], 2, "encounter").select("grp", "context", "item", "encounter")
+    met = inc.join(static_order(inc), "item").join(order_contexts(spark, sf_dir), "item")
+    # The first in the order is the least (-utility, item): an aggregate, where a rank would sort all items in one place.
+    place = F.struct((-F.col("utility")).alias("u"), "item")
+    first = met.groupBy("grp", "context").agg(F.min(place).alias("place"))
+    return top_per_group(first, ["grp"], ["place"], 2, "encounter").select("grp", "context", "place.item", "encounter")
 
 
 @query(

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from collatrix.functions.scalar import count_map, dot, steps
 from collatrix.operators import groupstats as G
+from collatrix.operators.graph import endpoints
 from collatrix.operators.ingest import best_per_group
+from collatrix.plans.coverage import order_incidence
 from collatrix.plans.registry import query
 from collatrix.plans.vectors import ITEMS_SQL, items
 from collatrix.sources.tables import table
@@ -39,18 +41,23 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "weighted_jaccard_edges",
-    f"""WITH {BRANDS_SQL}, {IDF_SQL}, few AS (SELECT * FROM inc WHERE item % 50 = 0), w AS (SELECT item, grp, weight FROM few JOIN idf USING (grp)),
-    t AS (SELECT item, sum(weight) AS total FROM w GROUP BY item),
-    p AS (SELECT x.item AS a, y.item AS b, count(*) AS shared, sum(x.weight) AS common FROM w x JOIN w y USING (grp) WHERE x.item < y.item GROUP BY 1, 2 HAVING count(*) >= 3)
-    SELECT a, b, shared, round(common / (ta.total + tb.total - common), 9) AS similarity FROM p JOIN t ta ON ta.item = a JOIN t tb ON tb.item = b""",
+    "weighted_jaccard_links",
+    """WITH inc AS (SELECT DISTINCT l_orderkey AS item, p_brand || '|' || p_type AS grp FROM lineitem JOIN part ON l_partkey = p_partkey),
+    idf AS (SELECT grp, least(6.0::DOUBLE, ln(((SELECT count(*) FROM orders) + 1.0::DOUBLE) / (count(*) + 1)) + 1) AS weight FROM inc GROUP BY grp),
+    sets AS (SELECT item, string_agg(grp, ';' ORDER BY grp) AS s FROM inc GROUP BY item), cls AS (SELECT item, min(item) OVER (PARTITION BY s) AS class_id FROM sets),
+    w AS (SELECT item, grp, weight FROM inc JOIN idf USING (grp) WHERE item IN (SELECT class_id FROM cls)), t AS (SELECT item, sum(weight) AS total FROM w GROUP BY item),
+    p AS (SELECT x.item AS a, y.item AS b, sum(x.weight) AS common FROM w x JOIN w y USING (grp) WHERE x.item < y.item GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN t ta ON ta.item = a JOIN t tb ON tb.item = b WHERE common / (ta.total + tb.total - common) >= 0.8::DOUBLE - 1e-9),
+    n AS (SELECT c, count(*) AS links FROM (SELECT a AS c FROM l UNION ALL SELECT b FROM l) GROUP BY c)
+    SELECT item, class_id, coalesce(links, 0) AS links FROM cls LEFT JOIN n ON c = class_id""",
 )
-def weighted_jaccard_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Similar pairs among every fiftieth item, by the weights of the groups they share."""
-    inc = brand_incidence(spark, sf_dir)
-    weights = G.idf_weights(inc, table(spark, sf_dir, "orders").count())
-    found = G.weighted_jaccard(inc.where("item % 50 = 0"), weights, 3)
-    return found.withColumn("similarity", F.round("similarity", 9))
+def weighted_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's class of equal group sets, and how many other classes are similar to it by 0.8 or more."""
+    inc = order_incidence(spark, sf_dir)
+    weights = G.idf_weights(inc, table(spark, sf_dir, "orders").count(), 6.0)
+    classes, links = G.weighted_jaccard(inc, weights, 0.8)
+    n = endpoints(links).groupBy(F.col("node").alias("class_id")).agg(F.count("*").alias("links"))
+    return classes.join(n, "class_id", "left").select("item", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 ORDER_NATION_SQL = "o AS (SELECT o_orderkey, o_orderpriority, c_nationkey, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey)"

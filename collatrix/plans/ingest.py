@@ -185,15 +185,14 @@ def finite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "json_semi_filter",
     """SELECT event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events
-    SEMI JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND value > 90) w USING (user_id)
-    WHERE event_id % 20 = 0""",
+    SEMI JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = (SELECT min(event_type) FROM events) AND value > 90) w USING (user_id)""",
 )
 def json_semi_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON properties of the events of wanted users, by a semi join."""
     events = table(spark, sf_dir, "events")
     first_type = events.agg(F.min("event_type").alias("event_type"))
     wanted = events.where("value > 90").join(F.broadcast(first_type), "event_type", "left_semi").select("user_id").distinct()
-    chosen = events.where("event_id % 20 = 0").join(wanted, "user_id", "left_semi")
+    chosen = events.join(wanted, "user_id", "left_semi")
     return chosen.select("event_id", "user_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 

@@ -40,11 +40,11 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missing_keys",
-    "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 10 = 0)",
+    "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
 )
 def missing_keys_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without an order whose number ends in 0."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without an urgent order."""
+    orders = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return missing_keys(table(spark, sf_dir, "customer").select("c_custkey"), orders, "c_custkey")
 
 

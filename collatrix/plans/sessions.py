@@ -72,14 +72,14 @@ def export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "version_conflicts",
-    f"""WITH RECURSIVE {REVIEWS_SQL}, e AS (SELECT event_id, session, 1 + event_id % 3 AS version, row_number() OVER (PARTITION BY session ORDER BY event_id) AS n FROM reviews WHERE session < 20),
+    f"""WITH RECURSIVE {REVIEWS_SQL}, e AS (SELECT event_id, session, 1 + event_id % 3 AS version, row_number() OVER (PARTITION BY session ORDER BY event_id) AS n FROM reviews),
     f AS (SELECT event_id, session, n, version = 1 AS is_accepted, 1 + (version = 1)::INT AS current FROM e WHERE n = 1
         UNION ALL SELECT e.event_id, e.session, e.n, e.version = f.current, f.current + (e.version = f.current)::INT FROM f JOIN e ON e.session = f.session AND e.n = f.n + 1)
     SELECT session, count(*) AS updates, count(*) FILTER (WHERE is_accepted) AS accepted, count(*) FILTER (WHERE NOT is_accepted) AS refused FROM f GROUP BY session""",
 )
 def version_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates that named a stale version, per session."""
-    e = reviews(spark, sf_dir).where("session < 20").select("event_id", "session", (1 + F.col("event_id") % 3).alias("version"))
+    e = reviews(spark, sf_dir).select("event_id", "session", (1 + F.col("event_id") % 3).alias("version"))
     marked = accepted(e, "session", "version", "event_id")
     return marked.groupBy("session").agg(F.count("*").alias("updates"), F.count_if("is_accepted").alias("accepted"), F.count_if(~F.col("is_accepted")).alias("refused"))
 

@@ -84,11 +84,12 @@ def in_family_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_context_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best item of each family, preferably from another context; the five best families."""
     bank = items(spark, sf_dir)
-    context = F.col("parent") % 5
-    best = search(asked(bank), bank, bank.count(), "parent", "family")
-    own = asked(bank).select(F.col("id").alias("src"), context.alias("src_context"))
-    named = best.join(own, "src").withColumn("dst_context", F.col("dst_parent") % 5)
-    return prefer_context(named, "src_context", "dst_context").where("rank <= 5").select("src", "dst", "dst_family", "sim", "rank")
+    best = search(asked(bank), bank, 1, "parent", "family")
+    by_context = bank.withColumn("parent", F.col("parent") % 5)
+    across = search(asked(by_context), by_context, 1, "parent", "family")
+    picked = prefer_context(best, across)
+    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst"))
+    return picked.withColumn("rank", rank).where("rank <= 5").select("src", "dst", "dst_family", "sim", "rank")
 
 
 @query(
@@ -127,7 +128,7 @@ def centroid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("id", "family", F.round("sim", 6).alias("sim"), rank.alias("rank"))
 
 
-PAIRS_SQL = f"""WITH {ITEMS_SQL}, {sims_sql("a.family = b.family AND a.parent <> b.parent AND a.parent % 5 <> b.parent % 5 AND a.id < b.id", asked=True)},
+PAIRS_SQL = f"""WITH {ITEMS_SQL}, {sims_sql("a.family = b.family AND a.parent <> b.parent AND a.parent % 5 <> b.parent % 5 AND a.id < b.id", asked=False)},
     three AS (SELECT src, dst, src_family AS family, sim,
         round(list_dot_product(x.v[1:32], y.v[1:32]), 9) AS first_half, round(list_dot_product(x.v[33:64], y.v[33:64]), 9) AS second_half
         FROM sims JOIN items x ON x.id = src JOIN items y ON y.id = dst),
@@ -141,7 +142,7 @@ PAIRS_SQL = PAIRS_SQL.format(ranks=RANKS_SQL)
 def pair_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a family in different contexts with three similarities and their average ranks."""
     bank = items(spark, sf_dir)
-    a = asked(bank).select(F.col("id").alias("src"), F.col("parent").alias("pa"), "family", F.col("v").alias("va"))
+    a = bank.select(F.col("id").alias("src"), F.col("parent").alias("pa"), "family", F.col("v").alias("va"))
     b = bank.select(F.col("id").alias("dst"), F.col("parent").alias("pb"), "family", F.col("v").alias("vb"))
     pairs = a.join(b, "family").where("pa <> pb AND pa % 5 <> pb % 5 AND src < dst")
     half = lambda v, at: F.slice(v, at, 32)
