@@ -46,7 +46,7 @@ REACH = SPAN - GRAM + 1
 CHUNK = 16 << 20
 PART = 24 << 20
 #: Symbols that one suffix array holds, unless one anchor has more.
-ARRAY = 80_000
+ARRAY = 10_000
 #: Longer texts are cut in pieces that overlap; the strings stay the same.
 PIECE = 1 << 22
 
