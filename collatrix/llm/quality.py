@@ -2,16 +2,17 @@
 
 Each document gets a row of rule statistics, one reading of its text. Base rules
 reject short and repetitive texts outright. For the rest each statistic counts
-by what it exceeds its limits by, the ``LIMIT`` quantiles of rows labelled good,
-so that the ordinary spread of clean texts is no anomaly. An isolation forest
+by what it exceeds its limits by: the rule's own, or the ``LIMIT`` quantiles of rows
+labelled good where these are wider, so that the ordinary spread of clean texts
+is no anomaly. An isolation forest
 on these gives the mean path length over random splits: documents that few
 splits isolate are anomalous. The cut-off comes from labelled rows.
 
 The trees are grown from a bounded sample of labelled rows (``FIT_ROWS`` of them
 by a hash of their id, the documented bound), each from ``TREE_ROWS`` of these,
 of which ``BAD_SHARE`` are labelled bad: scarce enough to be isolated early.
-The cut-off is taken from the histogram of scores of all labelled rows, the
-lowest one that rejects at most ``GOOD_LOSS`` of those labelled good. Without
+The cut-off is taken from the histogram of scores of all labelled rows, a
+quarter up among those that reject at most ``GOOD_LOSS`` of the good and no fewer of the bad. Without
 labels of both kinds, the base rules decide alone.
 
 Defined cases: a null text has no words; a text without words fails the base
@@ -52,6 +53,8 @@ BINS = 2000
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "mean_word", "short_words"]
+#: Least and greatest value of each feature that is fine by rule (fixed values), in the order of FEATURES.
+FINE = ((0.0, 0.02), (0.0, 0.3), (0.0, 0.3), (0.0, 0.3), (0.0, 0.2), (0.0, 0.05), (3.0, 10.0), (0.0, 0.7))
 SCHEMA = ", ".join([f"{x} long" for x in BASE] + [f"{x} double" for x in FEATURES])
 
 
@@ -119,7 +122,11 @@ class IsolationForest:
 
     def __init__(self, good: np.ndarray, bad: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, bad_share: float = BAD_SHARE, seed: int = 17):
         rng = np.random.default_rng(seed)
-        self.low, self.high = np.quantile(good, [1 - LIMIT, LIMIT], axis=0)
+        # Limits are values of rows: a limit between rows would make the outer one an anomaly by a hair.
+        low, high = np.quantile(good, 1 - LIMIT, axis=0, method="lower"), np.quantile(good, LIMIT, axis=0, method="higher")
+        if good.shape[1] == len(FINE):
+            low, high = np.minimum(low, [x for x, _ in FINE]), np.maximum(high, [x for _, x in FINE])
+        self.low, self.high = low, high
         good, bad = self.excess(good), self.excess(bad)
         n_bad = min(len(bad), max(1, round(rows * bad_share))) if len(bad) else 0
         n_good = min(len(good), rows - n_bad)
@@ -204,14 +211,22 @@ def with_score(measured: DataFrame, forest: IsolationForest) -> DataFrame:
 
 
 def threshold(scored: DataFrame, good_loss: float = GOOD_LOSS) -> float:
-    """The lowest cut-off that rejects at most ``good_loss`` of the rows labelled good, to a bin."""
-    binned = scored.groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.sum((F.col("label") > 0).cast("long")).alias("good"))
-    good = np.zeros(BINS + 1)
-    for r in binned.collect():
-        good[r["bin"]] = r["good"]
-    above = good[::-1].cumsum()[::-1]
-    fine = np.flatnonzero(above <= good_loss * good.sum())
-    return float(fine[0]) / BINS if len(fine) else 1.0
+    """A cut-off that rejects at most ``good_loss`` of the rows labelled good, to a bin.
+
+    Of the cut-offs that do, and that reject as many of those labelled bad as the lowest one
+    of them (but for ``good_loss`` of these), one a quarter up from the lowest: clean rows that no
+    labelled one is like have some room, and so have junk rows that are less anomalous than the labelled ones.
+    """
+    rows = scored.groupBy(F.floor(F.col("anomaly") * BINS).alias("bin")).agg(F.count_if(F.col("label") > 0).alias("good"), F.count_if(F.col("label") <= 0).alias("bad")).collect()
+    counts = np.zeros((2, BINS + 1))
+    for r in rows:
+        counts[:, r["bin"]] = r["good"], r["bad"]
+    good, bad = counts[:, ::-1].cumsum(axis=1)[:, ::-1]
+    low = np.flatnonzero(good <= good_loss * good[0])
+    if not len(low):
+        return 1.0
+    high = np.flatnonzero(bad >= (1 - good_loss) * bad[low[0]])[-1] if bad[low[0]] else low[0]
+    return float(low[0] + (max(high, low[0]) - low[0]) / 4) / BINS
 
 
 def base_failed() -> Column:
