@@ -64,14 +64,14 @@ def knn_group_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "in_family_top3",
     f"""WITH {ITEMS_SQL}, {sims_sql("a.family = b.family AND a.parent <> b.parent")}
-    SELECT src, dst, round(sim, 6) AS sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM sims QUALIFY rank <= 3""",
+    SELECT src, dst, sim, row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) AS rank FROM sims QUALIFY rank <= 3""",
 )
 def in_family_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nearest items of the same family and another parent."""
     bank = items(spark, sf_dir)
     found = search(asked(bank), bank, 3, "parent", "family")
     own = asked(bank).select(F.col("id").alias("src"), "family")
-    return found.join(own, "src").where("dst_family = family").select("src", "dst", F.round("sim", 6).alias("sim"), "rank")
+    return found.join(own, "src").where("dst_family = family").select("src", "dst", "sim", "rank")
 
 
 @query(
@@ -111,7 +111,7 @@ CENTROID_SQL = f"""WITH {ITEMS_SQL},
     long AS (SELECT id, family, unnest(v) AS x, unnest(range(64)) AS i FROM items),
     mean AS (SELECT family, i, avg(x) AS x FROM long GROUP BY family, i),
     centre AS (SELECT family, list(x ORDER BY i) AS c FROM mean GROUP BY family)
-    SELECT id, family, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 6) AS sim,
+    SELECT id, family, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 9) AS sim,
         row_number() OVER (PARTITION BY family ORDER BY round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 9) DESC, id) AS rank
     FROM items JOIN centre USING (family)"""
 
@@ -125,7 +125,7 @@ def centroid_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     centre = centre.select("family", unit(F.transform("c", lambda s: s["x"])).alias("c"))
     scored = bank.join(F.broadcast(centre), "family").select("id", "family", F.round(dot(F.col("v"), F.col("c")), DIGITS).alias("sim"))
     rank = F.row_number().over(W.partitionBy("family").orderBy(F.desc("sim"), "id"))
-    return scored.select("id", "family", F.round("sim", 6).alias("sim"), rank.alias("rank"))
+    return scored.select("id", "family", "sim", rank.alias("rank"))
 
 
 PAIRS_SQL = f"""WITH {ITEMS_SQL}, {sims_sql("a.family = b.family AND a.parent <> b.parent AND a.parent % 5 <> b.parent % 5 AND a.id < b.id", asked=False)},
@@ -182,23 +182,23 @@ def consensus_pair_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "pair_features",
     PAIRS_SQL
-    + """ SELECT src, dst, round(least(sim, first_half, second_half), 6) AS lowest, round(greatest(sim, first_half, second_half), 6) AS highest,
-    round((sim + first_half + second_half) / 3, 6) AS mean, round(stddev_pop_of, 6) AS spread, round(abs(first_half - second_half), 6) AS gap
-    FROM (SELECT *, sqrt(greatest(0, (sim * sim + first_half * first_half + second_half * second_half) / 3 - ((sim + first_half + second_half) / 3) ** 2)) AS stddev_pop_of FROM ranked)""",
+    + """ SELECT src, dst, least(sim, first_half, second_half) AS lowest, greatest(sim, first_half, second_half) AS highest, m AS mean,
+    sqrt(((sim - m) * (sim - m) + (first_half - m) * (first_half - m) + (second_half - m) * (second_half - m)) / 3) AS spread, abs(first_half - second_half) AS gap
+    FROM (SELECT *, (sim + first_half + second_half) / 3 AS m FROM ranked)""",
 )
 def pair_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of pairs from three views: least, greatest, mean, spread and gap."""
     s = [F.col(c) for c in ("sim", "first_half", "second_half")]
-    mean = (s[0] + s[1] + s[2]) / 3
-    square = (s[0] * s[0] + s[1] * s[1] + s[2] * s[2]) / 3
-    return pair_ranks(spark, sf_dir).select(
+    pairs = pair_ranks(spark, sf_dir).withColumn("m", (s[0] + s[1] + s[2]) / 3)
+    off = [(x - F.col("m")) * (x - F.col("m")) for x in s]
+    return pairs.select(
         "src",
         "dst",
-        F.round(F.least(*s), 6).alias("lowest"),
-        F.round(F.greatest(*s), 6).alias("highest"),
-        F.round(mean, 6).alias("mean"),
-        F.round(F.sqrt(F.greatest(F.lit(0.0), square - mean * mean)), 6).alias("spread"),
-        F.round(F.abs(s[1] - s[2]), 6).alias("gap"),
+        F.least(*s).alias("lowest"),
+        F.greatest(*s).alias("highest"),
+        F.col("m").alias("mean"),
+        F.sqrt((off[0] + off[1] + off[2]) / 3).alias("spread"),
+        F.abs(s[1] - s[2]).alias("gap"),
     )
 
 
@@ -224,14 +224,14 @@ def neighbor_dereference(spark: SparkSession, sf_dir: str) -> DataFrame:
     "knn_transfer",
     f"""WITH {ITEMS_SQL}, {sims_sql("a.id <> b.id")},
     top AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY src ORDER BY sim DESC, dst) <= 5),
-    votes AS (SELECT src, src_family, dst_family, round(sum(sim), 6) AS weight FROM top GROUP BY ALL)
+    votes AS (SELECT src, src_family, dst_family, round(sum(sim), 9) AS weight FROM top GROUP BY ALL)
     SELECT src, dst_family AS predicted, src_family = dst_family AS correct FROM votes
     QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst_family) = 1""",
 )
 def knn_transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A family for each query from its five nearest items, weighed by similarity."""
     bank = items(spark, sf_dir)
-    votes = search(asked(bank), bank, 5).groupBy("src", "dst_family").agg(F.round(F.sum("sim"), 6).alias("weight"))
+    votes = search(asked(bank), bank, 5).groupBy("src", "dst_family").agg(F.round(F.sum("sim"), 9).alias("weight"))
     best = best_per_group(votes, ["src"], [F.desc("weight"), "dst_family"])
     own = bank.select(F.col("id").alias("src"), "family")
     return best.join(own, "src").select("src", F.col("dst_family").alias("predicted"), (F.col("dst_family") == F.col("family")).alias("correct"))
