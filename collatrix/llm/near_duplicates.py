@@ -34,8 +34,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.graph import components
 from collatrix.llm.store import documents, materialize, small_batches
+from collatrix.operators.graph import connected_components as components
 
 SHINGLE = 5
 SIMILARITY = 0.8
