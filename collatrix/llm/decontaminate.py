@@ -186,7 +186,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     sets = by_doc.where(F.col("hit_set").isNotNull()).groupBy("hit_set").agg(F.first("contexts").alias("contexts"))
     listed = bench.select("item", context_id().alias("context")).distinct()
     lists = sets.select("hit_set", F.explode("contexts").alias("context")).join(listed, "context").groupBy("hit_set").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    out = by_doc.join(lists, "hit_set", "left")
+    # Documents without hits get a key each that nothing has: as nulls they would meet in one task.
+    spread = F.coalesce("hit_set", F.concat(F.lit("none "), F.col("row").cast("string")))
+    out = by_doc.withColumn("hit_set", spread).join(lists, "hit_set", "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         F.col("key").alias(key),
