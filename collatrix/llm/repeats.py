@@ -308,6 +308,32 @@ def equal_strings(symbols: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> n
     return out
 
 
+def may_repeat(anchors: np.ndarray, ids: np.ndarray, places: np.ndarray, offset: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """Blocks with a string whose hash a block of another id has too: no other block can hold an equal string.
+
+    About half of the blocks fall out before the suffix arrays are built.
+    """
+    rolled, width = body.astype(_U) + _U(1), 1
+    pieces, wanted = None, REACH - 1
+    while wanted:
+        if wanted & 1:
+            pieces = (rolled, width) if pieces is None else (pieces[0][: len(body) - pieces[1] - width + 1] * _U(pow(_BASE, width, 1 << 64)) + rolled[pieces[1] :][: len(body) - pieces[1] - width + 1], pieces[1] + width)
+        wanted >>= 1
+        if wanted:
+            rolled, width = rolled[:-width] * _U(pow(_BASE, width, 1 << 64)) + rolled[width:], width * 2
+    strings = places[:, 2]
+    block = np.repeat(np.arange(len(strings)), strings)
+    nth = _ramp(strings)
+    key = scramble(pieces[0][offset[block] + nth]) ^ scramble(anchors[block] + (places[block, 1] - nth).astype(_U))
+    order = np.argsort(key)
+    start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+    own = ids[block[order]]
+    several = np.minimum.reduceat(own, start) != np.maximum.reduceat(own, start)
+    out = np.zeros(len(strings), dtype=bool)
+    out[block[order][np.repeat(several, np.diff(np.r_[start, len(order)]))]] = True
+    return out
+
+
 def settle_bin(pdf: pd.DataFrame) -> pd.DataFrame:
     """Intervals of documents that the suffix arrays of a bin cover; known intervals pass through."""
     columns = ["id", "text_hash", "spans"]
@@ -321,9 +347,12 @@ def settle_bin(pdf: pd.DataFrame) -> pd.DataFrame:
     # A block's symbols: the bytes before its anchor, the anchor, the bytes after, then a divider.
     length = places[:, 2] + REACH - 1
     offset = np.cumsum(length - 1) - (length - 1)
+    fine = may_repeat(anchors, ids, places, offset, body)
+    ids, texts, anchors, places, length, offset = (x[fine] for x in (ids, texts, anchors, places, length, offset))
     order = np.argsort(anchors, kind="stable")
     total = np.cumsum(length[order] + 1)
-    new = np.r_[True, anchors[order][1:] != anchors[order][:-1]]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = anchors[order][1:] != anchors[order][:-1]
     out, at = [], 0
     heads = np.flatnonzero(new)
     while at < len(order):

@@ -63,26 +63,37 @@ def _group_all(array: list[int], group: list[int], where: list[int], end: list[i
         members = array[start : at + 1]
         for i in members:
             left[i] = i - 1
-        pointers: dict[int, int] = {}
+        found = []
         for i in members:
             p = i - 1
             while left[p] != p:
                 q = left[p]
                 left[p] = p = left[q]
             left[i] = previous[i] = p
-            pointers[p] = pointers.get(p, 0) + 1
-        pointers.pop(0, None)
-        by_count: dict[int, list[int]] = {}
-        for p, k in pointers.items():
-            by_count.setdefault(k, []).append(p)
-        for k in sorted(by_count, reverse=True):
+            if p:
+                found.append(p)
+        once = set(found)
+        if len(once) == len(found):
+            batches = (found,)
+        else:
+            pointers: dict[int, int] = {}
+            for p in found:
+                pointers[p] = pointers.get(p, 0) + 1
+            by_count: dict[int, list[int]] = {}
+            for p, k in pointers.items():
+                by_count.setdefault(k, []).append(p)
+            batches = [by_count[k] for k in sorted(by_count, reverse=True)]
+        for batch in batches:
             before: dict[int, int] = {}
-            for p in by_count[k]:
+            for p in batch:
                 g = group[p]
                 z = end[g]
-                before.setdefault(g, z)
-                other, w = array[z], where[p]
-                array[w], where[other], array[z], where[p] = other, w, p, z
+                if g not in before:
+                    before[g] = z
+                w = where[p]
+                if w != z:
+                    other = array[z]
+                    array[w], where[other], array[z], where[p] = other, w, p, z
                 end[g] = z - 1
             for g, z in before.items():
                 new = end[g] + 1
