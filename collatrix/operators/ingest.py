@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from collatrix.operators.contracts import expect, expect_unique
+
 
 def best_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
     """The first row of each group in a total order."""
@@ -49,3 +51,20 @@ def interleave(df: DataFrame, group: str, order: Sequence[Column | str]) -> Data
     turn = F.row_number().over(W.partitionBy(group).orderBy(*order))
     turned = df.withColumn("turn", turn)
     return turned.withColumn("position", F.row_number().over(W.orderBy("turn", group)))
+
+
+def shuffled(df: DataFrame, key: str, seeds: Sequence[int], rank: str = "rank") -> DataFrame:
+    """(seed, key, rank): the rows in an order of their own for each seed, by a hash, the same in every run."""
+    seeded = df.select(F.col(key), F.explode(F.array(*[F.lit(int(s)) for s in seeds])).alias("seed"))
+    mark = F.md5(F.concat_ws("-", "seed", key).cast("binary"))
+    return seeded.withColumn(rank, F.row_number().over(W.partitionBy("seed").orderBy(mark, key)))
+
+
+def priorities(df: DataFrame, key: str = "canonical_id", score: str = "score", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, score, rank, ``keep``) by score, then key; ids that repeat and scores that are not from 0 to 1 are errors.
+
+    Only the named columns come out, so no label does.
+    """
+    expect_unique(df, [key], f"{key} repeats")
+    fine = expect(df.select(key, score, *keep), ~F.isnan(score) & F.col(score).between(0, 1), f"{score} is not from 0 to 1")
+    return fine.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), key)))

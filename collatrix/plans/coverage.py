@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collatrix.operators.coverage import coverage_at, gains, plan_frame, static_order
-from collatrix.operators.ingest import interleave, top_per_group
+from collatrix.operators.ingest import interleave, shuffled, top_per_group
 from collatrix.plans.registry import query
 from collatrix.sources.tables import table
 
@@ -109,6 +109,24 @@ def coverage_metrics_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage_at(order, order_incidence(spark, sf_dir), budget_frame(spark))
 
 
+@query(
+    "coverage_random_baseline",
+    f"""WITH {STATIC_SQL}, seeds AS (SELECT unnest(range(1, 21))::INT AS seed),
+    orders AS (SELECT seed, item, row_number() OVER (PARTITION BY seed ORDER BY md5(seed || '-' || item), item) AS place FROM ranked, seeds QUALIFY place <= 100),
+    n AS (SELECT seed, budget, grp, count(*) AS n FROM budgets JOIN orders ON place <= budget JOIN inc USING (item) GROUP BY ALL),
+    m AS (SELECT seed, budget, count(*) AS seen, count(*) FILTER (WHERE n >= 2) AS repeated FROM n GROUP BY ALL)
+    SELECT budget, round(avg(seen), 9) AS seen, round(avg(repeated), 9) AS repeated, quantile_cont(seen, 0.025) AS low, quantile_cont(seen, 0.975) AS high FROM m GROUP BY budget""",
+)
+def coverage_random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What twenty random orders cover at four budgets: means, and the central 95 %."""
+    inc = order_incidence(spark, sf_dir)
+    orders = shuffled(inc.select("item").distinct(), "item", range(1, 21)).where("rank <= 100")
+    n = orders.join(F.broadcast(budget_frame(spark)), F.col("rank") <= F.col("budget")).join(inc, "item").groupBy("seed", "budget", "grp").agg(F.count("*").alias("n"))
+    m = n.groupBy("seed", "budget").agg(F.count("*").alias("s"), F.count_if(F.col("n") >= 2).alias("r"))
+    low, high = (F.percentile("s", F.lit(q)) for q in (0.025, 0.975))
+    return m.groupBy("budget").agg(F.round(F.avg("s"), 9).alias("seen"), F.round(F.avg("r"), 9).alias("repeated"), low.alias("low"), high.alias("high"))
+
+
 @query(
     "cross_context_coverage",
     f"""WITH {STATIC_SQL}, {CONTEXT_SQL},

@@ -64,3 +64,15 @@ def label(value, names: dict[str, str]):
     """A label for a code: its name, or the code with spaces for underscores."""
     table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
     return F.coalesce(F.element_at(table, value), F.replace(value, F.lit("_"), F.lit(" ")))
+
+
+def receipt(spark, path: str) -> DataFrame:
+    """(name, bytes, sha256) of the files that a writer left under a path, markers and checksums aside."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.substring_index("path", "/", -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+def write_document(df: DataFrame, path: str, version: int = 1) -> None:
+    """All rows as the items of one JSON document with a version; the committer makes it appear at once. For small results."""
+    items = df.agg(F.collect_list(F.struct("*")).alias("items"))
+    items.select(F.lit(version).alias("schema_version"), "items").coalesce(1).write.mode("overwrite").json(path)

@@ -68,3 +68,14 @@ def test_sinks(spark, tmp_path):
     sinks.write_jsonl(df, str(tmp_path / "j"))
     assert files.read_jsonl(spark, str(tmp_path / "j"), "n int, note string").count() == 2
     assert sinks.markdown(df.orderBy("n"), ["n", "s"]).splitlines()[2] == "| 1 | 0.500 |"
+
+
+def test_documents_and_receipts(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n int, s string")
+    sinks.write_document(df, str(tmp_path / "d"), 3)
+    back = files.read_document(spark, str(tmp_path / "d"), "schema_version int, items array<struct<n: int, s: string>>", 3).first()
+    assert sorted(i["s"] for i in back["items"]) == ["a", "b"]
+    sinks.write_csv(df, str(tmp_path / "c"), ["n", "s"])
+    rows = sinks.receipt(spark, str(tmp_path / "c")).collect()
+    assert sum(r["bytes"] for r in rows) == sum(p.stat().st_size for p in (tmp_path / "c").glob("part-*"))
+    assert all(len(r["sha256"]) == 64 for r in rows)

@@ -171,3 +171,23 @@ def test_regions(spark):
 def test_content_keys(spark):
     df = spark.createDataFrame([("A" * 64 + " ", "p"), ("x", "q")], "d string, k string")
     assert [r[0] for r in df.select(ingest.content_key(F.col("d"), F.col("k"))).collect()] == ["sha256:" + "a" * 64, "photo:q"]
+
+
+def test_priorities(spark):
+    df = spark.createDataFrame([("b", 0.5, 1), ("a", 0.5, 0), ("c", 0.9, 1)], "canonical_id string, score double, target int")
+    got = ingest.priorities(df)
+    assert "target" not in got.columns
+    assert [r["canonical_id"] for r in got.orderBy("rank").collect()] == ["c", "a", "b"]
+    with pytest.raises(contracts.ContractError):
+        ingest.priorities(df.unionByName(df))
+    for bad in (float("nan"), 1.5):
+        with pytest.raises(Exception, match="not from 0 to 1"):
+            ingest.priorities(df.withColumn("score", F.lit(bad))).collect()
+
+
+def test_shuffles_are_fixed_and_differ(spark):
+    df = spark.range(50)
+    got = {(r["seed"], r["rank"]): r["id"] for r in ingest.shuffled(df, "id", [1, 2]).collect()}
+    again = {(r["seed"], r["rank"]): r["id"] for r in ingest.shuffled(df.repartition(3), "id", [1, 2]).collect()}
+    assert got == again
+    assert [got[1, i] for i in range(1, 51)] != [got[2, i] for i in range(1, 51)]
