@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from collatrix.operators.ranking import in_order
+
 
 def auc(df: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
     """Area under the ROC curve from rank sums, ties counting half; null where a class is empty.
@@ -28,9 +30,9 @@ def auc(df: DataFrame, score: str, target: str, by: list[str] | None = None) ->
 def cumulative(df: DataFrame, score: str, target: str) -> DataFrame:
     """Per distinct score, from the highest: how many positives and rows score that or more, and totals."""
     at = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(target).alias("p"), F.count("*").alias("k"))
-    down = W.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every = W.partitionBy(F.lit(0))
-    return at.select("threshold", F.sum("p").over(down).alias("tp"), F.sum("k").over(down).alias("taken"), F.sum("p").over(every).alias("positives"), F.sum("k").over(every).alias("rows"))
+    total = df.agg(F.sum(target).alias("positives"), F.count("*").alias("rows"))
+    down = in_order(at, [F.desc("threshold")], {"tp": "p", "taken": "k"})
+    return down.crossJoin(F.broadcast(total)).select("threshold", "tp", "taken", "positives", "rows")
 
 
 def rates(c: DataFrame) -> DataFrame:

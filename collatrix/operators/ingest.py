@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collatrix.operators.contracts import expect, expect_unique
+from collatrix.operators.ranking import in_order
 
 
 def best_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -49,8 +50,7 @@ def content_key(digest: Column, key: Column) -> Column:
 def interleave(df: DataFrame, group: str, order: Sequence[Column | str]) -> DataFrame:
     """Round robin: the first row of each group, then the second of each, with their position."""
     turn = F.row_number().over(W.partitionBy(group).orderBy(*order))
-    turned = df.withColumn("turn", turn)
-    return turned.withColumn("position", F.row_number().over(W.orderBy("turn", group)))
+    return in_order(df.withColumn("turn", turn), ["turn", group], rank="position")
 
 
 def shuffled(df: DataFrame, key: str, seeds: Sequence[int], rank: str = "rank") -> DataFrame:
@@ -67,4 +67,4 @@ def priorities(df: DataFrame, key: str = "canonical_id", score: str = "score", k
     """
     expect_unique(df, [key], f"{key} repeats")
     fine = expect(df.select(key, score, *keep), ~F.isnan(score) & F.col(score).between(0, 1), f"{score} is not from 0 to 1")
-    return fine.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), key)))
+    return in_order(fine, [F.desc(score), key], rank="rank")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collatrix.operators.evaluate import auc, bootstrap_auc, cumulative, interval, normal_equations, rates, ridge_from
+from collatrix.operators.ranking import in_order
 from collatrix.plans.registry import query
 from collatrix.plans.vectors import items
 from collatrix.sources.tables import table
@@ -123,14 +124,14 @@ def discovery_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "priority_queue",
-    f"WITH {PREDS_SQL} SELECT doc_id, round(score / (SELECT max(score) FROM preds), 9) AS score, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM preds",
+    f"WITH {PREDS_SQL} SELECT doc_id, round(score / (SELECT max(score) FROM preds), 9) AS score, row_number() OVER (ORDER BY round(score / (SELECT max(score) FROM preds), 9) DESC, doc_id) AS rank FROM preds",
 )
 def priority_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents to look at, by score; labels are not part of it."""
     preds = predictions(spark, sf_dir).select("doc_id", "score")
     most = preds.agg(F.max("score").alias("most"))
-    rank = F.row_number().over(W.orderBy(F.desc("score"), "doc_id"))
-    return preds.crossJoin(F.broadcast(most)).select("doc_id", F.round(F.col("score") / F.col("most"), 9).alias("score"), rank.alias("rank"))
+    scaled = preds.crossJoin(F.broadcast(most)).select("doc_id", F.round(F.col("score") / F.col("most"), 9).alias("score"))
+    return in_order(scaled, [F.desc("score"), "doc_id"], rank="rank")
 
 
 @query(

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from collatrix.operators import contracts, coverage, dossier, evaluate, graph, groupstats, ingest, regions, sessions, vectors
+from collatrix.operators import contracts, coverage, dossier, evaluate, graph, groupstats, ingest, ranking, regions, sessions, vectors
 
 
 def incidence(spark, photos):
@@ -191,3 +191,15 @@ def test_shuffles_are_fixed_and_differ(spark):
     again = {(r["seed"], r["rank"]): r["id"] for r in ingest.shuffled(df.repartition(3), "id", [1, 2]).collect()}
     assert got == again
     assert [got[1, i] for i in range(1, 51)] != [got[2, i] for i in range(1, 51)]
+
+
+def test_global_order_equals_sorting(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.randint(0, 30), rng.randint(0, 9)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, s int, n int").repartition(7)
+    got = {r["id"]: (r["place"], r["total"]) for r in ranking.in_order(df, [F.desc("s"), "id"], {"total": "n"}, "place").collect()}
+    total = 0
+    for place, (i, _, n) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1):
+        total += n
+        assert got[i] == (place, total)
+    assert ranking.in_order(df.limit(0), ["id"], {"total": "n"}, "place").count() == 0
