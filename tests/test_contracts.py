@@ -30,3 +30,17 @@ def test_key_sets(spark):
     C.expect_same_keys(a, b, "k", "differ")
     with pytest.raises(C.ContractError):
         C.expect_same_keys(a, b.where("k = 1"), "k", "differ")
+
+
+def test_written_intermediates_can_be_dropped(spark):
+    import os
+
+    from collatrix import session
+
+    session.drop_materialized(spark)
+    df = session.materialize(spark.range(3), "three")
+    assert df.count() == 3
+    place = session._WRITTEN[0].removeprefix("file:")
+    assert os.path.isdir(place)
+    assert session.drop_materialized(spark) == 1
+    assert not os.path.isdir(place)
