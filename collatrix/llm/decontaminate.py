@@ -183,6 +183,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     )
     by_doc = hits.groupBy("row", "key", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("context")).alias("contexts"))
     by_doc = by_doc.withColumn("hit_set", F.when(F.size("contexts") > 0, F.md5(F.concat_ws(",", F.col("contexts").cast("array<string>")).cast("binary"))))
+    # A row per document, written: both uses below would read all texts anew.
+    by_doc = materialize(by_doc, "hits")
     sets = by_doc.where(F.col("hit_set").isNotNull()).groupBy("hit_set").agg(F.first("contexts").alias("contexts"))
     listed = bench.select("item", context_id().alias("context")).distinct()
     lists = sets.select("hit_set", F.explode("contexts").alias("context")).join(listed, "context").groupBy("hit_set").agg(F.array_sort(F.collect_set("item")).alias("items"))
