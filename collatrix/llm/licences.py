@@ -50,6 +50,7 @@ TEMPLATES = {
 }
 LICENCE_FILE = r"(?i)(^|/)(un)?(licen[cs]e|copying|notice)([.-][^/]*)?$"
 LEAST = 0.75
+BROADCAST_DIRECTORIES = 100_000
 TERM = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 
@@ -157,6 +158,9 @@ def scan_licences(files: DataFrame, key: str, path: Column, text: str = "text",
     levels = F.transform(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(up))), lambda i: F.array_join(F.slice(up, F.lit(1), i), "/"))
     above = dirs.select("dir", F.posexplode(levels).alias("depth", "above")).join(declared, "above")
     nearest = above.groupBy("dir").agg(F.max(F.struct("depth", "above", "dir_licence")).alias("near"))
+    # Few directories are broadcast, which leaves the files where they are; else the join is shuffled, and adaptive execution splits large directories.
+    nearest = materialize(nearest, "directories")
+    nearest = F.broadcast(nearest) if nearest.count() <= BROADCAST_DIRECTORIES else nearest
     out = rows.join(nearest, "dir", "left")
     own = F.col("licence").isNotNull()
     return out.select(
