@@ -43,8 +43,8 @@ GRAM = 24
 #: Strings per anchor's reach, and symbols of a string when its anchor is one.
 REACH = SPAN - GRAM + 1
 #: Bytes of text that a task cuts into blocks at a time, and least bytes per part that blocks are dealt to.
-CHUNK = 16 << 20
-PART = 24 << 20
+CHUNK = 8 << 20
+PART = 10 << 20
 #: Symbols that one suffix array holds, unless one anchor has more.
 ARRAY = 10_000
 #: Longer texts are cut in pieces that overlap; the strings stay the same.
@@ -308,23 +308,38 @@ def equal_strings(symbols: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> n
     return out
 
 
+def string_hashes(body: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every run of ``width`` bytes, by doubling."""
+    rolled, own, out, made = body.astype(_U) + _U(1), 1, None, 0
+    while True:
+        if width & own:
+            if out is None:
+                out, made = rolled.copy(), own
+            else:
+                n = len(body) - made - own + 1
+                out = out[:n] * _U(pow(_BASE, own, 1 << 64))
+                out += rolled[made : made + n]
+                made += own
+        if own * 2 > width:
+            return out
+        longer = rolled[:-own] * _U(pow(_BASE, own, 1 << 64))
+        longer += rolled[own:]
+        rolled, own = longer, own * 2
+
+
 def may_repeat(anchors: np.ndarray, ids: np.ndarray, places: np.ndarray, offset: np.ndarray, body: np.ndarray) -> np.ndarray:
     """Blocks with a string whose hash a block of another id has too: no other block can hold an equal string.
 
     About half of the blocks fall out before the suffix arrays are built.
     """
-    rolled, width = body.astype(_U) + _U(1), 1
-    pieces, wanted = None, REACH - 1
-    while wanted:
-        if wanted & 1:
-            pieces = (rolled, width) if pieces is None else (pieces[0][: len(body) - pieces[1] - width + 1] * _U(pow(_BASE, width, 1 << 64)) + rolled[pieces[1] :][: len(body) - pieces[1] - width + 1], pieces[1] + width)
-        wanted >>= 1
-        if wanted:
-            rolled, width = rolled[:-width] * _U(pow(_BASE, width, 1 << 64)) + rolled[width:], width * 2
+    rolled = string_hashes(body, REACH - 1)
     strings = places[:, 2]
     block = np.repeat(np.arange(len(strings)), strings)
     nth = _ramp(strings)
-    key = scramble(pieces[0][offset[block] + nth]) ^ scramble(anchors[block] + (places[block, 1] - nth).astype(_U))
+    key = scramble(rolled[offset[block] + nth])
+    del rolled
+    key ^= scramble(anchors[block] + (places[block, 1] - nth).astype(_U))
+    del nth
     order = np.argsort(key)
     start = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
     own = ids[block[order]]
