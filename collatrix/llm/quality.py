@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.store import documents, materialize, read, small_batches
+from collatrix.llm.store import documents, first_by_hash, materialize, read, small_batches
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -192,7 +192,7 @@ def fit(measured: DataFrame, key: str = "key", fit_rows: int = FIT_ROWS) -> Isol
     """A forest from labelled rows (key, label, stats), ``fit_rows`` at most; None without rows labelled good."""
     halves = []
     for is_good, most in ((True, fit_rows - fit_rows // 8), (False, fit_rows // 8)):
-        kept = measured.where((F.col("label") > 0) if is_good else (F.col("label") <= 0)).orderBy(F.xxhash64(key), key).limit(most)
+        kept = first_by_hash(measured.where((F.col("label") > 0) if is_good else (F.col("label") <= 0)), key, most)
         rows = kept.select(*[f"stats.{x}" for x in FEATURES]).collect()
         halves.append(np.array([tuple(r) for r in rows], dtype=float).reshape(-1, len(FEATURES)))
     return IsolationForest(*halves) if len(halves[0]) else None
