@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.store import documents, read, small_batches
+from collatrix.llm.store import documents, first_by_hash, read, small_batches
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -160,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     one = named.where(F.col("label_key").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("label_key")))
     one = one.groupBy("label_key").agg(F.max("label").cast("int").alias("label"))
     totals = {r["label"]: r["n"] for r in one.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
-    chosen = [one.where((F.col("label") > 0) == bool(y)).orderBy(F.xxhash64("label_key"), "label_key").limit(fit_rows) for y in (0, 1)]
+    chosen = [first_by_hash(one.where((F.col("label") > 0) == bool(y)), "label_key", fit_rows) for y in (0, 1)]
     picked = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(picked), texts["key"] == picked["label_key"]).select("label", "text").collect()
