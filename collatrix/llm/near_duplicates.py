@@ -318,7 +318,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """The rows of ``docs`` with one of each class: that with the least key."""
     named = docs.select(F.struct("*").alias("doc"), F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash")).alias("ident"), F.col(text).alias("text"))
     kept = classes(named, "ident", "text").where("kept").select(F.col("ident").alias("one"))
-    return named.join(kept, named["ident"] == kept["one"], "left_semi").dropDuplicates(["ident"]).select("doc.*")
+    rows = named.join(kept, named["ident"] == kept["one"], "left_semi")
+    # Rows that repeat with id and text are one class, of which both would stay; where there are none, texts need not be shuffled for it.
+    if named.groupBy("ident").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        rows = rows.dropDuplicates(["ident"])
+    return rows.select("doc.*")
 
 
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
