@@ -74,6 +74,72 @@ def test_lines_without_key_terms_cannot_reach_the_threshold():
     assert model.best("the of and is this") is None
 
 
+GPL = """/* frob.c - frobnicates
+ *
+ * Frob is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version {v}
+ * of the License, or (at your option) any later version.
+ *
+ * Frob is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main(void) {{ return 0; }}
+"""
+MIT = """Copyright (c) 2019 A. N. Author and others
+
+Permission is hereby granted, free of charge, to any person
+obtaining a copy of this program and its documentation (the
+"Program"), to deal in the Program without restriction, including
+without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Program, and to
+permit persons to whom the Program is furnished to do so, subject
+to the following conditions:
+
+The above copyright notice and this permission notice shall be
+included in all copies or substantial portions of the Program.
+
+THE PROGRAM IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY."""
+
+
+def test_headers_texts_and_tags_are_found_however_they_are_wrapped(spark):
+    apache = (L.TEXTS / "Apache-2.0.txt").read_text().split()
+    bsd = {k: " ".join((L.TEXTS / f"BSD-{k}-Clause.txt").read_text().split()).replace("PURPOSE", "USE") for k in (2, 3)}
+    want = {
+        "# SPDX-License-Identifier: MIT\nimport os": "MIT",
+        "/* SPDX-License-Identifier: apache-2.0 */": "Apache-2.0",
+        "// SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0",
+        "# SPDX-License-Identifier: (MIT OR EUPL-1.2)": "MIT OR EUPL-1.2",
+        "# SPDX-License-Identifier: EPL-2.0": "EPL-2.0",
+        "# SPDX-License-Identifier: NONE": None,
+        "MIT License\n\nCopyright (c) me": "MIT",
+        "The MIT License (MIT)": "MIT",
+        "Apache License\n   Version 2.0, January 2004": "Apache-2.0",
+        "Licensed under the MIT license. See LICENSE in the project root.": "MIT",
+        "Licensed under the Foo license. See LICENSE in the project root.": None,
+        "x = 1\n# Released under\n# the MIT License.\n" + "y = 2\n" * 500: "MIT",
+        GPL.format(v=2): "GPL-2.0",
+        GPL.format(v=3): "GPL-3.0",
+        GPL.format(v=3).replace("GNU General", "GNU Affero General"): "AGPL-3.0",
+        "import sys\n" * 300 + GPL.format(v=2): "GPL-2.0",
+        MIT: "MIT",
+        "\n".join(" ".join(apache[i : i + 7]) for i in range(0, len(apache), 7)): "Apache-2.0",
+        f"Copyright (c) 1999, someone\n{bsd[2]}": "BSD-2-Clause",
+        f"Copyright (c) 1999, someone\n{bsd[3]}": "BSD-3-Clause",
+        "Er kam mit\nMit\nmit uns": None,
+        "a merge of the software is permitted, without any warranty, under the terms of the new contract": None,
+    }
+    df = spark.createDataFrame([(i, f"{i}/f.c", x) for i, x in enumerate(want)] + [(1000 + i, f"{i}/g.c", "the is of and in a 2 to " * 9) for i in range(40)], "id long, path string, text string")
+    got = {r["id"]: r["licence"] for r in L.scan_licences(df, "id", F.col("path")).collect()}
+    assert {x: got[i] for i, x in enumerate(want)} == want
+
+
 def plain_match(rules, host, path):
     best = None
     for verdict, rule in rules:
