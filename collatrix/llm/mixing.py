@@ -1,12 +1,13 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 The documents of a source stand in an order shuffled by a hash of their id, and
-pass up to ``max_passes`` times. An instance's virtual time is the source's
-tokens up to it divided by the source's weight; the mix is the instances in
-the order of virtual time, cut where the total budget is spent. Sources that
-run out are served less than their weight, and the others get their part: the
-cut is the same as one target per source, which is found in closed form from
-a row per source.
+pass up to ``max_passes`` times. An instance's virtual finish time is the source's
+tokens up to it divided by the source's weight; ``mix`` orders the instances by
+it over all sources. Sources that run out are served less than their weight, and
+the others get their part. ``queue``, whose result has SQL, doesn't truncate the
+instances in that order by a running total: it cuts each source at a target, found
+in closed form from a row per source, where the fluid queue would end. Each source
+is rounded to the nearer document, so the mix can miss the budget by half a document a source.
 
 A running sum over a hot source would be one task, so a source is dealt into
 ``BUCKETS`` ranges of the hash: sums of ranges give each range its offset, and
@@ -33,7 +34,7 @@ BUCKET_DIGITS = 3
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int], max_passes: int) -> DataFrame:
-    """Targets per source: (skey, source_size, target) from (skey, source_size).
+    """Targets per source: (skey, source_size, weight, target) from (skey, source_size).
 
     Water filling: sources by max_passes * size / weight; the first of them are
     full as long as their share of what is left reaches that. One row per source.
@@ -51,14 +52,16 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], max_passes: int) ->
     )
     level = ranked.withColumn("rank", F.row_number().over(by_ratio)).withColumn("first_open", F.min(F.when(~F.col("full"), F.struct("rank", "left", "open_w"))).over(every))
     shared = F.col("w") * F.col("first_open.left") / F.col("first_open.open_w")
-    return level.select("skey", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(shared).alias("target"))
+    return level.select("skey", "source_size", F.col("w").alias("weight"), F.when(F.col("full"), F.col("most").cast("double")).otherwise(shared).alias("target"))
 
 
-def queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """Per document its key, source, size, start (tokens before it in a pass), source_size, target and copies taken.
+def queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", ident: Sequence[Column] = ()) -> DataFrame:
+    """Per document its key, source, size, start (tokens before it in a pass), source_size, weight, target and copies taken.
 
     ``weights`` go to the sources in code-point order, null last, over and over.
+    ``ident`` are further columns that are carried, and settle the order of rows of one key and size.
     """
+    carried = [f"ident_{i}" for i in range(len(ident))]
     named = F.coalesce(F.col(key).cast("string"), F.col(text), F.lit(""))
     rows = docs.select(
         F.col(key).alias("key"),
@@ -66,16 +69,17 @@ def queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int =
         F.when(F.col(source).isNull(), "~").otherwise(F.concat(F.lit("="), F.col(source).cast("string"))).alias("skey"),
         count_words(F.col(text)).alias("size"),
         F.md5(named.cast("binary")).alias("h"),
+        *[c.alias(name) for c, name in zip(ident, carried, strict=True)],
     ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     rows = materialize(rows, "mixing")
     ranges = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("range_size"))
     targets = source_targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), weights, max_passes)
     offset = F.coalesce(F.sum("range_size").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = ranges.select("skey", "bucket", offset.alias("offset")).join(targets, "skey")
-    within = W.partitionBy("skey", "bucket").orderBy("h", "key", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    within = W.partitionBy("skey", "bucket").orderBy("h", "key", "size", *carried).rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = rows.withColumn("until", F.sum("size").over(within))
     out = summed.join(placed, ["skey", "bucket"]).withColumn("start", F.col("offset") + F.col("until") - F.col("size"))
-    return out.select("key", "source", "size", "start", "source_size", "target", copies_taken(max_passes).alias("copies"))
+    return out.select("key", "source", "size", "start", "source_size", "weight", "target", copies_taken(max_passes).alias("copies"), *carried)
 
 
 def copies_taken(max_passes: int) -> Column:
@@ -86,13 +90,13 @@ def copies_taken(max_passes: int) -> Column:
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each taken instance of a document, with all its columns, in order of virtual time.
+    """The mix itself: each taken instance of a document, with all its columns, in order of virtual finish time.
 
     Adds mix_pass (from 0) and mix_time. Keys must be unique; rows without a key are not mixed.
     """
     queued = queue(docs, weights, max_passes, key, text, source).where(F.col("copies") > 0)
     chosen = queued.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    time = (F.col("start") + F.col("size") + F.col("mix_pass") * F.col("source_size")) / F.col("target")
+    time = (F.col("start") + F.col("size") + F.col("mix_pass") * F.col("source_size")) / F.col("weight")
     chosen = chosen.select(F.col("key").alias("mix_key"), "mix_pass", time.alias("mix_time"))
     return docs.join(chosen, docs[key] == chosen["mix_key"]).drop("mix_key").orderBy("mix_time", key)
 

@@ -82,6 +82,21 @@ def test_mix_is_in_order_of_virtual_time(spark):
     assert copies == want
 
 
+def test_sources_that_run_out_are_served_by_weight_until_then(spark):
+    rows = [(i, "w " * 10, "a") for i in range(4)] + [(100 + i, "w " * 10, "b") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = M.mix(docs).collect()
+    served = [r["source"] for r in taken]
+    assert served.count("a") == 12
+    last = max(i for i, s in enumerate(served) if s == "a")
+    assert served[: last + 1].count("b") == pytest.approx(12 * 2 / 5, abs=1)
+    served_words = defaultdict(int)
+    for r in taken:
+        served_words[r["source"]] += 10
+        assert r["mix_time"] == pytest.approx(served_words[r["source"]] / {"a": 5, "b": 2}[r["source"]])
+    assert abs(10 * len(taken) - 10 * len(rows)) <= 10
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.queue(none).count() == 0
