@@ -92,13 +92,25 @@ def copies_taken(max_passes: int) -> Column:
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each taken instance of a document, with all its columns, in order of virtual finish time.
 
-    Adds mix_pass (from 0) and mix_time. Keys must be unique; rows without a key are not mixed.
+    Adds mix_pass (from 0) and mix_time. Rows are found again by all they hold and a number
+    among equal ones, so null and repeated keys are taken as often as ``queue`` says.
     """
-    queued = queue(docs, weights, max_passes, key, text, source).where(F.col("copies") > 0)
-    chosen = queued.withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    # The text apart, as the digest of a long one is the only part that must not collide by chance.
+    others = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text]
+    ident = [F.md5(F.concat_ws("\1", *others).cast("binary")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))]
+    names = ["ident_0", "ident_1"]
+    number = F.row_number().over(W.partitionBy(*names).orderBy("start"))
+    queued = materialize(queue(docs, weights, max_passes, key, text, source, ident).withColumn("ident_n", number), "queue")
+    rows = docs.withColumns(dict(zip(names, ident, strict=True)))
+    if queued.where("ident_n > 1").isEmpty():
+        queued = queued.drop("ident_n")
+    else:
+        # Equal rows stand in any order: they are the same.
+        rows = rows.withColumn("ident_n", F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0))))
+        names = [*names, "ident_n"]
+    chosen = queued.where(F.col("copies") > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     time = (F.col("start") + F.col("size") + F.col("mix_pass") * F.col("source_size")) / F.col("weight")
-    chosen = chosen.select(F.col("key").alias("mix_key"), "mix_pass", time.alias("mix_time"))
-    return docs.join(chosen, docs[key] == chosen["mix_key"]).drop("mix_key").orderBy("mix_time", key)
+    return rows.join(chosen.select(*names, "mix_pass", time.alias("mix_time")), names).select(*docs.columns, "mix_pass", "mix_time").orderBy("mix_time", key)
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,6 +97,26 @@ def test_sources_that_run_out_are_served_by_weight_until_then(spark):
     assert abs(10 * len(taken) - 10 * len(rows)) <= 10
 
 
+def test_null_and_repeated_ids_are_taken_as_often_as_queued(spark):
+    rows = [(None, f"n{i} " * (3 + i), "ab"[i % 2], "en") for i in range(12)]
+    rows += [(7, f"r{i} " * 5, "a", "en") for i in range(9)] + [(8, "same text", "b", lang) for lang in ("en", "en", "fr", None)]
+    rows += [(100 + i, "w " * 20, "a", "en") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    for df in (docs, docs.dropDuplicates()):
+        queued = M.queue(df).collect()
+        taken = M.mix(df).collect()
+        want, got, each = defaultdict(int), defaultdict(int), defaultdict(int)
+        for r in queued:
+            want[r["key"], r["source"], r["size"]] += r["copies"]
+        for r in taken:
+            got[r["doc_id"], r["source"], len(r["text"].split())] += 1
+            each[r["doc_id"], r["text"], r["source"], r["lang"], r["mix_pass"]] += 1
+        assert got == {k: n for k, n in want.items() if n}
+        kept = list(map(tuple, df.collect()))
+        assert all(n <= kept.count(k[:4]) for k, n in each.items())
+        assert len({r["text"] for r in taken if r["doc_id"] is None}) > 1
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert M.queue(none).count() == 0
