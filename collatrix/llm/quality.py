@@ -1,16 +1,16 @@
 """Quality rules: an isolation forest on rule statistics.
 
 Each document gets a row of rule statistics, one reading of its text. Base rules
-reject short and repetitive texts outright. For the rest each statistic counts
-by what it exceeds its limits by: the rule's own, or the ``LIMIT`` quantiles of rows
-labelled good where these are wider, so that the ordinary spread of clean texts
-is no anomaly. An isolation forest
-on these gives the mean path length over random splits: documents that few
-splits isolate are anomalous. The cut-off comes from labelled rows.
+reject short and repetitive texts outright. For the rest an isolation forest on
+the statistics gives the mean path length over random splits: documents that
+few splits isolate are anomalous. No statistic has a limit of its own. A split
+picks a statistic in proportion to its range in the node, so that one which
+sets a few rows far apart is split early. The cut-off comes from labelled rows.
 
 The trees are grown from a bounded sample of labelled rows (``FIT_ROWS`` of them
 by a hash of their id, the documented bound), each from ``TREE_ROWS`` of these,
-of which ``BAD_SHARE`` are labelled bad: scarce enough to be isolated early.
+of which ``BAD_SHARE`` are labelled bad: scarcer than the rare kinds of good rows
+(lists, tables of numbers), or else these would be isolated first.
 The cut-off is taken from the histogram of scores of all labelled rows, a
 quarter up among those that reject at most ``GOOD_LOSS`` of the good and no fewer of the bad. Without
 labels of both kinds, the base rules decide alone.
@@ -44,17 +44,17 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 FIT_ROWS = 8192
-TREES = 128
-TREE_ROWS = 256
-BAD_SHARE = 0.03
-GOOD_LOSS = 0.002
-LIMIT = 0.999
+TREES = 64
+TREE_ROWS = 2048
+BAD_SHARE = 0.002
+#: Levels of a tree beyond those of a balanced one.
+DEEPER = 6
+GOOD_LOSS = 0.005
 BINS = 2000
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share", "mark_share", "mean_word", "short_words"]
-#: Least and greatest value of each feature that is fine by rule (fixed values), in the order of FEATURES.
-FINE = ((0.0, 0.02), (0.0, 0.3), (0.0, 0.3), (0.0, 0.3), (0.0, 0.2), (0.0, 0.05), (3.0, 10.0), (0.0, 0.7))
+#: Ranges are compared as shares; lengths of words count in tens of characters.
 SCHEMA = ", ".join([f"{x} long" for x in BASE] + [f"{x} double" for x in FEATURES])
 
 
@@ -92,7 +92,7 @@ def statistics(text: str | None) -> tuple:
         upper / max(upper + lower, 1),
         count(DIGITS) / per,
         count(MARKS) / per,
-        min(chars / each, 50.0),
+        min(chars / each, 50.0) / 10,
         sum(len(w) < 3 for w in words) / each,
     )
     return (n, chars, symbols, dup, repeated, *features)
@@ -118,20 +118,14 @@ def mean_path(n: int) -> float:
 
 
 class IsolationForest:
-    """Trees of random splits over excesses as flat arrays; leaves point to themselves."""
+    """Trees of random splits as flat arrays; leaves point to themselves."""
 
     def __init__(self, good: np.ndarray, bad: np.ndarray, trees: int = TREES, rows: int = TREE_ROWS, bad_share: float = BAD_SHARE, seed: int = 17):
         rng = np.random.default_rng(seed)
-        # Limits are values of rows: a limit between rows would make the outer one an anomaly by a hair.
-        low, high = np.quantile(good, 1 - LIMIT, axis=0, method="lower"), np.quantile(good, LIMIT, axis=0, method="higher")
-        if good.shape[1] == len(FINE):
-            low, high = np.minimum(low, [x for x, _ in FINE]), np.maximum(high, [x for _, x in FINE])
-        self.low, self.high = low, high
-        good, bad = self.excess(good), self.excess(bad)
         n_bad = min(len(bad), max(1, round(rows * bad_share))) if len(bad) else 0
         n_good = min(len(good), rows - n_bad)
         self.norm = max(mean_path(n_good + n_bad), 1e-9)
-        self.depth = math.ceil(math.log2(max(n_good + n_bad, 2)))
+        self.depth = math.ceil(math.log2(max(n_good + n_bad, 2))) + DEEPER
         self.feature, self.cut, self.left, self.path, self.roots = [], [], [], [], []
         for _ in range(trees):
             picked = np.concatenate([good[rng.choice(len(good), n_good, replace=False)], bad[rng.choice(len(bad), n_bad, replace=False)] if n_bad else good[:0]])
@@ -139,10 +133,6 @@ class IsolationForest:
         self.feature, self.left, self.roots = (np.array(x, dtype=np.int32) for x in (self.feature, self.left, self.roots))
         self.cut, self.path = np.array(self.cut), np.array(self.path)
 
-    def excess(self, x: np.ndarray) -> np.ndarray:
-        """What each statistic is beyond its limits."""
-        return np.maximum(x - self.high, 0.0) + np.maximum(self.low - x, 0.0)
-
     def _node(self) -> int:
         at = len(self.feature)
         self.feature.append(0)
@@ -156,12 +146,12 @@ class IsolationForest:
         root = self._node()
         todo = [(root, rows, depth)]
         for at, own, d in todo:
-            low, high = own.min(axis=0, initial=np.inf), own.max(axis=0, initial=-np.inf)
-            wide = np.flatnonzero(high > low)
-            if d >= self.depth or len(own) <= 1 or not len(wide):
+            low, high = own.min(axis=0), own.max(axis=0)
+            ranges = high - low
+            if d >= self.depth or len(own) <= 1 or not ranges.any():
                 self.path[at] = d + mean_path(len(own))
                 continue
-            f = int(rng.choice(wide))
+            f = int(rng.choice(len(ranges), p=ranges / ranges.sum()))
             cut = rng.uniform(low[f], high[f])
             side = own[:, f] > cut
             left, right = self._node(), self._node()
@@ -173,7 +163,6 @@ class IsolationForest:
         """Anomaly of each row, from 0 to 1; 0.5 is a path of mean length."""
         if not len(x):
             return np.zeros(0)
-        x = self.excess(x)
         at = np.broadcast_to(self.roots, (len(x), len(self.roots))).copy()
         row = np.arange(len(x))[:, None]
         for _ in range(self.depth):

@@ -1,9 +1,12 @@
+import os
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from collatrix.llm import quality
+from collatrix.llm.store import documents, read
 from tests.llm.brute import base_counts
 
 
@@ -58,7 +61,7 @@ def test_paths_equal_plain_walk():
     forest = quality.IsolationForest(good, bad, trees=9, rows=64)
     x = np.concatenate([good[:20], bad])
     want = []
-    for row in forest.excess(x):
+    for row in x:
         paths = []
         for at in forest.roots:
             while forest.left[at] != at:
@@ -74,3 +77,31 @@ def test_threshold_bounds_the_loss(spark):
     cut = quality.threshold(df, 0.01)
     assert df.where(F.col("anomaly") >= cut).count() <= 10
     assert df.where(F.col("anomaly") >= cut - 1 / quality.BINS).count() >= 9
+
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
+def test_forest_decides_on_held_out_rows(spark):
+    """Fitted without labels of ids divisible by 3: the held-out junk goes, the held-out good stays, and no list of limits gives the same verdict."""
+    docs, labels = documents(spark, FOLDER), read(spark, FOLDER, "labels")
+    measured = quality.measure(docs.select(F.col("doc_id").alias("key"), "text")).drop("text").where(~quality.base_failed()).cache()
+    forest, cut = quality.calibrate(measured, labels.where("doc_id % 3 <> 0"))
+    truth = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rows = quality.with_score(measured, forest).select("key", "anomaly", *[f"stats.{x}" for x in quality.FEATURES]).collect()
+    held = [r for r in rows if r["key"] in truth and r["key"] % 3 == 0]
+    bad, good = ([r["anomaly"] >= cut for r in held if truth[r["key"]] == y] for y in (0, 1))
+    assert np.mean(bad) >= 0.9 and np.mean(good) <= 0.03
+    x = np.array([[r[f] for f in quality.FEATURES] for r in rows])
+    known_good = x[[truth.get(r["key"]) == 1 and r["key"] % 3 != 0 for r in rows]]
+    verdict = np.array([r["anomaly"] >= cut for r in rows])
+    for quantile in (0.9, 0.95, 0.99, 0.995, 1.0):
+        low, high = np.quantile(known_good, 1 - quantile, axis=0), np.quantile(known_good, quantile, axis=0)
+        beyond = ((x < low) | (x > high)).any(axis=1)
+        assert (beyond != verdict).sum() >= 3
+    measured.unpersist()
+    # The same rows with each statistic dealt anew: the path lengths follow the statistics together.
+    rng = np.random.default_rng(0)
+    shuffled = np.stack([rng.permutation(c) for c in x.T], axis=1)
+    assert ((forest.score(shuffled) >= cut) != verdict).mean() > 0.01
