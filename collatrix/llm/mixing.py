@@ -2,12 +2,14 @@
 
 The documents of a source stand in an order shuffled by a hash of their id, and
 pass up to ``max_passes`` times. An instance's virtual finish time is the source's
-tokens up to it divided by the source's weight; ``mix`` orders the instances by
-it over all sources. Sources that run out are served less than their weight, and
-the others get their part. ``queue``, whose result has SQL, doesn't truncate the
-instances in that order by a running total: it cuts each source at a target, found
-in closed form from a row per source, where the fluid queue would end. Each source
-is rounded to the nearer document, so the mix can miss the budget by half a document a source.
+tokens up to and with it, divided by the source's weight. All instances of all
+sources are dealt by ranges of that time, and the queue is cut where the
+running total of tokens would pass the budget: the tokens of all documents. Ranges
+before the cut are taken whole; only the range with the cut is summed row by row.
+Sources that run out are served less than their weight, and the others get their part.
+
+``target`` is where a queue of infinitely small documents would end, from a row per
+source; it decides nothing, and what is taken differs from it by a few documents.
 
 A running sum over a hot source would be one task, so a source is dealt into
 ``BUCKETS`` ranges of the hash: sums of ranges give each range its offset, and
@@ -16,7 +18,8 @@ the running sum is over one range.
 Defined cases: a null text has size 0, and documents of size 0 are never taken;
 a null source is a source of its own, after all others; null ids are shuffled
 by their text; rows that repeat stand beside each other and each counts; an
-empty table gives an empty result. Other columns are left alone.
+empty table gives an empty result. ``queue`` leaves other columns out, ``mix`` keeps
+all, and its own columns get underscores after their names where the rows have these already.
 """
 
 from __future__ import annotations
@@ -28,35 +31,55 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collatrix.llm.store import count_words, documents, materialize
+from collatrix.operators.ranking import in_order
 
 #: Ranges of the shuffling hash in each source: three hexadecimal digits.
 BUCKET_DIGITS = 3
+BUCKETS = 16**BUCKET_DIGITS
 
 
-def source_targets(sizes: DataFrame, weights: Sequence[int], max_passes: int) -> DataFrame:
-    """Targets per source: (skey, source_size, weight, target) from (skey, source_size).
+def source_targets(sizes: DataFrame, weights: Sequence[int], max_passes: int) -> tuple[DataFrame, int]:
+    """Targets per source, (skey, source_size, weight, target) from (skey, source_size), and the total size.
 
     Water filling: sources by max_passes * size / weight; the first of them are
-    full as long as their share of what is left reaches that. One row per source.
+    full as long as their share of what is left reaches that. Sources can be many (domains), so their
+    order and sums go through ranges too.
     """
-    order = W.orderBy("skey")
-    by_ratio = W.orderBy((F.col("most") / F.col("w")).asc(), F.col("skey").asc())
-    every = W.partitionBy(F.lit(0))
-    ranked = (
-        sizes.withColumn("w", F.element_at(F.array(*[F.lit(int(x)) for x in weights]), F.cast("int", (F.row_number().over(order) - 1) % len(weights)) + 1).cast("long"))
-        .withColumn("most", F.col("source_size") * max_passes)
-        .withColumn("before", F.sum("most").over(by_ratio.rowsBetween(W.unboundedPreceding, -1)))
-        .withColumn("left", F.sum("source_size").over(every) - F.coalesce("before", F.lit(0)))
-        .withColumn("open_w", F.sum("w").over(by_ratio.rowsBetween(0, W.unboundedFollowing)))
-        .withColumn("full", F.col("most") * F.col("open_w") <= F.col("w") * F.col("left"))
-    )
-    level = ranked.withColumn("rank", F.row_number().over(by_ratio)).withColumn("first_open", F.min(F.when(~F.col("full"), F.struct("rank", "left", "open_w"))).over(every))
-    shared = F.col("w") * F.col("first_open.left") / F.col("first_open.open_w")
-    return level.select("skey", "source_size", F.col("w").alias("weight"), F.when(F.col("full"), F.col("most").cast("double")).otherwise(shared).alias("target"))
+    nth = in_order(sizes, ["skey"], rank="nth")
+    w = F.element_at(F.array(*[F.lit(int(x)) for x in weights]), ((F.col("nth") - 1) % len(weights) + 1).cast("int")).cast("long")
+    weighed = nth.select("skey", "source_size", w.alias("w"), (F.col("source_size") * max_passes).alias("most"))
+    placed = in_order(weighed, [(F.col("most") / F.col("w")).asc(), F.col("skey").asc()], running={"most_until": "most", "w_until": "w"}, rank="rank")
+    sums = weighed.agg(F.sum("source_size").alias("total"), F.sum("w").alias("weights")).first()
+    total, all_weights = sums["total"] or 0, sums["weights"] or 0
+    wide = lambda c: c.cast("decimal(19,0)")
+    ranked = placed.withColumns({"left": F.lit(total) - F.col("most_until") + F.col("most"), "open_w": F.lit(all_weights) - F.col("w_until") + F.col("w")})
+    ranked = ranked.withColumn("full", wide(F.col("most")) * wide(F.col("open_w")) <= wide(F.col("w")) * wide(F.col("left")))
+    first_open = ranked.where(~F.col("full")).agg(F.min(F.struct("rank", "left", "open_w")).alias("x")).first()["x"]
+    share = F.col("w") * F.lit(first_open["left"]) / F.lit(first_open["open_w"]) if first_open else F.lit(0.0)
+    target = F.when(F.col("full"), F.col("most").cast("double")).otherwise(share)
+    return ranked.select("skey", "source_size", F.col("w").alias("weight"), target.alias("target")), total
+
+
+def first_beyond(instances: DataFrame, budget: int) -> tuple | None:
+    """(finish, skey, until) of the first instance with which the running total of tokens passes the budget, or None.
+
+    Instances (finish, skey, until, size) are sorted into ranges; the totals of ranges, a row
+    each, tell the one with the cut.
+    """
+    order = ["finish", "skey", "until"]
+    ranged = materialize(instances.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "instances")
+    before = 0
+    for r in ranged.groupBy("range").agg(F.sum("size").alias("size")).orderBy("range").collect():
+        if before + r["size"] > budget:
+            running = F.sum("size").over(W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+            beyond = ranged.where(F.col("range") == r["range"]).withColumn("running", running).where(F.col("running") > budget - before)
+            return tuple(beyond.orderBy(*order).select(*order).first())
+        before += r["size"]
+    return None
 
 
 def queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3, key: str = "doc_id", text: str = "text", source: str = "source", ident: Sequence[Column] = ()) -> DataFrame:
-    """Per document its key, source, size, start (tokens before it in a pass), source_size, weight, target and copies taken.
+    """Per document its key, source, size, until (tokens up to and with it in a pass), source_size, weight, target and copies taken.
 
     ``weights`` go to the sources in code-point order, null last, over and over.
     ``ident`` are further columns that are carried, and settle the order of rows of one key and size.
@@ -73,20 +96,31 @@ def queue(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int =
     ).withColumn("bucket", F.substring("h", 1, BUCKET_DIGITS))
     rows = materialize(rows, "mixing")
     ranges = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("range_size"))
-    targets = source_targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), weights, max_passes)
+    targets, total = source_targets(ranges.groupBy("skey").agg(F.sum("range_size").alias("source_size")), weights, max_passes)
     offset = F.coalesce(F.sum("range_size").over(W.partitionBy("skey").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = ranges.select("skey", "bucket", offset.alias("offset")).join(targets, "skey")
     within = W.partitionBy("skey", "bucket").orderBy("h", "key", "size", *carried).rowsBetween(W.unboundedPreceding, W.currentRow)
-    summed = rows.withColumn("until", F.sum("size").over(within))
-    out = summed.join(placed, ["skey", "bucket"]).withColumn("start", F.col("offset") + F.col("until") - F.col("size"))
-    return out.select("key", "source", "size", "start", "source_size", "weight", "target", copies_taken(max_passes).alias("copies"), *carried)
+    summed = rows.withColumn("in_range", F.sum("size").over(within))
+    timed = summed.join(placed, ["skey", "bucket"]).withColumn("until", F.col("offset") + F.col("in_range"))
+    timed = materialize(timed.select("key", "source", "skey", "size", "until", "source_size", "weight", "target", *carried), "timed")
+    each = timed.where("size > 0").select("skey", "size", "weight", F.explode(passes(max_passes)).alias("until"))
+    cut = first_beyond(each.select((F.col("until") / F.col("weight")).alias("finish"), "skey", "until", "size"), total)
+    taken = F.size(F.filter(passes(max_passes), lambda until: is_before(until, cut)))
+    return timed.withColumn("copies", F.when(F.col("size") > 0, taken).otherwise(0)).drop("skey")
+
 
+def passes(n: int) -> Column:
+    """Tokens of the source up to and with each instance of a document."""
+    return F.array(*[F.col("until") + p * F.col("source_size") for p in range(n)])
 
-def copies_taken(max_passes: int) -> Column:
-    """Passes in which a document is taken: those in which at least half of it is before the cut."""
-    room = F.col("target") - F.col("start")
-    taken = [F.when((F.col("size") > 0) & (2 * (room - p * F.col("source_size")) >= F.col("size")), 1).otherwise(0) for p in range(max_passes)]
-    return sum(taken[1:], taken[0])
+
+def is_before(until: Column, cut: tuple | None) -> Column:
+    """Whether an instance is before the cut in the order of the queue."""
+    if cut is None:
+        return F.lit(True)
+    finish, skey, tokens = cut
+    own = until / F.col("weight")
+    return (own < finish) | ((own == finish) & ((F.col("skey") < skey) | ((F.col("skey") == skey) & (until < tokens))))
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -99,18 +133,27 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), max_passes: int = 3
     others = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in docs.columns if c != text]
     ident = [F.md5(F.concat_ws("\1", *others).cast("binary")), F.coalesce(F.md5(F.col(text).cast("binary")), F.lit(""))]
     names = ["ident_0", "ident_1"]
-    number = F.row_number().over(W.partitionBy(*names).orderBy("start"))
+    number = F.row_number().over(W.partitionBy(*names).orderBy("until"))
     queued = materialize(queue(docs, weights, max_passes, key, text, source, ident).withColumn("ident_n", number), "queue")
-    rows = docs.withColumns(dict(zip(names, ident, strict=True)))
+    rows = docs.select(F.struct("*").alias("doc"), *[c.alias(n) for c, n in zip(ident, names, strict=True)])
     if queued.where("ident_n > 1").isEmpty():
         queued = queued.drop("ident_n")
     else:
         # Equal rows stand in any order: they are the same.
         rows = rows.withColumn("ident_n", F.row_number().over(W.partitionBy(*names).orderBy(F.lit(0))))
         names = [*names, "ident_n"]
-    chosen = queued.where(F.col("copies") > 0).withColumn("mix_pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    time = (F.col("start") + F.col("size") + F.col("mix_pass") * F.col("source_size")) / F.col("weight")
-    return rows.join(chosen.select(*names, "mix_pass", time.alias("mix_time")), names).select(*docs.columns, "mix_pass", "mix_time").orderBy("mix_time", key)
+    chosen = queued.where(F.col("copies") > 0).withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    time = (F.col("until") + F.col("pass") * F.col("source_size")) / F.col("weight")
+    added = {c: free_name(c, docs.columns) for c in ("mix_pass", "mix_time")}
+    found = rows.join(chosen.select(*names, "pass", time.alias("time")), names).orderBy("time", f"doc.{key}", "pass")
+    return found.select("doc.*", F.col("pass").alias(added["mix_pass"]), F.col("time").alias(added["mix_time"]))
+
+
+def free_name(name: str, taken: Sequence[str]) -> str:
+    lowered = {c.lower() for c in taken}
+    while name in lowered:
+        name += "_"
+    return name
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,18 +184,19 @@ ranked AS (
 marked AS (SELECT *, most * open_w <= w * rest AS is_full FROM ranked),
 level AS (SELECT rest, open_w FROM marked WHERE NOT is_full ORDER BY rank LIMIT 1),
 targets AS (
-  SELECT skey, source_size,
+  SELECT skey, source_size, w,
     CASE WHEN is_full THEN most::DOUBLE ELSE (w * (SELECT rest FROM level))::DOUBLE / (SELECT open_w FROM level)::DOUBLE END AS target
   FROM marked),
-placed AS (
-  SELECT doc_id, size, source_size, target,
-    sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM rows JOIN targets USING (skey))
-SELECT doc_id, size, source_size, target,
-  (size * ((size > 0 AND 2 * (target - start) >= size)::INT
-    + (size > 0 AND 2 * (target - start - source_size) >= size)::INT
-    + (size > 0 AND 2 * (target - start - 2 * source_size) >= size)::INT))::BIGINT AS taken
-FROM placed
+timed AS (
+  SELECT row_number() OVER () AS row, doc_id, skey, size, source_size, w, target,
+    sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) AS until
+  FROM rows JOIN targets USING (skey)),
+instances AS (
+  SELECT row, skey, size, until + p * source_size AS until, (until + p * source_size)::DOUBLE / w::DOUBLE AS finish
+  FROM timed, (VALUES (0), (1), (2)) passes(p) WHERE size > 0),
+queue AS (SELECT row, size, sum(size) OVER (ORDER BY finish, skey, until ROWS UNBOUNDED PRECEDING) AS running FROM instances),
+chosen AS (SELECT row, sum(size)::BIGINT AS taken FROM queue WHERE running <= (SELECT sum(source_size) FROM sizes) GROUP BY row)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM timed LEFT JOIN chosen USING (row)
 """
 
 QUERIES = {"op6_mixing": op6_mixing}
