@@ -59,16 +59,29 @@ def grams(h: Column, n: int) -> Column:
     return F.transform(first, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, n)], F.lit(n)))
 
 
-def kept_grams(g: Column) -> Column:
-    """The least gram of each window, each value once."""
-    per = WINDOW - GRAM + 1
-    first = F.slice(g, F.lit(1), F.greatest(F.size(g) - (per - 1), F.lit(0)))
-    return F.array_distinct(F.transform(first, lambda x, i: F.least(x, *[F.get(g, i + j) for j in range(1, per)])))
+def is_kept(g: Column, p: Column) -> Column:
+    """Whether the gram at a place is the least of a window that it is in.
 
+    So it is if the run of grams around it that are no less is as long as a window.
+    """
+    own, per = F.get(g, p), WINDOW - GRAM + 1
 
-def around(h: Column, g: Column, wanted: Column) -> Column:
-    """(kind, gram, at, left, right) of every place whose gram is wanted; left has the nearest word first."""
-    places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), lambda i: F.array_contains(wanted, F.get(g, i)))
+    def run(sign: int) -> Column:
+        case = F.when(F.lit(False), F.lit(0))
+        for j in range(1, per):
+            case = case.when(~F.coalesce(F.get(g, p + sign * j) >= own, F.lit(False)), F.lit(j - 1))
+        return case.otherwise(F.lit(per - 1))
+
+    return run(-1) + run(1) >= per - 1
+
+
+def around(h: Column, g: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """(kind, gram, at, left, right) of the kept grams, only wanted ones if told; left has the nearest word first.
+
+    Each place is looked at once, so the work is in proportion to the text.
+    """
+    kept = lambda p: is_kept(g, p) if wanted is None else wanted(F.get(g, p)) & is_kept(g, p)
+    places = F.filter(F.sequence(F.lit(0), F.size(g) - 1), kept)
 
     def place(p: Column) -> Column:
         left = F.slice(h, F.greatest(p - SIDE, F.lit(0)) + 1, F.least(p, F.lit(SIDE)))
@@ -104,8 +117,7 @@ def benchmark_places(items: DataFrame, key: str, text: str) -> DataFrame:
     """(item, kind, gram, left, right) of every kept gram of the items."""
 
     def of(h: Column) -> Column:
-        full = let(grams(h, GRAM), lambda g: let(kept_grams(g), lambda kept: around(h, g, kept)))
-        case = F.when(F.size(h) >= WINDOW, full)
+        case = F.when(F.size(h) >= WINDOW, let(grams(h, GRAM), lambda g: around(h, g)))
         for n in range(1, WINDOW):
             case = case.when(F.size(h) == n, short_places(h, n, lambda _: F.lit(True)))
         return case
@@ -157,7 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         found = []
         for kind in kinds:
             if kind == 0:
-                found.append(let(grams(h, GRAM), lambda g: let(F.filter(kept_grams(g), maybe), lambda kept: F.when(F.size(kept) > 0, around(h, g, kept)).otherwise(none))))
+                found.append(F.when(F.size(h) >= WINDOW, let(grams(h, GRAM), lambda g: around(h, g, maybe))).otherwise(none))
             else:
                 found.append(short_places(h, kind, maybe))
         return F.struct(F.size(h).cast("long").alias("n_words"), (F.concat(*found) if found else none).alias("places"))
@@ -168,7 +180,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     n = bench.count()
     side = contexts.select("kind", "gram", F.col("left").alias("b_left"), F.col("right").alias("b_right"), "context")
     side = F.broadcast(side) if n <= BROADCAST_ROWS else side
-    joined = rows.join(side, (rows["p.kind"] == side["kind"]) & (rows["p.gram"] == side["gram"]), "left")
+    # Rows without a place get keys that nothing has: as nulls they would meet in one task.
+    rows = rows.withColumns({"p_kind": F.coalesce("p.kind", F.lit(-1)), "p_gram": F.coalesce("p.gram", F.xxhash64("row"))})
+    joined = rows.join(side, (rows["p_kind"] == side["kind"]) & (rows["p_gram"] == side["gram"]), "left")
     before, after = equal_words(F.col("p.left"), F.col("b_left")), equal_words(F.col("p.right"), F.col("b_right"))
     joined = joined.withColumn("before", F.when(F.col("kind") == 0, before).otherwise(0)).withColumn("after", F.when(F.col("kind") == 0, after).otherwise(0))
     length = F.when(F.col("kind") == 0, F.col("before") + GRAM + F.col("after")).otherwise(F.col("kind"))
@@ -205,7 +219,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that share no window with an item."""
     named = docs.select(F.struct("*").alias("doc"), F.struct(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("hash")).alias("ident"), F.col(text).alias("text"))
-    hit = decontaminate(named, items, "ident").where("n_hit > 0").select(F.col("ident").alias("one"))
+    hit = materialize(decontaminate(named, items, "ident").where("n_hit > 0").select(F.col("ident").alias("one")), "contaminated")
+    # Few hits are broadcast, which leaves the texts where they are; many are joined by a shuffle.
+    hit = F.broadcast(hit) if hit.count() <= BROADCAST_ROWS else hit
     return named.join(hit, named["ident"] == hit["one"], "left_anti").select("doc.*")
 
 

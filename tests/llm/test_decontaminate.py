@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from collatrix.llm import decontaminate as D
 from tests.llm.brute import hits
@@ -77,5 +79,38 @@ def test_every_shared_span_keeps_a_gram(spark, n):
     span = [f"s{rng.randint(0, 3)}" for _ in range(n)]
     rows = [(" ".join([f"a{rng.randint(0, 3)}" for _ in range(8)] + span + [f"b{rng.randint(0, 3)}" for _ in range(8)]),) for _ in range(6)] + [(" ".join(span),)]
     df = spark.createDataFrame(rows, "t string")
-    kept = [set(r["k"]) for r in df.select(D.kept_grams(D.grams(D.word_hashes(df.t), D.GRAM)).alias("k")).collect()]
+    h = D.word_hashes(df.t)
+    kept = [{x["gram"] for x in r["k"]} for r in df.select(D.around(h, D.grams(h, D.GRAM)).alias("k")).collect()]
+    plain = []
+    for (text,) in rows:
+        g = [x["g"] for x in df.where(df.t == text).select(F.explode(D.grams(D.word_hashes(df.t), D.GRAM)).alias("g")).collect()][: len(text.split()) - D.GRAM + 1]
+        plain.append({min(g[i : i + 6]) for i in range(len(g) - 5)})
+    assert kept == plain
     assert set.intersection(*kept) & kept[-1]
+
+
+def test_long_texts_that_hit_everywhere_take_time_in_proportion(spark):
+    def seconds(n):
+        rng = random.Random(n)
+        text = " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+        docs, items = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(1, text)], "item_id long, text string")
+        start = time.perf_counter()
+        got = D.decontaminate(docs, items).collect()[0]
+        assert (got["n_words"], got["n_hit"], got["n_items"], got["items"]) == (n, n, 1, ["1"])
+        return time.perf_counter() - start
+
+    seconds(2000)
+    short, long = seconds(20_000), seconds(80_000)
+    assert long <= 2 * 4 * short
+
+
+def test_rows_without_places_spread_in_the_shuffled_join(spark, monkeypatch):
+    """A corpus of which hardly anything hits: with nulls as keys all rows would meet in one task."""
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 0)
+    item = " ".join(f"v{i}" for i in range(12))
+    docs = [(i, f"clean text number {i}") for i in range(300)] + [(1000, "so " + item)]
+    compare(spark, docs, [(1, item), (2, "q r s")])
+    found = D.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert found.where("n_hit = 0").count() == 300
+    kept = D.drop_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(300))
