@@ -15,11 +15,23 @@ reach, so the work is cut such that equal strings always meet:
 3. The bytes of those blocks are dealt by anchor again, the anchor itself written as
    one symbol, and a suffix array orders them. Strings that are equal to
    their neighbours form runs; those not of the run's least id are covered.
+   Which strings start in the same document only is found by hashes before, and
+   blocks without any other are left out of the array: no other block can hold an equal string.
 
-Blocks are compared by 80 bits and more of two hashes, strings in arrays exactly.
+Hot anchors. A passage that is in very many documents leaves a different block at
+its edges in each, all of one anchor. Anchors with more than ``SPLIT_BLOCKS`` different
+blocks are split: each of their strings is dealt by itself, by a hash of its bytes,
+one copy per chunk, and compared byte by byte. Anchors that a sample of
+documents tells to have more blocks than a part should hold (``SAMPLE``, ``SAMPLE_HOT``) are
+dealt by block in step 2 and split as well. The sample decides where work is done, never what is found.
+
+Blocks are compared by 96 bits of two hashes and more, the part's: at 100 TB, some 8e12 blocks, a
+single pair is expected to be taken for equal with a probability of 1e-3 or less. Strings in arrays are
+compared symbol by symbol, an anchor's 24 bytes by 64 bits. Copies of whole passages are thus settled by
+hashes of blocks (nine tenths of the removed bytes of the test tables), their edges by suffix arrays.
 
 Defined cases: a null text is empty; rows without an id are left whole and
-remove nothing; repeated rows of an id do not remove each other; texts shorter
+remove nothing; ids of any type that has an order are compared in that order; repeated rows of an id do not remove each other; texts shorter
 than ``SPAN`` bytes are left whole; an empty table gives an empty result; other columns are left out.
 """
 
@@ -31,12 +43,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
 from collatrix.llm.store import documents, materialize, small_batches
 from collatrix.llm.suffix_array import suffix_array
+from collatrix.operators.ranking import in_order
 
 SPAN = 50
 GRAM = 24
@@ -47,13 +62,17 @@ CHUNK = 8 << 20
 PART = 10 << 20
 #: Symbols that one suffix array holds, unless one anchor has more.
 ARRAY = 10_000
+#: Different blocks of an anchor that go to one array; anchors with more are split.
+SPLIT_BLOCKS = 4096
+#: One of how many documents is looked at for hot anchors, and in how many of these an anchor is hot.
+SAMPLE, SAMPLE_HOT = 1 << 14, 32
 #: Longer texts are cut in pieces that overlap; the strings stay the same.
 PIECE = 1 << 22
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-COVERED, WANTED = 1, 2
+COVERED, WANTED, SPLIT = 1, 2, 3
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -110,8 +129,17 @@ def blocks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return grams[place[first]], hashed, first, last, place[first]
 
 
-def part_of(anchor: np.ndarray, parts: int) -> np.ndarray:
-    return ((anchor >> _U(32)) % _U(parts)).astype(np.int64)
+def is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Whether values are among those of a sorted array."""
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def part_of(anchor: np.ndarray, hashed: np.ndarray, hot: np.ndarray, parts: int) -> np.ndarray:
+    """Where blocks are dealt to: by anchor, those of a hot anchor by block."""
+    own = np.where(is_in(anchor, hot), anchor ^ scramble(hashed), anchor)
+    return ((own >> _U(32)) % _U(parts)).astype(np.int64)
 
 
 def _encoded(text: str | None) -> bytes:
@@ -122,22 +150,42 @@ def _packed(**columns) -> dict:
     return {k: v.tobytes() if isinstance(v, np.ndarray) else v for k, v in columns.items()}
 
 
-DEALT = "part int, chunk string, ids binary, texts binary, counts binary, low binary, high binary"
+def hot_anchors(texts: DataFrame, sample: int = SAMPLE, least: int = SAMPLE_HOT) -> np.ndarray:
+    """Anchors that are in ``least`` or more of a sample of documents, sorted: few, however large the corpus, as each stands for ``sample`` * ``least`` documents."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text in batch["text"]:
+                yield pd.DataFrame({"anchor": np.unique(blocks(_encoded(text))[0]).view(np.int64)})
+
+    some = texts.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(sample)) == 0).select("text")
+    often = some.mapInPandas(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return np.sort(np.array([r["anchor"] for r in often.collect()], dtype=np.int64).view(_U))
+
 
+DEALT = "part int, chunk string, ids binary, texts binary, docs binary, counts binary, low binary, high binary"
+DEALT_COLUMNS = [x.split()[0] for x in DEALT.split(", ")]
 
-def cut_chunks(parts: int):
-    """Chunks of documents as rows for each part, and one row with what all parts need later."""
+
+def cut_chunks(parts: int, hot: np.ndarray):
+    """Chunks of documents as rows for each part, and one row with what is needed later.
+
+    A row for a part has runs: the documents that have blocks for it, and how many each.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size, made = [], 0, 0
+        held, seen, size, made = [], set(), 0, 0
         for batch in batches:
             for i, t, text in zip(batch["id"], batch["text_hash"], batch["text"], strict=True):
+                if (i, t) in seen:  # a row that repeats
+                    continue
+                seen.add((i, t))
                 body = _encoded(text)
                 held.append((i, t, *blocks(body)[:2]))
                 size += len(body)
                 if size >= CHUNK:
                     yield flush(held, f"{TaskContext.get().partitionId()}-{made}")
-                    held, size, made = [], 0, made + 1
+                    held, seen, size, made = [], set(), 0, made + 1
         if held:
             yield flush(held, f"{TaskContext.get().partitionId()}-{made}")
 
@@ -155,20 +203,21 @@ def cut_chunks(parts: int):
         covered = np.zeros(len(order), dtype=bool)
         covered[order] = (ids[doc[order]] > ids[doc[head]]) & (anchor[order] == anchor[head])
         at = np.flatnonzero(~covered)
-        part = part_of(anchor[at], parts)
-        counts = np.bincount(doc[at] * parts + part, minlength=len(held) * parts).reshape(len(held), parts).astype(np.uint32)
-        order = at[np.argsort(part, kind="stable")]
-        ends = np.cumsum(counts.sum(axis=0, dtype=np.int64))
+        part = part_of(anchor[at], hashed[at], hot, parts)
+        order = np.argsort(part, kind="stable")
+        at, part = at[order], part[order]
+        run_at = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (doc[at][1:] != doc[at][:-1])][: len(at)])
+        run_doc, run_n = doc[at[run_at]], np.diff(np.r_[run_at, len(at)])
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
         rows = []
-        for p in range(parts):
-            own = order[ends[p - 1] if p else 0 : ends[p]]
-            if len(own):
-                h = hashed[own]
-                rows.append(_packed(part=p, chunk=chunk, ids=ids, texts=None, counts=counts[:, p], low=anchor[own].astype(np.uint32), high=_six(h)))
+        for a, z in zip(starts, np.r_[starts, len(at)][1:], strict=True):
+            runs = slice(*np.searchsorted(run_at, [a, z]))
+            own, docs = at[a:z], run_doc[runs]
+            rows.append(_packed(part=int(part[a]), chunk=chunk, ids=ids[docs], texts=None, docs=docs.astype(np.uint32), counts=run_n[runs].astype(np.uint32), low=anchor[own].astype(np.uint32), high=hashed[own]))
         which = np.arange(len(covered)) - np.repeat(np.cumsum(each) - each, each)
         local = np.bincount(doc[covered], minlength=len(held)).astype(np.uint32)
-        rows.append(_packed(part=-1 - hash_of(chunk) % parts, chunk=chunk, ids=ids, texts=texts, counts=counts, low=which[covered].astype(np.uint32), high=local))
-        return pd.DataFrame(rows, columns=["part", "chunk", "ids", "texts", "counts", "low", "high"])
+        rows.append(_packed(part=-1 - hash_of(chunk) % parts, chunk=chunk, ids=ids, texts=texts, docs=None, counts=None, low=which[covered].astype(np.uint32), high=local))
+        return pd.DataFrame(rows, columns=DEALT_COLUMNS)
 
     return run
 
@@ -177,57 +226,51 @@ def hash_of(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=6).digest(), "little")
 
 
-def _six(h: np.ndarray) -> np.ndarray:
-    """The upper six bytes of 64-bit numbers."""
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]
-
-
-def _from_six(data: bytes) -> np.ndarray:
-    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    wide[:, 2:] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return wide.reshape(-1).view("<u8").astype(_U)
-
-
-def settle_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The state of every block of a part; rows with what later steps need pass through."""
-    if pdf["part"].iloc[0] < 0:
-        return pdf
-    ids, low, high, ends = [], [], [], []
-    for row in pdf.itertuples(index=False):
-        counts = np.frombuffer(row.counts, dtype=np.uint32)
-        ids.append(np.repeat(np.frombuffer(row.ids, dtype=np.int64), counts))
-        low.append(np.frombuffer(row.low, dtype=np.uint32))
-        high.append(_from_six(row.high))
-        ends.append(len(low[-1]))
-    ids, low, high = np.concatenate(ids), np.concatenate(low), np.concatenate(high)
-    # By anchor, block, id: 32 bits of the anchor (beside the part's) and the upper 32 of the block's hash.
-    order = np.lexsort((ids, (low.astype(_U) << _U(32)) | (high >> _U(32))))
-    ids, low, high = ids[order], low[order], high[order]
-    new_anchor = np.r_[True, low[1:] != low[:-1]]
-    new_block = new_anchor | np.r_[True, high[1:] != high[:-1]]
-    anchor, block = np.cumsum(new_anchor) - 1, np.cumsum(new_block) - 1
-    at = np.flatnonzero(new_block)
-    least = np.minimum.reduceat(ids, at)[block]
-    starts = np.flatnonzero(new_anchor)
-    several = (np.add.reduceat(new_block, starts, dtype=np.int64) > 1) & (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts))
-    state = np.empty(len(ids), dtype=np.uint8)
-    state[order] = np.where(ids > least, COVERED, np.where(several[anchor], WANTED, 0))
-    stops = np.cumsum(ends)
-    rows = [_packed(part=int(p), chunk=c, ids=None, texts=None, counts=None, low=state[z - n : z], high=None) for p, c, n, z in zip(pdf["part"], pdf["chunk"], ends, stops, strict=True)]
-    return pd.DataFrame(rows, columns=pdf.columns)
+def settle_part(split: int, hot: np.ndarray):
+    """The state of every block of a part; rows with what later steps need pass through.
+
+    A part sees some of the blocks of a hot anchor, so those that are not covered are always split.
+    """
+    hot_low = np.unique(hot.astype(np.uint32))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] < 0:
+            return pdf
+        join = lambda c, kind: [np.frombuffer(x, dtype=kind) for x in pdf[c]]
+        ids = np.concatenate([np.repeat(i, n) for i, n in zip(join("ids", np.int64), join("counts", np.uint32), strict=True)])
+        lows = join("low", np.uint32)
+        ends = [len(x) for x in lows]
+        low, high = np.concatenate(lows), np.concatenate(join("high", _U))
+        # By anchor (32 bits beside the part's), block, id.
+        order = np.lexsort((ids, high, low))
+        ids, low, high = ids[order], low[order], high[order]
+        new_anchor = np.r_[True, low[1:] != low[:-1]]
+        new_block = new_anchor | np.r_[True, high[1:] != high[:-1]]
+        anchor, block = np.cumsum(new_anchor) - 1, np.cumsum(new_block) - 1
+        least = np.minimum.reduceat(ids, np.flatnonzero(new_block))[block]
+        starts = np.flatnonzero(new_anchor)
+        kinds = np.add.reduceat(new_block, starts, dtype=np.int64)
+        several = (kinds > 1) & (np.minimum.reduceat(ids, starts) != np.maximum.reduceat(ids, starts))
+        open_state = np.where(several, np.where(kinds > split, SPLIT, WANTED), 0)
+        state = np.empty(len(ids), dtype=np.uint8)
+        open_state[is_in(low[starts], hot_low)] = SPLIT
+        state[order] = np.where(ids > least, COVERED, open_state[anchor])
+        stops = np.cumsum(ends)
+        out = pdf[["part", "chunk", "docs", "counts"]].assign(low=[state[z - n : z].tobytes() for n, z in zip(ends, stops, strict=True)])
+        return out.reindex(columns=DEALT_COLUMNS).astype(object).where(lambda x: x.notna(), None)
+
+    return run
 
 
 def settle_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
     """Per document of a chunk the states of its blocks: those by part, and those that the chunk covered."""
     meta = pdf[pdf["part"] < 0].iloc[0]
     ids, texts = np.frombuffer(meta["ids"], dtype=np.int64), np.frombuffer(meta["texts"], dtype=np.int64)
-    counts = np.frombuffer(meta["counts"], dtype=np.uint32).reshape(len(ids), -1)
     parts = pdf[pdf["part"] >= 0].sort_values("part")
-    docs = [np.repeat(np.arange(len(ids)), counts[:, p]) for p in parts["part"]]
-    states = [np.frombuffer(x, dtype=np.uint8) for x in parts["low"]]
-    doc, state = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (docs, states))
-    state = state[np.argsort(doc, kind="stable")].astype(np.uint8)
-    n, local = counts.sum(axis=1, dtype=np.int64), np.frombuffer(meta["high"], dtype=np.uint32).astype(np.int64)
+    join = lambda c, kind: np.concatenate([np.zeros(0, dtype=kind), *(np.frombuffer(x, dtype=kind) for x in parts[c])])
+    doc, state = np.repeat(join("docs", np.uint32), join("counts", np.uint32)), join("low", np.uint8)
+    state = state[np.argsort(doc, kind="stable")]
+    n, local = np.bincount(doc, minlength=len(ids)), np.frombuffer(meta["high"], dtype=np.uint32).astype(np.int64)
     covered = np.frombuffer(meta["low"], dtype=np.uint32)
     ends, local_ends = np.cumsum(n), np.cumsum(local)
     rows = []
@@ -251,31 +294,36 @@ def _intervals(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack([starts[new], ends[np.r_[new[1:], True]]], axis=1).astype(np.int64)
 
 
-def open_blocks(parts: int, bins: int):
-    """Per document the intervals that are covered already, and per bin the bytes of blocks that are not settled."""
+def open_blocks(parts: int, bins: int, hot: np.ndarray):
+    """Per document the intervals that are covered already, and per bin the bytes of blocks and strings that are not settled."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, size = [], 0
+        held, seen, size = [], set(), 0
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if (row.id, row.text_hash) in seen:  # a row that repeats
+                    continue
+                seen.add((row.id, row.text_hash))
                 body = _encoded(row.text)
-                anchor, _, first, last, place = blocks(body)
+                anchor, hashed, first, last, place = blocks(body)
                 states = np.zeros(len(anchor), dtype=np.uint8)
                 states[np.frombuffer(row.covered, dtype=np.uint32)] = COVERED
                 rest = np.flatnonzero(states == 0)
-                states[rest[np.argsort(part_of(anchor[rest], parts), kind="stable")]] = np.frombuffer(row.states, dtype=np.uint8)
-                done, want = states == COVERED, np.flatnonzero(states == WANTED)
+                states[rest[np.argsort(part_of(anchor[rest], hashed[rest], hot, parts), kind="stable")]] = np.frombuffer(row.states, dtype=np.uint8)
+                done, want, split = states == COVERED, np.flatnonzero(states == WANTED), np.flatnonzero(states == SPLIT)
                 spans = _intervals(first[done], last[done] + SPAN - 1)
                 bytes_of = [body[s:p] + body[p + GRAM : e + SPAN - 1] for s, p, e in zip(first[want], place[want], last[want], strict=True)]
-                held.append((row.id, row.text_hash, spans, anchor[want], first[want], place[want] - first[want], last[want] - first[want], bytes_of))
-                size += sum(map(len, bytes_of)) + 64
-            if size >= CHUNK:
-                yield flush(held)
-                held, size = [], 0
+                strings = [(body[i : i + SPAN], i, p - i) for s, p, e in zip(first[split].tolist(), place[split].tolist(), last[split].tolist(), strict=True) for i in range(s, e)]
+                held.append((row.id, row.text_hash, spans, anchor[want], first[want], place[want] - first[want], last[want] - first[want], bytes_of, strings))
+                size += sum(map(len, bytes_of)) + 2 * SPAN * len(strings) + 64
+                if size >= CHUNK:
+                    yield flush(held)
+                    held, seen, size = [], set(), 0
         if held:
             yield flush(held)
 
     def flush(held: list) -> pd.DataFrame:
+        held = split_strings(held)
         rows = [_packed(bin=-1 - int(i) % bins, ids=np.array([i]), texts=np.array([t]), anchors=None, places=spans, body=None) for i, t, spans, *_ in held if len(spans)]
         each = [len(x[3]) for x in held]
         ids, texts = (np.repeat(np.array([x[c] for x in held], dtype=np.int64), each) for c in (0, 1))
@@ -284,16 +332,37 @@ def open_blocks(parts: int, bins: int):
         bodies = [b for x in held for b in x[7]]
         to = (scramble(anchors) % _U(bins)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        ends = np.searchsorted(to[order], np.arange(bins), side="right")
-        for b in range(bins):
-            own = order[ends[b - 1] if b else 0 : ends[b]]
-            if len(own):
-                rows.append(_packed(bin=b, ids=ids[own], texts=texts[own], anchors=anchors[own], places=places[own], body=b"".join(bodies[i] for i in own)))
+        starts = np.flatnonzero(np.r_[True, to[order][1:] != to[order][:-1]][: len(to)])
+        for a, z in zip(starts, np.r_[starts, len(order)][1:], strict=True):
+            own = order[a:z]
+            rows.append(_packed(bin=int(to[own[0]]), ids=ids[own], texts=texts[own], anchors=anchors[own], places=places[own], body=b"".join(bodies[i] for i in own)))
         return pd.DataFrame(rows, columns=["bin", "ids", "texts", "anchors", "places", "body"])
 
     return run
 
 
+def split_strings(held: list) -> list:
+    """Documents of a chunk whose split strings became blocks of one string, named by their bytes; of equal ones, those of the least id."""
+    least: dict[bytes, int] = {}
+    for i, *_, strings in held:
+        for x, _, _ in strings:
+            if least.get(x, i) >= i:
+                least[x] = i
+    if not least:
+        return held
+    out = []
+    for i, t, spans, anchor, first, place, n, bytes_of, strings in held:
+        gone = np.array([at for x, at, _ in strings if least[x] < i], dtype=np.int64)
+        own = [s for s in strings if least[s[0]] == i]
+        if len(gone):
+            spans = _intervals(np.r_[spans[:, 0], gone], np.r_[spans[:, 1], gone + SPAN])
+        names = np.array([xxhash.xxh64_intdigest(x) for x, _, _ in own], dtype=_U)
+        more = [np.array([s[c] for s in own], dtype=np.int64) for c in (1, 2)]
+        rest = [x[:p] + x[p + GRAM :] for x, _, p in own]
+        out.append((i, t, spans, np.r_[anchor, names], np.r_[first, more[0]], np.r_[place, more[1]], np.r_[n, np.ones(len(own), dtype=np.int64)], bytes_of + rest))
+    return out
+
+
 def equal_strings(symbols: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """Which strings of REACH symbols, by their starts, are equal to one of a smaller id."""
     is_start = np.full(len(symbols), -1, dtype=np.int64)
@@ -349,60 +418,101 @@ def may_repeat(anchors: np.ndarray, ids: np.ndarray, places: np.ndarray, offset:
     return out
 
 
-def settle_bin(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Intervals of documents that the suffix arrays of a bin cover; known intervals pass through."""
-    columns = ["id", "text_hash", "spans"]
-    if pdf["bin"].iloc[0] < 0:
-        pick = lambda c: [np.frombuffer(x, dtype=np.int64)[0] for x in pdf[c]]
-        return pd.DataFrame({"id": pick("ids"), "text_hash": pick("texts"), "spans": list(pdf["places"])}, columns=columns)
-    join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
-    ids, texts, anchors = join("ids", np.int64), join("texts", np.int64), join("anchors", _U)
-    places = join("places", np.int64).reshape(-1, 3)
-    body = join("body", np.uint8)
-    # A block's symbols: the bytes before its anchor, the anchor, the bytes after, then a divider.
-    length = places[:, 2] + REACH - 1
-    offset = np.cumsum(length - 1) - (length - 1)
-    fine = may_repeat(anchors, ids, places, offset, body)
-    ids, texts, anchors, places, length, offset = (x[fine] for x in (ids, texts, anchors, places, length, offset))
-    order = np.argsort(anchors, kind="stable")
-    total = np.cumsum(length[order] + 1)
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = anchors[order][1:] != anchors[order][:-1]
-    out, at = [], 0
-    heads = np.flatnonzero(new)
+def combine(ids: np.ndarray, anchors: np.ndarray, places: np.ndarray, offset: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks stay, one of the least id for each different one, and which a smaller id has byte by byte."""
+    data, first, least = body.tobytes(), {}, ids.copy()
+    stays = np.ones(len(ids), dtype=bool)
+    spots = zip(anchors.tolist(), places[:, 1].tolist(), offset.tolist(), (offset + places[:, 2] + REACH - 2).tolist(), strict=True)
+    for k, (anchor, place, a, z) in enumerate(spots):
+        head = first.setdefault((anchor, place, data[a:z]), k)
+        if head != k:
+            stays[k] = False
+            least[head] = min(least[head], ids[k])
+            least[k] = -1 - head
+    same = np.flatnonzero(~stays)
+    heads = -1 - least[same]
+    covered = ids > least
+    covered[same] = ids[same] > least[heads]
+    # The copy that stays must be of the least id.
+    for k, head in zip(same.tolist(), heads.tolist(), strict=True):
+        if stays[head] and ids[head] > least[head] and ids[k] == least[head]:
+            stays[head], stays[k] = False, True
+    return stays, covered
+
+
+def settle_bin(most: int):
+    """Intervals of documents that the suffix arrays of a bin cover, of ``most`` symbols each where anchors allow; known intervals pass through."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        columns = ["id", "text_hash", "spans"]
+        if pdf["bin"].iloc[0] < 0:
+            pick = lambda c: [np.frombuffer(x, dtype=np.int64)[0] for x in pdf[c]]
+            return pd.DataFrame({"id": pick("ids"), "text_hash": pick("texts"), "spans": list(pdf["places"])}, columns=columns)
+        join = lambda c, kind: np.frombuffer(b"".join(pdf[c]), dtype=kind)
+        ids, texts, anchors = join("ids", np.int64), join("texts", np.int64), join("anchors", _U)
+        places = join("places", np.int64).reshape(-1, 3)
+        body = join("body", np.uint8)
+        # A block's symbols: the bytes before its anchor, the anchor, the bytes after, then a divider.
+        length = places[:, 2] + REACH - 1
+        offset = np.cumsum(length - 1) - (length - 1)
+        out = []
+        stays, covered = combine(ids, anchors, places, offset, body)
+        if covered.any():
+            begin = places[covered, 0]
+            out.append(np.stack([ids[covered], texts[covered], begin, begin + places[covered, 2] + SPAN - 1], axis=1))
+        fine = may_repeat(anchors, ids, places, offset, body) & stays
+        ids, texts, anchors, places, length, offset = (x[fine] for x in (ids, texts, anchors, places, length, offset))
+        order = np.argsort(anchors, kind="stable")
+        for own in arrays_of(order, anchors, length, most):
+            found = array_strings(own, ids, anchors, places, length, offset, body)
+            if len(found[0]):
+                block, nth = found
+                begin = places[block, 0] + nth
+                out.append(np.stack([ids[block], texts[block], begin, begin + SPAN], axis=1))
+        rows = []
+        if out:
+            found = np.concatenate(out)
+            found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+            starts = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
+            for own in np.split(found, starts[1:]):
+                rows.append((own[0, 0], own[0, 1], _intervals(own[:, 2], own[:, 3]).tobytes()))
+        return pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def arrays_of(order: np.ndarray, anchors: np.ndarray, length: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Blocks in order of anchors, cut before anchors such that a cut has ``most`` symbols or one anchor."""
+    if not len(order):
+        return
+    total = np.r_[0, np.cumsum(length[order] + 1)]
+    heads = np.flatnonzero(np.r_[True, anchors[order][1:] != anchors[order][:-1]])
+    stops = np.r_[heads[1:], len(order)]
+    at = 0
     while at < len(order):
-        fits = heads[np.searchsorted(total[heads] - length[order[heads]] - 1, (total[at - 1] if at else 0) + ARRAY, side="right") - 1]
-        to = fits if fits > at else next(iter(heads[heads > at][:1]), len(order))
-        if total[-1] - (total[at - 1] if at else 0) <= ARRAY:
-            to = len(order)
-        own = order[at:to]
-        names = 257 + np.cumsum(new[at:to])
+        fits = np.searchsorted(total[stops], total[at] + most, side="right") - 1
+        to = max(int(stops[fits]) if fits >= 0 else 0, int(stops[np.searchsorted(stops, at, side="right")]))
+        yield order[at:to]
         at = to
-        start = np.cumsum(length[own] + 1) - (length[own] + 1)
-        symbols = np.zeros(int((length[own] + 1).sum()), dtype=np.int32)
-        anchor_at = start + places[own, 1]
-        filled = np.repeat(start, length[own]) + _ramp(length[own])
-        is_anchor = np.zeros(len(symbols), dtype=bool)
-        is_anchor[anchor_at] = True
-        filled = filled[~is_anchor[filled]]
-        symbols[filled] = body[np.repeat(offset[own], length[own] - 1) + _ramp(length[own] - 1)].astype(np.int32) + 1
-        symbols[anchor_at] = names
-        strings = places[own, 2]
-        which = np.repeat(np.arange(len(own)), strings)
-        nth = _ramp(strings)
-        covered = equal_strings(symbols, start[which] + nth, ids[own][which])
-        if covered.any():
-            block = own[which[covered]]
-            begin = places[block, 0] + nth[covered]
-            out.append(np.stack([ids[block], texts[block], begin, begin + SPAN], axis=1))
-    rows = []
-    if out:
-        found = np.concatenate(out)
-        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-        starts = np.flatnonzero(np.r_[True, (found[1:, :2] != found[:-1, :2]).any(axis=1)])
-        for own in np.split(found, starts[1:]):
-            rows.append((own[0, 0], own[0, 1], _intervals(own[:, 2], own[:, 3]).tobytes()))
-    return pd.DataFrame(rows, columns=columns)
+
+
+def array_strings(own: np.ndarray, ids: np.ndarray, anchors: np.ndarray, places: np.ndarray, length: np.ndarray, offset: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, number of the string in it) of the strings that one suffix array of these blocks covers."""
+    names = 257 + np.cumsum(np.r_[True, anchors[own][1:] != anchors[own][:-1]])
+    start = np.cumsum(length[own] + 1) - (length[own] + 1)
+    symbols = np.zeros(int((length[own] + 1).sum()), dtype=np.int32)
+    anchor_at = start + places[own, 1]
+    filled = np.repeat(start, length[own]) + _ramp(length[own])
+    is_anchor = np.zeros(len(symbols), dtype=bool)
+    is_anchor[anchor_at] = True
+    filled = filled[~is_anchor[filled]]
+    symbols[filled] = body[np.repeat(offset[own], length[own] - 1) + _ramp(length[own] - 1)].astype(np.int32) + 1
+    symbols[anchor_at] = names
+    strings = places[own, 2]
+    which = np.repeat(np.arange(len(own)), strings)
+    nth = _ramp(strings)
+    covered = equal_strings(symbols, start[which] + nth, ids[own][which])
+    return own[which[covered]], nth[covered]
 
 
 def _ramp(lengths: np.ndarray) -> np.ndarray:
@@ -410,8 +520,16 @@ def _ramp(lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, id, text, spans): the row of ``docs``, its key and text, and blobs of the byte intervals to remove, or null."""
+def numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``id`` as a long: as it is where it is a whole number, else its rank among the ids."""
+    if isinstance(rows.schema["id"].dataType, (ByteType, ShortType, IntegerType, LongType)):
+        return rows.withColumn("number", F.col("id").cast("long"))
+    ranks = materialize(in_order(rows.select("id").where("id IS NOT NULL").distinct(), ["id"], rank="number"), "ranks")
+    return rows.join(ranks.withColumnRenamed("id", "ranked"), F.col("id") == F.col("ranked"), "left").drop("ranked")
+
+
+def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", split: int = SPLIT_BLOCKS, sample: int = SAMPLE, sample_hot: int = SAMPLE_HOT) -> DataFrame:
+    """(doc, key, text, spans): the row of ``docs``, its key and text, and blobs of the byte intervals to remove, or null."""
     small_batches(docs.sparkSession)
     rows = docs.select(
         F.col(key).alias("id"),
@@ -419,18 +537,21 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.col(text).alias("text"),
         F.struct(*[F.col(c) for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("doc"),
     )
+    rows = numbered(rows).withColumnRenamed("id", "key").withColumnRenamed("number", "id")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, math.ceil(total / max(PART, math.sqrt(total * 512.0))))
-    long_enough = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= SPAN)).select(F.col("id").cast("long").alias("id"), "text_hash", "text")
-    dealt = long_enough.mapInPandas(cut_chunks(parts), DEALT)
-    settled = dealt.groupBy("part").applyInPandas(settle_part, DEALT)
+    long_enough = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= SPAN)).select("id", "text_hash", "text")
+    hot = hot_anchors(long_enough, sample, sample_hot)
+    dealt = long_enough.mapInPandas(cut_chunks(parts, hot), DEALT)
+    settled = dealt.groupBy("part").applyInPandas(settle_part(split, hot), DEALT)
     states = settled.groupBy("chunk").applyInPandas(settle_chunk, "id long, text_hash long, states binary, covered binary")
-    states = materialize(states, "blocks")
+    # Rows that repeat have a state each, of which any will do.
+    states = materialize(states.groupBy("id", "text_hash").agg(F.max_by(F.struct("states", "covered"), F.struct("states", "covered")).alias("x")).select("id", "text_hash", "x.*"), "blocks")
     # Both joins read the same columns of ``rows``, so that its exchange is made once and used again.
-    opened = rows.join(states, ["id", "text_hash"]).select("id", "text_hash", "text", "doc", "states", "covered").mapInPandas(open_blocks(parts, parts), FOUND)
-    spans = opened.groupBy("bin").applyInPandas(settle_bin, "id long, text_hash long, spans binary")
+    opened = rows.join(states, ["id", "text_hash"]).select("id", "text_hash", "key", "text", "doc", "states", "covered").mapInPandas(open_blocks(parts, parts, hot), FOUND)
+    spans = opened.groupBy("bin").applyInPandas(settle_bin(ARRAY), "id long, text_hash long, spans binary")
     spans = spans.groupBy("id", "text_hash").agg(F.collect_list("spans").alias("spans"))
-    return rows.join(spans, ["id", "text_hash"], "left").select("doc", "id", "text", "spans")
+    return rows.join(spans, ["id", "text_hash"], "left").select("doc", F.col("key").alias("id"), "text", "spans")
 
 
 def remove(body: bytes, blobs: list[bytes] | None) -> tuple[np.ndarray, bytes]:
@@ -446,8 +567,8 @@ def remove(body: bytes, blobs: list[bytes] | None) -> tuple[np.ndarray, bytes]:
 REMOVED = "n_bytes long, n_removed long, removed array<struct<start: long, end: long>>, kept binary"
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row its key, n_bytes, n_removed, removed (byte spans) and kept (the bytes that stay)."""
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+    """Per row its key, n_bytes, n_removed, removed (byte spans) and kept (the bytes that stay). ``limits`` are those of ``with_spans``."""
 
     @F.pandas_udf(REMOVED)
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -459,7 +580,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
                 out.append((len(body), len(body) - len(kept), [tuple(s) for s in spans.tolist()], kept))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "removed", "kept"])
 
-    found = with_spans(docs.select(key, text), key, text)
+    found = with_spans(docs.select(key, text), key, text, **limits)
     return found.select(F.col("id").alias(key), of(F.col("text"), F.col("spans")).alias("x")).select(key, "x.*")
 
 

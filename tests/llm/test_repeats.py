@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from collatrix.llm import repeats as R
@@ -55,16 +56,18 @@ def corpus(seed=0):
     return rows
 
 
-@pytest.mark.parametrize("part", [R.PART, 4000])
-def test_equals_plain_search(spark, monkeypatch, part):
+@pytest.mark.parametrize(("part", "limits"), [(R.PART, {}), (4000, {}), (4000, {"split": 2}), (4000, {"sample": 1, "sample_hot": 3}), (R.PART, {"split": 1, "sample": 2, "sample_hot": 2})])
+def test_equals_plain_search(spark, monkeypatch, part, limits):
     monkeypatch.setattr(R, "PART", part)
     monkeypatch.setattr(R, "CHUNK", 9000)
     monkeypatch.setattr(R, "ARRAY", 2000)
-    rows = corpus()
+    rows = corpus(len(limits))
     df = spark.createDataFrame([(*r, 1, b"") for r in rows], "doc_id long, text string, id int, spans binary").repartition(5)
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in R.remove_repeats(df).collect()}
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in R.remove_repeats(df, **limits).collect()}
     want = repeats(rows)
     assert got == {k: v[:4] for k, v in want.items()}
+    if limits:
+        return
     cut = R.cut_repeats(df)
     assert cut.columns == df.columns
     left = {r["doc_id"]: r["text"] for r in cut.collect()}
@@ -82,3 +85,49 @@ def test_null_ids_and_repeated_rows(spark):
     n = len(text)
     assert got == [("2", 0), ("2", 0), ("3", n), ("None", 0), ("None", 0)]
     assert R.remove_repeats(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["string", "binary", "decimal(20,2)", "timestamp", "struct<a: bigint, b: string>"])
+def test_ids_of_any_type_with_an_order(spark, kind):
+    """Text ids: 10 is before 9, so the passage stays in 10."""
+    say = "a passage of sixty bytes or so that two documents have alike, no more"
+    texts = {9: "x1 " + say, 10: say + " y234", 200: "all its own, and long enough not to be passed over by length", None: say}
+    column = {"struct<a: bigint, b: string>": "struct(n AS a, CAST(n AS string) AS b)", "binary": "CAST(CAST(n AS string) AS binary)"}.get(kind, f"CAST(n AS {kind})")
+    df = spark.createDataFrame(list(texts.items()), "n long, text string").selectExpr("n", f"IF(n IS NULL, NULL, {column}) AS doc_id", "text")
+    whole = {r["n_bytes"]: r["n_removed"] for r in R.remove_repeats(df).collect()}
+    cut = len(texts[9]) if kind in ("string", "binary") else len(texts[10])
+    assert whole == {len(t): (len(say) if len(t) == cut else 0) for t in texts.values()}
+    assert R.cut_repeats(df).count() == 4
+
+
+def test_a_hot_anchor_is_split(spark):
+    """A passage in every document with different text around it: one block per document at each edge."""
+    rng = random.Random(5)
+    say = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    passage = say(120)
+    rows = [(i, say(rng.randint(0, 40)) + passage + say(rng.randint(0, 40))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for limits in ({"split": 20}, {"sample": 1, "sample_hot": 40}, {}):
+        got = {r["doc_id"]: (r["n_removed"], hashlib.sha256(r["kept"]).hexdigest()) for r in R.remove_repeats(df, **limits).collect()}
+        assert got == {k: (v[1], v[3]) for k, v in repeats(rows).items()}
+
+
+def test_very_many_equal_rows_of_an_id(spark):
+    text = "some words that are long enough to be a span of fifty bytes, surely"
+    rows = [(7, text)] * 3000 + [(8, "and " + text)] * 3
+    got = R.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, 0, 3000), (8, len(text), 3)]
+
+
+def test_chunks_send_runs_not_a_table_of_documents_by_parts():
+    """What a chunk sends is bounded by its blocks, however many parts there are."""
+    pdf = pd.DataFrame({"id": range(50), "text_hash": range(50), "text": [f"{i} " * 40 for i in range(50)]})
+    for hot in (np.zeros(0, dtype=np.uint64), np.sort(R.blocks(pdf["text"][7].encode())[0])):
+        sizes = []
+        for parts in (10, 100_000):
+            held = [(i, i, *R.blocks(t.encode())[:2]) for i, t in enumerate(pdf["text"])]
+            flush = dict(zip(R.cut_chunks(parts, hot).__code__.co_freevars, R.cut_chunks(parts, hot).__closure__, strict=True))["flush"].cell_contents
+            out = flush(held, "0-0")
+            sizes.append(sum(len(x) for c in ("ids", "texts", "docs", "counts", "low", "high") for x in out[c] if x is not None))
+        n = sum(len(h[2]) for h in held)
+        assert sizes[1] <= 28 * n + 50 * 50
