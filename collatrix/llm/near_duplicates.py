@@ -11,11 +11,14 @@ as far as needed to fill all coordinates, so the work hardly depends on weights.
 Signatures are cut into ``BANDS`` bands of ``ROWS`` coordinates. At a similarity of
 0.8 a pair misses all bands with a probability of 1.5e-5. Equal texts are one row
 before that. Rows that share a band are linked to the band's first row, and the
-components of these links are families: pairs are compared inside families only,
-in blocks of bounded size, so a large family is many tasks and no pair leaves
-one. A block compares signatures first (pairs ``MARGIN`` under the threshold are
-out, four standard errors), then shingles, and returns a forest of the links it
-found. The components of all forests are the classes.
+components of these links are families. Signatures are compared first (pairs ``MARGIN`` under the
+threshold are out, four standard errors), then shingles. The components of the links that are found are the classes.
+
+All pairs of a family are compared while it has ``FAMILY_BLOCKS`` blocks of ``BLOCK_TEXTS`` at most. Of larger ones,
+each text is compared with one head that shares a band with it, ``HEAD_ROUNDS`` times, which
+unites most of a group of copies by one comparison per text and round. Then only
+texts that share a band and are not united yet are compared: those outside a band's largest
+united group with all others of the band, in blocks, so that no pair that shares a band is left out.
 
 Defined cases: words are runs of non-space with A-Z lower-cased; fewer than five
 words are one shingle; null texts and texts without words are equal texts; of a
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.llm.store import documents, materialize, small_batches
@@ -47,6 +50,10 @@ FIRST_BLOCK = 2.0**-8
 MARGIN = 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 #: Texts and shingles of one block, at most two of which meet in a task.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
+#: Blocks of a family in which all pairs are compared, and rounds with heads for larger ones.
+FAMILY_BLOCKS, HEAD_ROUNDS = 4, 2
+#: A key is hot with so many rows, and with this share of all rows: so there are few, which can be broadcast.
+HOT_ROWS, HOT_SHARE = 1000, 1e-4
 CACHE_MOST = 250_000
 
 _U = np.uint64
@@ -177,7 +184,7 @@ def sequence_id(h: np.ndarray) -> bytes:
 
 
 def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, words_id, n, bands, sig) per document row."""
+    """(row, key, text_hash, words_id, n, bands, sig) per document row."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("words_id binary, n long, bands array<long>, sig binary")
@@ -197,8 +204,12 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
                 }
             )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), of(F.col(text)).alias("x"))
-    return rows.select("row", "key", "x.*")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_hash(text).alias("text_hash"), of(F.col(text)).alias("x"))
+    return rows.select("row", "key", "text_hash", "x.*")
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 class Forest:
@@ -220,47 +231,49 @@ class Forest:
         return a != b
 
 
-def similar_links(rows: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, one_side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest of the links between texts of one family, by signatures, then exactly.
+def is_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sets of unit cells are so similar."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
 
-    With ``one_side``, only pairs of which one is in it and the other is not are compared.
-    """
+
+def similar_links(rows: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, group: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of the links between texts, by signatures, then exactly. With ``group``, only texts of different groups are compared."""
     sizes = np.array([len(x) for x in sets], dtype=float)
     pairs = []
     for a in range(len(rows) - 1):
-        near = (sigs[a + 1 :] == sigs[a]).mean(axis=1)
-        fits = (near >= similarity - MARGIN) & (np.minimum(sizes[a + 1 :], sizes[a]) >= similarity * np.maximum(sizes[a + 1 :], sizes[a]))
-        if one_side is not None:
-            fits &= one_side[a + 1 :] != one_side[a]
-        b = np.flatnonzero(fits)
-        pairs.append(np.stack([np.full(len(b), a), b + a + 1, -near[b] * 1e6], axis=1))
+        fits = np.minimum(sizes[a + 1 :], sizes[a]) >= similarity * np.maximum(sizes[a + 1 :], sizes[a])
+        if group is not None:
+            fits &= group[a + 1 :] != group[a]
+        b = np.flatnonzero(fits) + a + 1
+        near = (sigs[b] == sigs[a]).mean(axis=1)
+        fine = near >= similarity - MARGIN
+        b, near = b[fine], near[fine]
+        pairs.append(np.stack([np.full(len(b), a), b, -near * 1e6], axis=1))
     pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3))
     pairs = pairs[np.argsort(pairs[:, 2], kind="stable")][:, :2].astype(int)
     forest, found = Forest(len(rows)), []
     for a, b in pairs.tolist():
-        if forest.find(a) != forest.find(b):
-            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-            if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
-                forest.join(a, b)
-                found.append((int(rows[a]), int(rows[b])))
+        if forest.find(a) != forest.find(b) and is_similar(sets[a], sets[b], similarity):
+            forest.join(a, b)
+            found.append((int(rows[a]), int(rows[b])))
     return found
 
 
 def family_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a task: the families of a bin, or two blocks of one large family."""
+    """Links of a task: families of a bin, or two blocks of a larger group; rows of the same ``side`` are not compared where it is not null."""
     out = []
     for _, own in pdf.groupby("family", sort=False):
         own = own.drop_duplicates("row").sort_values("row")
-        i, j = int(own["i"].iloc[0]), int(own["j"].iloc[0])
         sigs = np.frombuffer(b"".join(own["sig"]), dtype=np.uint32).reshape(len(own), COORDINATES)
         sets = [np.frombuffer(x, dtype=_U) for x in own["cells"]]
-        side = None if i == j else (own["block"] == i).to_numpy()
-        out += similar_links(own["row"].to_numpy(), sigs, sets, one_side=side)
+        side = None if own["side"].isna().any() else own["side"].to_numpy()
+        out += similar_links(own["row"].to_numpy(), sigs, sets, group=side)
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``members`` with their texts' unit cells, found again by id and word sequence."""
+def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
+    """``members`` (key, text_hash, words_id, ...) with their texts' unit cells; ``repeated`` tells that rows of ``docs`` repeat."""
 
     @F.pandas_udf("binary")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -268,8 +281,10 @@ def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str) -> Data
             hashed = [word_hashes(x) for x in texts]
             yield pd.Series([np.sort(unit_cells(shingles(h))).tobytes() if sequence_id(h) == bytes(i) else None for h, i in zip(hashed, ids, strict=True)])
 
-    texts = docs.select(F.col(key).alias("text_key"), F.col(text).alias("text"))
-    joined = members.join(texts, members["key"].eqNullSafe(texts["text_key"])).drop("text_key")
+    texts = docs.select(F.col(key).alias("text_key"), text_hash(text).alias("own_hash"), F.col(text).alias("text"))
+    # By id and hash of the text, so that null ids, or an id with many texts, meet their own text only. Rows that repeat are combined before the shuffle.
+    texts = texts.dropDuplicates(["text_key", "own_hash"]) if repeated else texts
+    joined = members.join(texts, (members["text_hash"] == texts["own_hash"]) & members["key"].eqNullSafe(texts["text_key"])).drop("text_key", "own_hash")
     # It takes a column of either side, so that only the texts of members are hashed again.
     return joined.withColumn("cells", of(F.col("text"), F.col("words_id"))).drop("text").where("cells IS NOT NULL")
 
@@ -285,6 +300,105 @@ def star_links(banded: DataFrame) -> DataFrame:
     return links.where("a <> b").distinct()
 
 
+def blocks_of(rows: Column, shingle_count: Column) -> Column:
+    return F.ceil(F.greatest(rows / BLOCK_TEXTS, shingle_count / BLOCK_SHINGLES)).cast("int")
+
+
+def pairs_in_blocks(filled: DataFrame, n: int) -> DataFrame:
+    """Links of families (family, row, parts, sig, cells) by all their pairs, in blocks if they have several parts. ``n`` rows are about so many."""
+    none = F.lit(None).cast("long")
+    blocked = filled.withColumn("block", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    meet = blocked.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    large = F.col("parts") > 1
+    bin_of = F.when(large, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, n // BLOCK_TEXTS))))
+    side = F.when(F.col("i") == F.col("j"), none).otherwise(F.col("block").cast("long"))
+    groups = meet.select("family", "row", "i", "j", "sig", "cells", side.alias("side"), large.alias("large"), bin_of.alias("bin"))
+    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links, "a long, b long")
+
+
+def is_hot(count: Column, n: int) -> Column:
+    return count > max(HOT_ROWS, n * HOT_SHARE)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
+    """Inner join on a key that all of ``left`` has in ``right`` (key, n_rows, ...): hot keys, at most 1 / HOT_SHARE of them, are broadcast and leave the shuffle."""
+    own = [c for c in right.columns if c not in (key, "n_rows")]
+    sides = [right.where(c).select(F.col(key).alias(f"key_{i}"), F.struct(*own).alias(f"x_{i}")) for i, c in enumerate((is_hot(F.col("n_rows"), n), ~is_hot(F.col("n_rows"), n)))]
+    out = left.join(F.broadcast(sides[0]), F.col(key) == F.col("key_0"), "left")
+    # Rows that are served get a null key each with a number, which spreads them.
+    spread = F.when(F.col("x_0").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(F.lit(None).cast(left.schema[key].dataType).alias("k"), F.xxhash64("row").alias("s")))
+    other = sides[1].withColumn("spread_1", F.struct(F.col("key_1").alias("k"), F.lit(0).cast("long").alias("s")))
+    out = out.withColumn("spread_0", spread).join(other, F.col("spread_0") == F.col("spread_1"), "left")
+    return out.select(*[left[c] for c in left.columns], F.coalesce("x_0", "x_1").alias("x")).select(*left.columns, "x.*")
+
+
+def united(banded: DataFrame, links: DataFrame | None) -> DataFrame:
+    """``banded`` (row, band) with the row's group by the links found so far."""
+    if links is None:
+        return banded.withColumn("root", F.col("row"))
+    labels = components(links)
+    return banded.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+
+
+def head_links(grouped: DataFrame, filled: DataFrame, seed: int, n: int) -> DataFrame:
+    """Links of rows to a head each: of the heads that share a band with a row and are of another group, that of the least hash."""
+    order = F.struct(F.xxhash64("row", F.lit(seed)).alias("h"), F.col("row").alias("head"), F.col("root").alias("head_root"))
+    heads = grouped.groupBy("band").agg(F.min(order).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi")
+    chosen = grouped.join(heads.select("band", "x"), "band").where(F.col("root") != F.col("x.head_root")).groupBy("row").agg(F.min("x").alias("x")).select("row", "x.head")
+    chosen = materialize(chosen, "heads")
+    counted = chosen.groupBy("head").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / HOT_ROWS).cast("int"))
+    # A head with many rows is salted: its cells go to several tasks.
+    hot = F.broadcast(counted.where(is_hot(F.col("m"), n)).select(F.col("head").alias("hot_head"), "salts"))
+    salted = chosen.join(hot, F.col("head") == F.col("hot_head"), "left").select("row", "head", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("row"), F.col("salts")).cast("int")).alias("salt"))
+    sides = counted.withColumn("salt", F.explode(F.when(is_hot(F.col("m"), n), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.lit(0)))))
+    sides = sides.join(filled.select(F.col("row").alias("head"), F.col("sig").alias("head_sig"), F.col("cells").alias("head_cells")), "head").drop("m", "salts")
+
+    @F.pandas_udf("boolean")
+    def similar(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        view = lambda x, kind: np.frombuffer(x, dtype=kind)
+        for s, c, hs, hc in batches:
+            yield pd.Series([bool((view(a, np.uint32) == view(p, np.uint32)).mean() >= SIMILARITY - MARGIN and is_similar(view(b, _U), view(q, _U))) for a, b, p, q in zip(s, c, hs, hc, strict=True)])
+
+    pairs = salted.join(filled.select("row", "sig", "cells"), "row").join(sides, ["head", "salt"])
+    return pairs.where(similar("sig", "cells", "head_sig", "head_cells")).select(F.col("row").alias("a"), F.col("head").alias("b"))
+
+
+def rest_links(grouped: DataFrame, filled: DataFrame) -> DataFrame:
+    """Links between texts that share a band and are of different groups: rows outside a band's largest group against all rows of the band, in blocks."""
+    # Bands of the same rows are one.
+    marks = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("x")).where("lo <> hi")
+    kept = marks.groupBy("m", "x").agg(F.min("band").alias("band")).select("band")
+    rows = materialize(grouped.join(kept, "band"), "open_bands")
+    sizes = rows.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("m"))
+    sizes = sizes.select("band", F.col("main.root").alias("main"), F.ceil((F.col("m") - F.col("main.k")) / BLOCK_TEXTS).cast("int").alias("few"), F.ceil(F.col("main.k") / BLOCK_TEXTS).cast("int").alias("many"), "m")
+    dealt = rows.join(sizes, "band").withColumn("is_main", F.col("root") == F.col("main"))
+    block = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
+    spots = lambda c, pair: F.transform(F.sequence(F.lit(0), F.col(c) - 1), pair)
+    spot = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
+    # Blocks of the few are named from 0 up, those of the largest group from -1 down.
+    own = block("few")
+    few = F.array_distinct(F.concat(spots("few", lambda o: spot(F.least(own, o), F.greatest(own, o))), spots("many", lambda o: spot(-1 - o, own))))
+    many = spots("few", lambda o: spot(-1 - block("many"), o))
+    small = F.col("m") <= BLOCK_TEXTS
+    where = F.when(small, F.array(spot(F.lit(0), F.lit(0)))).when(F.col("is_main"), many).otherwise(few)
+    bins = F.pmod(F.xxhash64("band"), F.lit(max(1, rows.count() // BLOCK_TEXTS)))
+    meet = dealt.select(F.col("band").alias("family"), "row", F.col("root").alias("side"), F.when(small, bins).otherwise(F.col("band")).alias("bin"), (~small).alias("large"), F.explode(where).alias("x"))
+    groups = meet.join(filled.select("row", "sig", "cells"), "row").select("family", "row", "side", "bin", "large", "x.i", "x.j", "sig", "cells")
+    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links, "a long, b long")
+
+
+def links_of_large(filled: DataFrame, banded: DataFrame) -> DataFrame:
+    """Links inside families that are too large for all their pairs, from their rows (row, sig, cells) and (row, band)."""
+    filled = materialize(filled.select("row", "sig", "cells"), "large")
+    banded = materialize(banded.join(filled.select("row"), "row", "left_semi"), "large_bands")
+    n, links = filled.count(), None
+    for seed in range(HEAD_ROUNDS):
+        found = head_links(united(banded, links), filled, seed, n)
+        links = materialize(found if links is None else links.unionByName(found), "head_links")
+    rest = rest_links(united(banded, links), filled)
+    return rest if links is None else links.unionByName(rest)
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its key, class_id (the least key of its class), class_size and kept (one row of a class)."""
     signed = materialize(sign(docs, key, text), "signatures")
@@ -295,22 +409,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     banded = reps.select("row", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("row").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     families = components(star_links(banded.join(heads, "band"))).withColumnRenamed("root", "family")
-    members = families.withColumnRenamed("node", "row").join(signed.select("row", "key", "words_id", "n", "sig"), "row")
+    members = families.withColumnRenamed("node", "row").join(signed.select("row", "key", "text_hash", "words_id", "n", "sig"), "row")
     size = members.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    parts = F.ceil(F.greatest(F.col("m") / BLOCK_TEXTS, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    size = size.select("family", parts.alias("parts"))
-    filled = with_cells(members, docs, key, text).join(size, "family")
-    blocked = filled.withColumn("block", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    meet = blocked.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    bins = max(1, members.count() // BLOCK_TEXTS)
-    bin_of = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("family"), F.lit(bins))).otherwise(F.col("family"))
-    groups = meet.select("family", "row", "block", "i", "j", "sig", "cells", (F.col("parts") > 1).alias("large"), bin_of.alias("bin"))
-    links = groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links, "a long, b long")
+    size = materialize(size.select("family", "m", blocks_of(F.col("m"), F.col("total")).alias("parts")), "families")
+    repeated = not signed.groupBy("key", "text_hash").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    # A family larger than the blocks allow has so many rows that there are few of it.
+    large = F.col("parts") > FAMILY_BLOCKS
+    has_large = not size.where(large).isEmpty()
+    sized = members.join(size.select("family", "parts"), "family")
+    n = size.agg(F.sum("m")).first()[0] or 0
+    fill = lambda rows: with_cells(rows, docs, key, text, repeated)
+    links = pairs_in_blocks(fill(sized.where(~large)), n)
+    if has_large:
+        links = links.unionByName(links_of_large(fill(sized.where(large)), banded))
     joined = components(links)
-    rooted = texts.join(joined, texts["rep"] == joined["node"], "left").withColumn("root", F.coalesce("root", "rep"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"))
-    named = rooted.select("words_id", "root").join(chosen, "root").select("words_id", "best", "class_size")
-    out = signed.select("row", "key", "words_id").join(named, "words_id")
+    n_texts = texts.count()
+    rooted = texts.withColumnRenamed("rep", "row").join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("best"), F.sum("copies").alias("class_size"), F.count("*").alias("n_rows"))
+    named = join_spread(rooted.select("row", "words_id", "root", "copies"), chosen, "root", n_texts)
+    named = named.select("words_id", "best", "class_size", F.col("copies").alias("n_rows"))
+    out = join_spread(signed.select("row", "key", "words_id"), named, "words_id", n_texts)
     return out.select(F.col("key").alias(key), F.col("best.key").alias("class_id"), "class_size", (F.col("row") == F.col("best.row")).alias("kept"))
 
 

@@ -1,9 +1,11 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from collatrix.llm import near_duplicates as N
-from tests.llm.brute import near_classes
+from tests.llm.brute import near_classes, shingle_bag
 
 
 def corpus(seed=0, groups=12):
@@ -31,8 +33,12 @@ def test_equals_plain_classes(spark):
     assert all(sizes[k] == list(want.values()).count(c) for k, c in want.items())
 
 
-def test_large_families_in_blocks(spark, monkeypatch):
+@pytest.mark.parametrize(("blocks", "rounds"), [(100, 2), (1, 2), (1, 0), (1, 1)])
+def test_large_families_in_blocks(spark, monkeypatch, blocks, rounds):
     monkeypatch.setattr(N, "BLOCK_TEXTS", 7)
+    monkeypatch.setattr(N, "FAMILY_BLOCKS", blocks)
+    monkeypatch.setattr(N, "HEAD_ROUNDS", rounds)
+    monkeypatch.setattr(N, "HOT_ROWS", 5)
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
     rows = []
@@ -77,3 +83,81 @@ def test_signatures_do_not_depend_on_the_batch():
     for s, row in zip(sets[1:], together[1:], strict=True):
         assert (N.signatures([s])[0] == row).all()
         assert np.isfinite(row).all()
+
+
+@pytest.mark.parametrize("blocks", [100, 1])
+def test_chained_families(spark, monkeypatch, blocks):
+    """Texts that shift word by word: neighbours are similar, the ends of the chain have nothing in common; stragglers share bands only."""
+    monkeypatch.setattr(N, "BLOCK_TEXTS", 10)
+    monkeypatch.setattr(N, "FAMILY_BLOCKS", blocks)
+    monkeypatch.setattr(N, "HOT_ROWS", 8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(110)]
+    rows += [(1000 + i, " ".join(words[40 * i : 40 * i + 45] + [f"q{i}{j}" for j in range(14)])) for i in range(8)]
+    got = {r["doc_id"]: r["class_id"] for r in N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == near_classes(rows)
+
+
+def test_many_null_and_equal_ids_meet_their_own_text_only(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        base = [f"w{i}x{j}" for j in range(40)]
+        rows += [(None if i % 2 else 7, " ".join(base)), (None if i % 2 else 7, " ".join([*base, f"more{rng.randint(0, 9)}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = N.sign(df, "doc_id", "text")
+    filled = N.with_cells(signed, df, "doc_id", "text", False)
+    assert filled.count() == len(rows)
+    before = filled.drop("cells")
+    assert before.count() == len(rows)
+    joined = [r["class_size"] for r in N.classes(df).collect()]
+    assert joined == [2] * len(rows)
+    # Rows that repeat are one row of the join.
+    again = df.unionByName(df.limit(1)).unionByName(df.limit(1))
+    assert sorted(r["class_size"] for r in N.classes(again).collect()) == [2] * (len(rows) - 2) + [4] * 4
+
+
+def test_hot_classes_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_ROWS", 3)
+    rows = corpus(5) + [(2000 + i, "the very same text in many rows of the table") for i in range(50)]
+    got = N.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == near_classes(rows)
+
+
+FOLDER = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
+def test_recall_against_all_pairs(spark):
+    """All pairs of sf0.01 that share a shingle, compared exactly: every link of 0.8 or more is inside a class, and no class holds anything else."""
+    from collections import Counter, defaultdict
+
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").collect()]
+    bags = [shingle_bag(t) for _, t in docs]
+    where = defaultdict(list)
+    for i, bag in enumerate(bags):
+        for x in bag:
+            where[x].append(i)
+    links, up = 0, list(range(len(docs)))
+
+    def find(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    found = {r["doc_id"]: r["class_id"] for r in N.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    inside = 0
+    for i, bag in enumerate(bags):
+        for j, both in Counter(j for x in bag for j in where[x] if j > i).items():
+            if both >= 0.8 * (len(bag) + len(bags[j]) - both):
+                links += 1
+                inside += found[docs[i][0]] == found[docs[j][0]]
+                x, y = sorted((find(i), find(j)))
+                up[y] = x
+    assert links > 50
+    assert inside == links
+    least = {}
+    for i, (k, _) in enumerate(docs):
+        if bags[i]:
+            least[find(i)] = min(least.get(find(i), k), k)
+    assert all(found[k] == least[find(i)] for i, (k, _) in enumerate(docs) if bags[i])
