@@ -49,7 +49,7 @@ DARTS = COORDINATES * (math.log(COORDINATES) + 2.0)
 FIRST_BLOCK = 2.0**-8
 MARGIN = 4 * math.sqrt(SIMILARITY * (1 - SIMILARITY) / COORDINATES)
 #: Texts and shingles of one block, at most two of which meet in a task.
-BLOCK_TEXTS, BLOCK_SHINGLES = 512, 400_000
+BLOCK_TEXTS, BLOCK_SHINGLES = 256, 200_000
 #: Blocks of a family in which all pairs are compared, and rounds with heads for larger ones.
 FAMILY_BLOCKS, HEAD_ROUNDS = 4, 2
 #: A key is hot with so many rows, and with this share of all rows: so there are few, which can be broadcast.
