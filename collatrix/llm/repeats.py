@@ -59,7 +59,7 @@ GRAM = 24
 REACH = SPAN - GRAM + 1
 #: Bytes of text that a task cuts into blocks at a time, and least bytes per part that blocks are dealt to.
 CHUNK = 8 << 20
-PART = 10 << 20
+PART = 4 << 20
 #: Symbols that one suffix array holds, unless one anchor has more.
 ARRAY = 10_000
 #: Different blocks of an anchor that go to one array; anchors with more are split.
