@@ -1,17 +1,22 @@
-"""LM scoring by cross-entropy difference of two n-gram models.
-
-The target model is counted over the documents labelled good, the background model
-over all documents. They are matched: byte trigrams over one closed vocabulary,
-the 256 bytes, with the same smoothing (each order falls back on the next
-shorter one in proportion to its distinct continuations, down to uniform).
-A document's score is the mean over its bytes of the background's loss less the
-target's: above 0, it is more like the target than like the corpus.
-
-Counts are taken over every byte of every document, combined in each task and
-summed. Their number is bounded by the vocabulary, 256 ** 3, which bounds what is
-collected and broadcast; labels are broadcast only up to ``BROADCAST_LABELS`` rows.
-
-Defined cases: a null or empty text has no tokens, and null losses and score; null
+"""LM scoring by cross-entropy difference of two matched n-gram models.
+
+Tokens are words. The target model is counted over the documents labelled good, the
+background model over all documents, both over one vocabulary (words as hashes, out of ``VOCABULARY`` alike)
+and with the same smoothing: a word's share of all words is mixed with ``UNIFORM`` of a law of its last ``ENDING`` bytes,
+whose share is mixed with as much of a uniform law, and
+its share of what follows the word before it, if that is known, counts ``PAIR``. So what neither model knows
+costs the same in both, though one has counted more. A document is scored by counts of all other documents: its own
+are taken out of both models, so no target document is scored by itself, and a text that occurs
+twice is known to the background. A token's score is the background's loss less the
+target's, a document's the mean: above 0, it is more like the target than like the corpus.
+
+Scale. What is gathered grows with the corpus, so nothing of it is broadcast or collected.
+Texts are dealt to chunks of ``CHUNK`` bytes by a hash; a chunk sends its distinct words and pairs
+with counts to parts by their hash, packed, so a frequent pair is one entry per chunk; parts add up
+the chunks and send the sums back; the chunk, whose texts are still in the same shuffle, scores its
+documents. Rows that repeat are combined before. Labels are broadcast only up to ``BROADCAST_LABELS`` rows.
+
+Defined cases: words are runs of non-space with A-Z lower-cased; a null text or one without words has no tokens, and null losses and score; null
 ids are not in the target; of labels that disagree about an id the lowest counts;
 without target documents the target model is uniform; rows that repeat count and are scored
 each; an empty table gives an empty result; other columns are left out.
@@ -19,137 +24,203 @@ each; an empty table gives an empty result; other columns are left out.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.store import documents, read, small_batches
+from collatrix.llm.near_duplicates import scramble, text_hash, word_hashes
+from collatrix.llm.store import count_words, documents, read, small_batches
 
-BYTES = 256
-GRAMS = BYTES**3
-BROADCAST_LABELS = 2_000_000
+VOCABULARY = 1 << 36
+#: Weights of the shorter law among words and endings, and of pairs.
+UNIFORM, PAIR = 0.05, 0.5
+#: Bytes of an ending, and the words that one stands for.
+ENDING, ALIKE = 3, 1 << 12
+ENDINGS = VOCABULARY // ALIKE
+CACHE_MOST = 250_000
 CHUNK = 8 << 20
+PART = 8 << 20
+BROADCAST_LABELS = 2_000_000
 
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A trigram for each byte of the texts, after two zero bytes each, and how many each text has."""
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    x = np.frombuffer(b"".join(b"\0\0" + t for t in texts), dtype=np.uint8).astype(np.uint32)
-    if not len(x):
-        return np.zeros(0, dtype=np.uint32), lengths
-    grams = (x[:-2] << 16) | (x[1:-1] << 8) | x[2:]
-    start = np.cumsum(lengths + 2) - (lengths + 2)
-    inside = np.ones(len(grams), dtype=bool)
-    for back in (1, 2):
-        edge = start - back
-        inside[edge[(edge >= 0) & (edge < len(inside))]] = False
-    return grams[inside], lengths
-
-
-def count_grams(docs: DataFrame) -> DataFrame:
-    """(gram, target, background) over (text, is_target): one row for each trigram of the corpus."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {k: (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)) for k in (True, False)}
-
-        def add(kind: bool, texts: list[bytes]) -> None:
-            grams, n = np.unique(trigrams(texts)[0], return_counts=True)
-            own, old = total[kind]
-            merged, at = np.unique(np.concatenate([own, grams]), return_inverse=True)
-            total[kind] = merged, np.bincount(at, np.concatenate([old, n]), len(merged)).astype(np.int64)
-
-        held, size = {True: [], False: []}, 0
-        for batch in batches:
-            for text, kind in zip(batch["text"], batch["is_target"], strict=True):
-                if text:
-                    held[bool(kind)].append(text.encode("utf-8", "surrogatepass"))
-                    size += len(held[bool(kind)][-1])
-            if size >= CHUNK:
-                for kind, texts in held.items():
-                    add(kind, texts)
-                held, size = {True: [], False: []}, 0
-        for kind, texts in held.items():
-            add(kind, texts)
-            grams, n = total[kind]
-            yield pd.DataFrame({"gram": grams.astype(np.int64), "target": n if kind else 0, "background": n})
-
-    rows = docs.mapInPandas(count, "gram long, target long, background long")
-    return rows.groupBy("gram").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-
-
-def losses(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Bits that each of all trigrams costs, as a flat table, from the counts of those seen."""
-    seen = np.zeros(GRAMS, dtype=np.float32)
-    seen[grams] = counts
-    pairs = np.bincount(grams & 0xFFFF, counts, BYTES**2).reshape(BYTES, BYTES)
-    ones = pairs.sum(axis=0)
-
-    def smooth(n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        kinds = (n > 0).sum(axis=-1, keepdims=True)
-        total = n.sum(axis=-1, keepdims=True)
-        return np.where(total > 0, (n + kinds * shorter) / np.maximum(total + kinds, 1), shorter)
-
-    p1 = smooth(ones, np.full(BYTES, 1.0 / BYTES))
-    p2 = smooth(pairs, p1)
-    out = seen.reshape(BYTES, BYTES, BYTES)
-    for first in range(BYTES):
-        out[first] = -np.log2(smooth(out[first].astype(np.float64), p2))
-    return seen
-
-
-class MatchedModels:
-    """Counts of both models; the tables of losses are made once in a process."""
-
-    def __init__(self, grams: np.ndarray, target: np.ndarray, background: np.ndarray, name: int):
-        self.grams, self.target, self.background, self.name = grams, target, background, name
-
-    def tables(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.name not in _TABLES:
-            _TABLES.clear()
-            _TABLES[self.name] = (losses(self.grams, self.target), losses(self.grams, self.background))
-        return _TABLES[self.name]
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, and mean losses per token under the target and the background model."""
-        grams, n = trigrams(texts)
-        target, background = self.tables()
-        doc = np.repeat(np.arange(len(texts)), n)
-        mean = lambda table: np.bincount(doc, table[grams], len(texts)) / np.maximum(n, 1)
-        return n, mean(target), mean(background)
-
-
-def fit(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text") -> MatchedModels:
-    """Models of the documents whose key is in ``target`` (unique keys), and of all documents."""
-    ids = target.select(F.col(key).alias("target_key"), F.lit(True).alias("is_target"))
+_U = np.uint64
+_START = scramble(np.array([1], dtype=_U))
+_ENDINGS: dict[bytes, int] = {}
+DEALT = "part int, chunk long, keys binary, background binary, target binary"
+SCORED = "n_tokens long, loss_target double, loss_background double"
+TOKENS = "token_losses array<struct<target: double, background: double>>"
+
+
+def word_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of words: odd numbers."""
+    return scramble(h) | _U(1)
+
+
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of each word after the one before it, the first after the start: even numbers."""
+    before = np.concatenate([_START, h[:-1]])
+    return scramble(scramble(before) + h * _U(0x9E3779B97F4A7C15)) & _U(0xFFFFFFFFFFFFFFFE)
+
+
+def endings(text: str | None) -> np.ndarray:
+    """The endings of a text's words as numbers."""
+    if len(_ENDINGS) > CACHE_MOST:
+        _ENDINGS.clear()
+    get, out = _ENDINGS.get, []
+    for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
+        e = get(w)
+        if e is None:
+            e = _ENDINGS[w] = int.from_bytes(w[-ENDING:], "big")
+        out.append(e)
+    return np.array(out, dtype=_U)
+
+
+def ending_keys(e: np.ndarray) -> np.ndarray:
+    return scramble(e + _U(1 << 40))
+
+
+class Grams:
+    """Words, their endings and pairs of a chunk's texts, and how often they occur in each text and in all."""
+
+    def __init__(self, texts: list[str | None]):
+        hashed = [word_hashes(t) for t in texts]
+        self.n = np.array([len(h) for h in hashed], dtype=np.int64)
+        none = np.zeros(0, dtype=_U)
+        flat = np.concatenate([none, *hashed])
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        pairs = np.concatenate([none, *(pair_keys(h) for h in hashed if len(h))])
+        last = ending_keys(np.concatenate([none, *(endings(t) for t in texts)]))
+        self.keys, at = np.unique(np.concatenate([word_keys(_START), word_keys(flat), pairs, last]), return_inverse=True)
+        start, (self.word, self.pair, self.ending) = at[0], np.split(at[1:], 3)
+        first = np.cumsum(self.n) - self.n
+        self.before = np.r_[start, self.word[:-1]][: len(flat)]
+        self.before[first[self.n > 0]] = start
+        self.start = start
+
+    def own(self, which: np.ndarray) -> np.ndarray:
+        """How often each position's key is in its own text."""
+        _, at, n = np.unique(self.doc * len(self.keys) + which, return_inverse=True, return_counts=True)
+        return n[at]
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """How often each key occurs, a text counting ``weight`` times; the start occurs once a text that has words."""
+        out = sum(np.bincount(x, weight[self.doc], len(self.keys)) for x in (self.word, self.pair, self.ending))
+        out[self.start] += weight[self.n > 0].sum()
+        return out.astype(np.int64)
+
+    def losses(self, counts: np.ndarray, total: int, mine: np.ndarray) -> np.ndarray:
+        """Bits of each token by counts of the whole corpus, without its text's own ones where ``mine``."""
+        if not len(self.doc):
+            return np.zeros(0)
+        out_of = mine[self.doc].astype(np.int64)
+        own_word = self.own(self.word) * out_of
+        n_word = counts[self.word] - own_word
+        n_pair = counts[self.pair] - self.own(self.pair) * out_of
+        n_ending = counts[self.ending] - self.own(self.ending) * out_of
+        # The word before is the position before, or the start, which a text has once.
+        is_first = self.before == self.start
+        own_before = np.where(is_first, out_of, np.r_[0, own_word[:-1]])
+        n_before = counts[self.before] - own_before
+        others = total - self.n[self.doc] * out_of
+        known = lambda n, law: np.where(others > 0, (1 - UNIFORM) * n / np.maximum(others, 1) + UNIFORM * law, law)
+        share = known(n_word, known(n_ending, 1 / ENDINGS) / ALIKE)
+        return -np.log2(np.where(n_before > 0, PAIR * n_pair / np.maximum(n_before, 1) + (1 - PAIR) * share, share))
+
+
+def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys >> _U(32)) % _U(parts)).astype(np.int64)
+
+
+def count_chunk(parts: int):
+    """A chunk's distinct keys with counts, a row for each part."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        grams = Grams(list(pdf["text"]))
+        copies = pdf["copies"].to_numpy(dtype=np.int64)
+        background, target = grams.counts(copies), grams.counts(copies * pdf["is_target"].to_numpy(dtype=bool))
+        part = parts_of(grams.keys, parts)
+        order = np.argsort(part, kind="stable")
+        ends = np.searchsorted(part[order], np.arange(parts), side="right")
+        chunk, rows = int(pdf["chunk"].iloc[0]), []
+        for p in np.unique(part).tolist():
+            own = order[ends[p - 1] if p else 0 : ends[p]]
+            rows.append((p, chunk, *(x[own].tobytes() for x in (grams.keys, background, target))))
+        return pd.DataFrame(rows, columns=["part", "chunk", "keys", "background", "target"])
+
+    return run
+
+
+def add_part(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk of a part, the sums of all chunks for its keys."""
+    join = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in pdf[c]])
+    _, at = np.unique(join("keys", _U), return_inverse=True)
+    ends = np.cumsum([len(x) // 8 for x in pdf["keys"]])[:-1]
+    out = {"part": pdf["part"], "chunk": pdf["chunk"], "keys": None}
+    for c in ("background", "target"):
+        sums = np.bincount(at, join(c, np.int64)).astype(np.int64)[at]
+        out[c] = [x.tobytes() for x in np.split(sums, ends)]
+    return pd.DataFrame(out)
+
+
+def score_chunk(parts: int, totals: tuple[int, int], with_tokens: bool):
+    """Scores of a chunk's documents by the sums that came back."""
+
+    def run(pdf: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        grams = Grams(list(pdf["text"]))
+        order = np.argsort(parts_of(grams.keys, parts), kind="stable")
+        sums = sums.sort_values("part")
+        own = {"background": np.ones(len(pdf), dtype=bool), "target": pdf["is_target"].to_numpy(dtype=bool)}
+        out = pdf[["key", "copies"]].assign(n_tokens=grams.n)
+        each = {}
+        for (name, mine), total in zip(own.items(), totals, strict=True):
+            counts = np.zeros(len(grams.keys), dtype=np.int64)
+            if len(sums):
+                counts[order] = np.frombuffer(b"".join(sums[name]), dtype=np.int64)
+            each[name] = grams.losses(counts, total, mine)
+            mean = np.bincount(grams.doc, each[name], len(pdf)) / np.maximum(grams.n, 1)
+            out[f"loss_{name}"] = np.where(grams.n > 0, mean, np.nan)
+        columns = ["key", "copies", "n_tokens", "loss_target", "loss_background"]
+        if with_tokens:
+            ends = np.cumsum(grams.n)[:-1]
+            pairs = zip(*(np.split(each[c], ends) for c in ("target", "background")), strict=True)
+            out["token_losses"] = [[{"target": a, "background": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in pairs]
+            columns.append("token_losses")
+        return out[columns]
+
+    return run
+
+
+def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "text", with_tokens: bool = False) -> DataFrame:
+    """Per row its key, n_tokens, loss_target, loss_background (bits per token) and score, their difference.
+
+    ``target`` has the keys of the target documents, each once. ``with_tokens`` adds the losses of every token.
+    """
+    small_batches(docs.sparkSession)
+    ids = target.select(F.col(key).alias("target_key"), F.lit(True).alias("in_target"))
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_LABELS else ids
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    marked = texts.join(ids, texts["key"] == ids["target_key"], "left").select("text", F.coalesce("is_target", F.lit(False)).alias("is_target"))
-    table = count_grams(marked).toArrow()
-    columns = [table.column(c).to_numpy().astype(np.int64) for c in ("gram", "target", "background")]
-    order = np.argsort(columns[0])
-    return MatchedModels(*(c[order] for c in columns), name=hash(columns[2].tobytes()))
-
-
-def score(docs: DataFrame, models: MatchedModels, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row its key, n_tokens, loss_target, loss_background (bits per token) and score, their difference."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.pandas_udf("n_tokens long, loss_target double, loss_background double")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            n, t, b = shared.value.score([(x or "").encode("utf-8", "surrogatepass") for x in batch])
-            none = np.where(n > 0, 0.0, np.nan)
-            yield pd.DataFrame({"n_tokens": n, "loss_target": t + none, "loss_background": b + none})
-
-    rows = docs.select(F.col(key).alias(key), of(F.col(text)).alias("x")).select(key, "x.*")
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), text_hash(text).alias("text_hash"))
+    names = rows.groupBy("key", "text_hash").agg(F.count("*").alias("copies"))
+    if names.where("copies > 1").isEmpty():
+        rows = rows.withColumn("copies", F.lit(1).cast("long"))
+    else:
+        rows = rows.groupBy("key", "text_hash").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    marked = rows.join(ids, rows["key"] == ids["target_key"], "left").withColumn("is_target", F.coalesce("in_target", F.lit(False)))
+    words = count_words(F.col("text")) * F.col("copies")
+    sums = marked.agg(F.sum(words).alias("background"), F.sum(F.when(F.col("is_target"), words)).alias("target"), F.sum(F.octet_length("text")).alias("size")).first()
+    size = sums["size"] or 0
+    chunks, parts = max(1, math.ceil(size / CHUNK)), max(1, math.ceil(size / max(PART, math.sqrt(size * 512.0))))
+    chunk = F.pmod(F.xxhash64("key", "text_hash"), F.lit(chunks))
+    dealt = marked.select("key", "text", "copies", "is_target", chunk.alias("chunk")).groupBy("chunk")
+    added = dealt.applyInPandas(count_chunk(parts), DEALT).groupBy("part").applyInPandas(add_part, DEALT)
+    key_type = rows.schema["key"].dataType.simpleString()
+    schema = f"key {key_type}, copies long, {SCORED}" + (f", {TOKENS}" if with_tokens else "")
+    scored = dealt.cogroup(added.groupBy("chunk")).applyInPandas(score_chunk(parts, (sums["background"] or 0, sums["target"] or 0), with_tokens), schema)
     known = [F.when(F.col("n_tokens") > 0, F.col(c)).alias(c) for c in ("loss_target", "loss_background")]
-    rows = rows.select(key, "n_tokens", *known)
-    return rows.withColumn("score", F.col("loss_background") - F.col("loss_target"))
+    each = scored.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    each = each.select(F.col("key").alias(key), "n_tokens", *known, *(["token_losses"] if with_tokens else []))
+    return each.withColumn("score", F.col("loss_background") - F.col("loss_target"))
 
 
 def good_documents(labels: DataFrame, key: str = "doc_id", label: str = "quality") -> DataFrame:
@@ -159,9 +230,8 @@ def good_documents(labels: DataFrame, key: str = "doc_id", label: str = "quality
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return score(docs, fit(docs, good_documents(read(spark, sf_dir, "labels"))))
+    return score(docs, good_documents(read(spark, sf_dir, "labels")))
 
 
 QUERIES = {"op4_lm_score": op4_lm_score}
