@@ -12,9 +12,9 @@ target's, a document's the mean: above 0, it is more like the target than like t
 
 Scale. What is gathered grows with the corpus, so nothing of it is broadcast or collected.
 Texts are dealt to chunks of ``CHUNK`` bytes by a hash; a chunk sends its distinct words and pairs
-with counts to parts by their hash, packed, so a frequent pair is one entry per chunk; parts add up
-the chunks and send the sums back; the chunk, whose texts are still in the same shuffle, scores its
-documents. Rows that repeat are combined before. Labels are broadcast only up to ``BROADCAST_LABELS`` rows.
+with counts to parts by their hash, packed to some eight bytes each, so a frequent pair is one entry per chunk; parts add up
+the chunks and send back what others have; the chunk, whose texts are still in the same shuffle, scores its
+documents. Keys are compared by 56 bits and the part's. Rows that repeat are combined before. Labels are broadcast only up to ``BROADCAST_LABELS`` rows.
 
 Defined cases: words are runs of non-space with A-Z lower-cased; a null text or one without words has no tokens, and null losses and score; null
 ids are not in the target; of labels that disagree about an id the lowest counts;
@@ -25,13 +25,15 @@ each; an empty table gives an empty result; other columns are left out.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.near_duplicates import scramble, text_hash, word_hashes
+from collatrix.llm.near_duplicates import scramble, text_hash
 from collatrix.llm.store import count_words, documents, read, small_batches
 
 VOCABULARY = 1 << 36
@@ -40,88 +42,91 @@ UNIFORM, PAIR = 0.05, 0.5
 #: Bytes of an ending, and the words that one stands for.
 ENDING, ALIKE = 3, 1 << 12
 ENDINGS = VOCABULARY // ALIKE
-CACHE_MOST = 250_000
 CHUNK = 8 << 20
 PART = 8 << 20
 BROADCAST_LABELS = 2_000_000
 
 _U = np.uint64
-_START = scramble(np.array([1], dtype=_U))
-_ENDINGS: dict[bytes, int] = {}
+_START = _U(0x51ED270B9E3779B9)
 DEALT = "part int, chunk long, keys binary, background binary, target binary"
 SCORED = "n_tokens long, loss_target double, loss_background double"
 TOKENS = "token_losses array<struct<target: double, background: double>>"
 
 
-def word_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of words: odd numbers."""
-    return scramble(h) | _U(1)
+class Numbers(dict):
+    """Numbers things from 0 in the order in which they come."""
 
+    def __missing__(self, x):
+        n = self[x] = len(self)
+        return n
 
-def pair_keys(h: np.ndarray) -> np.ndarray:
-    """Keys of each word after the one before it, the first after the start: even numbers."""
-    before = np.concatenate([_START, h[:-1]])
-    return scramble(scramble(before) + h * _U(0x9E3779B97F4A7C15)) & _U(0xFFFFFFFFFFFFFFFE)
 
-
-def endings(text: str | None) -> np.ndarray:
-    """The endings of a text's words as numbers."""
-    if len(_ENDINGS) > CACHE_MOST:
-        _ENDINGS.clear()
-    get, out = _ENDINGS.get, []
-    for w in (text or "").encode("utf-8", "surrogatepass").lower().split():
-        e = get(w)
-        if e is None:
-            e = _ENDINGS[w] = int.from_bytes(w[-ENDING:], "big")
-        out.append(e)
-    return np.array(out, dtype=_U)
-
-
-def ending_keys(e: np.ndarray) -> np.ndarray:
-    return scramble(e + _U(1 << 40))
+def grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each value, first position and size of each group) of whole numbers from 0."""
+    n = len(values)
+    if not n:
+        return values, values, values
+    bits = n.bit_length()
+    if int(values.max()).bit_length() + bits <= 63:  # values and places as one number: sorting is much faster than argsort
+        packed = np.sort((values << bits) | np.arange(n))
+        order, ranked = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(values, kind="stable")
+        ranked = values[order]
+    new = np.r_[True, ranked[1:] != ranked[:-1]]
+    at = np.flatnonzero(new)
+    group = np.empty(n, dtype=np.int64)
+    group[order] = np.cumsum(new) - 1
+    return group, order[at], np.diff(np.r_[at, n])
 
 
 class Grams:
-    """Words, their endings and pairs of a chunk's texts, and how often they occur in each text and in all."""
+    """Words, their endings and pairs of a chunk's texts, as places among their keys. Texts in the same order give the same places."""
 
     def __init__(self, texts: list[str | None]):
-        hashed = [word_hashes(t) for t in texts]
-        self.n = np.array([len(h) for h in hashed], dtype=np.int64)
-        none = np.zeros(0, dtype=_U)
-        flat = np.concatenate([none, *hashed])
+        split = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        self.n = np.array([len(w) for w in split], dtype=np.int64)
+        total, numbers, ending_numbers = int(self.n.sum()), Numbers(), Numbers()
+        self.word = np.fromiter(map(numbers.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=total)
+        del split
+        hashes = np.array([xxhash.xxh64_intdigest(w) for w in numbers] + [_START], dtype=_U)
+        ending = np.array([ending_numbers[w[-ENDING:]] for w in numbers], dtype=np.int64)
+        v = len(numbers)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
-        pairs = np.concatenate([none, *(pair_keys(h) for h in hashed if len(h))])
-        last = ending_keys(np.concatenate([none, *(endings(t) for t in texts)]))
-        self.keys, at = np.unique(np.concatenate([word_keys(_START), word_keys(flat), pairs, last]), return_inverse=True)
-        start, (self.word, self.pair, self.ending) = at[0], np.split(at[1:], 3)
-        first = np.cumsum(self.n) - self.n
-        self.before = np.r_[start, self.word[:-1]][: len(flat)]
-        self.before[first[self.n > 0]] = start
-        self.start = start
+        self.before = np.r_[v, self.word[:-1]][:total]
+        self.before[(np.cumsum(self.n) - self.n)[self.n > 0]] = v
+        pair, first, _ = grouped(self.before * (v + 1) + self.word)
+        pair_keys = scramble(scramble(hashes[self.before[first]]) + hashes[self.word[first]] * _U(0x9E3779B97F4A7C15))
+        names = np.array([int.from_bytes(e, "big") + (len(e) << 40) for e in ending_numbers], dtype=_U)
+        # Keys of the words, the start, the endings and the pairs; the least bits tell kinds apart.
+        kinds = (scramble(hashes), 1), (scramble(names), 3), (pair_keys, 0)
+        self.keys = np.concatenate([(k & _U(0xFFFFFFFFFFFFFFFC)) | _U(kind) for k, kind in kinds])
+        self.start, self.ending, self.pair = v, v + 1 + ending[self.word], v + 1 + len(names) + pair
 
     def own(self, which: np.ndarray) -> np.ndarray:
         """How often each position's key is in its own text."""
-        _, at, n = np.unique(self.doc * len(self.keys) + which, return_inverse=True, return_counts=True)
-        return n[at]
+        group, _, n = grouped(self.doc * len(self.keys) + which)
+        return n[group]
 
     def counts(self, weight: np.ndarray) -> np.ndarray:
         """How often each key occurs, a text counting ``weight`` times; the start occurs once a text that has words."""
-        out = sum(np.bincount(x, weight[self.doc], len(self.keys)) for x in (self.word, self.pair, self.ending))
+        each = weight[self.doc].astype(np.float64)
+        out = sum(np.bincount(x, each, len(self.keys)) for x in (self.word, self.pair, self.ending))
         out[self.start] += weight[self.n > 0].sum()
         return out.astype(np.int64)
 
-    def losses(self, counts: np.ndarray, total: int, mine: np.ndarray) -> np.ndarray:
+    def own_counts(self) -> list[np.ndarray]:
+        """Each position's word, pair and ending counts in its own text."""
+        return [self.own(x) for x in (self.word, self.pair, self.ending)] if len(self.doc) else [self.word] * 3
+
+    def losses(self, counts: np.ndarray, total: int, own: list[np.ndarray], mine: np.ndarray) -> np.ndarray:
         """Bits of each token by counts of the whole corpus, without its text's own ones where ``mine``."""
         if not len(self.doc):
             return np.zeros(0)
         out_of = mine[self.doc].astype(np.int64)
-        own_word = self.own(self.word) * out_of
-        n_word = counts[self.word] - own_word
-        n_pair = counts[self.pair] - self.own(self.pair) * out_of
-        n_ending = counts[self.ending] - self.own(self.ending) * out_of
-        # The word before is the position before, or the start, which a text has once.
-        is_first = self.before == self.start
-        own_before = np.where(is_first, out_of, np.r_[0, own_word[:-1]])
+        n_word, n_pair, n_ending = (counts[x] - n * out_of for x, n in zip((self.word, self.pair, self.ending), own, strict=True))
+        # The word before is that of the position before, or the start, which a text has once.
+        own_before = np.where(self.before == self.start, 1, np.r_[0, own[0][:-1]]) * out_of
         n_before = counts[self.before] - own_before
         others = total - self.n[self.doc] * out_of
         known = lambda n, law: np.where(others > 0, (1 - UNIFORM) * n / np.maximum(others, 1) + UNIFORM * law, law)
@@ -129,66 +134,103 @@ class Grams:
         return -np.log2(np.where(n_before > 0, PAIR * n_pair / np.maximum(n_before, 1) + (1 - PAIR) * share, share))
 
 
-def parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    return ((keys >> _U(32)) % _U(parts)).astype(np.int64)
+def pack(n: np.ndarray) -> bytes:
+    """Counts as a byte each, those from 255 up as eight more at the end."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def unpack(data: bytes, n: int) -> np.ndarray:
+    out = np.frombuffer(data, dtype=np.uint8, count=n).astype(np.int64)
+    out[out == 255] = np.frombuffer(data, dtype="<i8", offset=n)
+    return out
+
+
+KEY_BYTES = 7
+
+
+def pack_keys(keys: np.ndarray) -> bytes:
+    """The lower seven bytes of keys; most of the upper one is in the part."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // KEY_BYTES, 8), dtype=np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(data, dtype=np.uint8).reshape(-1, KEY_BYTES)
+    return wide.reshape(-1).view("<u8")
+
+
+def dealt_keys(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of keys by part, the parts that have any, where each ends)."""
+    part = ((keys >> _U(32)) % _U(parts)).astype(np.int64)
+    bits = len(keys).bit_length()
+    packed = np.sort((part << bits) | np.arange(len(keys)))
+    order, ranked = packed & ((1 << bits) - 1), packed >> bits
+    ends = np.flatnonzero(np.r_[ranked[1:] != ranked[:-1], True]) + 1
+    return order, ranked[ends - 1], ends
+
+
+def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A chunk's rows such that its texts always come in the same order."""
+    texts = pdf["text"].fillna("")
+    return pdf.assign(text=texts).sort_values(["text_hash", "text"], kind="stable", ignore_index=True)
 
 
 def count_chunk(parts: int):
     """A chunk's distinct keys with counts, a row for each part."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = in_order(pdf)
         grams = Grams(list(pdf["text"]))
         copies = pdf["copies"].to_numpy(dtype=np.int64)
-        background, target = grams.counts(copies), grams.counts(copies * pdf["is_target"].to_numpy(dtype=bool))
-        part = parts_of(grams.keys, parts)
-        order = np.argsort(part, kind="stable")
-        ends = np.searchsorted(part[order], np.arange(parts), side="right")
+        counts = [grams.counts(copies), grams.counts(copies * pdf["is_target"].to_numpy(dtype=bool))]
+        order, named, ends = dealt_keys(grams.keys, parts)
         chunk, rows = int(pdf["chunk"].iloc[0]), []
-        for p in np.unique(part).tolist():
-            own = order[ends[p - 1] if p else 0 : ends[p]]
-            rows.append((p, chunk, *(x[own].tobytes() for x in (grams.keys, background, target))))
+        for p, a, z in zip(named.tolist(), np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+            own = order[a:z]
+            rows.append((p, chunk, pack_keys(grams.keys[own]), *(pack(x[own]) for x in counts)))
         return pd.DataFrame(rows, columns=["part", "chunk", "keys", "background", "target"])
 
     return run
 
 
 def add_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk of a part, the sums of all chunks for its keys."""
-    join = lambda c, kind: np.concatenate([np.frombuffer(x, dtype=kind) for x in pdf[c]])
-    _, at = np.unique(join("keys", _U), return_inverse=True)
-    ends = np.cumsum([len(x) // 8 for x in pdf["keys"]])[:-1]
+    """For each chunk of a part, what all other chunks count for its keys."""
+    sizes = [len(x) // KEY_BYTES for x in pdf["keys"]]
+    _, at = np.unique(np.concatenate([unpack_keys(x) for x in pdf["keys"]]), return_inverse=True)
     out = {"part": pdf["part"], "chunk": pdf["chunk"], "keys": None}
     for c in ("background", "target"):
-        sums = np.bincount(at, join(c, np.int64)).astype(np.int64)[at]
-        out[c] = [x.tobytes() for x in np.split(sums, ends)]
+        own = np.concatenate([unpack(x, n) for x, n in zip(pdf[c], sizes, strict=True)])
+        more = np.bincount(at, own).astype(np.int64)[at] - own
+        out[c] = [pack(x) for x in np.split(more, np.cumsum(sizes)[:-1])]
     return pd.DataFrame(out)
 
 
 def score_chunk(parts: int, totals: tuple[int, int], with_tokens: bool):
-    """Scores of a chunk's documents by the sums that came back."""
+    """Scores of a chunk's documents by their own counts and the others' that came back."""
 
     def run(pdf: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=columns).astype({"copies": "int64"})
+        pdf = in_order(pdf)
         grams = Grams(list(pdf["text"]))
-        order = np.argsort(parts_of(grams.keys, parts), kind="stable")
+        copies, is_target = pdf["copies"].to_numpy(dtype=np.int64), pdf["is_target"].to_numpy(dtype=bool)
+        order, _, ends = dealt_keys(grams.keys, parts)
+        sizes = np.diff(np.r_[0, ends]).tolist()
         sums = sums.sort_values("part")
-        own = {"background": np.ones(len(pdf), dtype=bool), "target": pdf["is_target"].to_numpy(dtype=bool)}
-        out = pdf[["key", "copies"]].assign(n_tokens=grams.n)
-        each = {}
-        for (name, mine), total in zip(own.items(), totals, strict=True):
-            counts = np.zeros(len(grams.keys), dtype=np.int64)
-            if len(sums):
-                counts[order] = np.frombuffer(b"".join(sums[name]), dtype=np.int64)
-            each[name] = grams.losses(counts, total, mine)
+        own, out, each = grams.own_counts(), pdf[["key", "copies"]].assign(n_tokens=grams.n), {}
+        for name, mine, total in (("background", np.ones(len(pdf), dtype=bool), totals[0]), ("target", is_target, totals[1])):
+            counts = grams.counts(copies * mine)
+            counts[order] += np.concatenate([unpack(x, n) for x, n in zip(sums[name], sizes, strict=True)])
+            each[name] = grams.losses(counts, total, own, mine)
             mean = np.bincount(grams.doc, each[name], len(pdf)) / np.maximum(grams.n, 1)
             out[f"loss_{name}"] = np.where(grams.n > 0, mean, np.nan)
-        columns = ["key", "copies", "n_tokens", "loss_target", "loss_background"]
         if with_tokens:
-            ends = np.cumsum(grams.n)[:-1]
-            pairs = zip(*(np.split(each[c], ends) for c in ("target", "background")), strict=True)
+            cuts = np.cumsum(grams.n)[:-1]
+            pairs = zip(*(np.split(each[c], cuts) for c in ("target", "background")), strict=True)
             out["token_losses"] = [[{"target": a, "background": b} for a, b in zip(x.tolist(), y.tolist(), strict=True)] for x, y in pairs]
-            columns.append("token_losses")
         return out[columns]
 
+    columns = ["key", "copies", "n_tokens", "loss_target", "loss_background"] + ["token_losses"] * with_tokens
     return run
 
 
@@ -212,7 +254,7 @@ def score(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str = "
     size = sums["size"] or 0
     chunks, parts = max(1, math.ceil(size / CHUNK)), max(1, math.ceil(size / max(PART, math.sqrt(size * 512.0))))
     chunk = F.pmod(F.xxhash64("key", "text_hash"), F.lit(chunks))
-    dealt = marked.select("key", "text", "copies", "is_target", chunk.alias("chunk")).groupBy("chunk")
+    dealt = marked.select("key", "text_hash", "text", "copies", "is_target", chunk.alias("chunk")).groupBy("chunk")
     added = dealt.applyInPandas(count_chunk(parts), DEALT).groupBy("part").applyInPandas(add_part, DEALT)
     key_type = rows.schema["key"].dataType.simpleString()
     schema = f"key {key_type}, copies long, {SCORED}" + (f", {TOKENS}" if with_tokens else "")
