@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from collatrix.session import materialize
+
 
 def shares(df: DataFrame, group: str, kind: str) -> DataFrame:
     """(group, kind, n, share) of kinds in groups."""
@@ -32,38 +36,72 @@ def cooccurrence(incidence: DataFrame) -> DataFrame:
     return x.join(y, "item").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
+#: Sets of up to so many groups are found by three common groups, or by two; larger ones by one.
+THREE_MOST, TWO_MOST = 16, 64
+
+
+def _keys(level: int, slack: Column) -> Column:
+    """The first ``level`` groups that a set can have in common with a similar one: those with no more than ``slack`` skipped before the last.
+
+    Needs the columns ``set`` and ``cum``, the weight before each place.
+    """
+    places = F.sequence(F.lit(0), F.size("set") - 1)
+    weight = lambda i: -F.get("set", i)["w"]
+    group = lambda i: F.get("set", i)["grp"]
+    fits = lambda last, *first: F.get("cum", last) - sum((weight(i) for i in first), F.lit(0.0)) <= slack
+    if level == 1:
+        return F.transform(F.filter(places, lambda i: fits(i)), lambda i: F.array(group(i)))
+    if level == 2:
+        after = lambda i: F.transform(F.filter(places, lambda j: (j > i) & fits(j, i)), lambda j: F.array(group(i), group(j)))
+        return F.flatten(F.transform(F.filter(places, lambda i: fits(i)), after))
+
+    def pairs(i: Column) -> Column:
+        third = lambda j: F.transform(F.filter(places, lambda k: (k > j) & fits(k, i, j)), lambda k: F.array(group(i), group(j), group(k)))
+        return F.flatten(F.transform(F.filter(places, lambda j: (j > i) & fits(j, i)), third))
+
+    return F.flatten(F.transform(F.filter(places, lambda i: fits(i)), pairs))
+
+
 def weighted_jaccard(incidence: DataFrame, weights: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(classes, links) of items by the weighted Jaccard similarity of their group sets.
 
     ``classes`` is (item, class_id): items with the same set are a class, named by the
     least item. ``links`` is (a, b, similarity) with a < b, between classes, of ``least`` or more.
 
-    Sets that are so similar share a group among the heaviest ones that make up all but ``least`` of
-    either's weight (a group's place is the same in all sets), so only these are
-    joined; weights and what can still be common from the match on rule most pairs out before sets are compared.
+    What a set does not share with one so similar weighs at most 1 - ``least`` of it, so the first
+    common groups (heaviest first, alike in all sets) are among few combinations of it. A set's level is how many
+    groups it has in common with a similar one at least, up to three; two sets meet at the lower of their
+    levels, on as many groups and a class of total weight, and are judged where these are the first they share.
     """
     weighed = incidence.join(weights.select("grp", "weight"), "grp")
     sets = weighed.groupBy("item").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("w"), "grp"))).alias("set"))
     named = sets.groupBy("set").agg(F.min("item").alias("class_id"))
     classes = sets.join(named, "set").select("item", "class_id")
-    total = -F.aggregate("set", F.lit(0.0), lambda s, x: s + x["w"])
-    rest = F.aggregate(F.slice("set", F.col("i") + 2, F.size("set")), F.lit(0.0), lambda s, x: s - x["w"])
-    opened = named.withColumn("total", total).select("class_id", "set", "total", F.posexplode("set").alias("i", "x"))
-    opened = opened.select("class_id", "set", "total", F.col("x.grp").alias("grp"), (-F.col("x.w")).alias("w"), rest.alias("rest"))
-    # Kept while what stands from this group on still weighs enough.
-    heads = opened.where(F.col("rest") + F.col("w") >= F.lit(least) * F.col("total") - 1e-9)
-    x, y = (heads.select("grp", "w", *[F.col(c).alias(f"{c}_{t}") for c in ("class_id", "set", "total", "rest")]) for t in "ab")
-    pairs = x.join(y.drop("w"), "grp").where("class_id_a < class_id_b")
+    until = lambda i: -F.aggregate(F.slice("set", F.lit(1), i), F.lit(0.0), lambda s, x: s + x["w"])
+    total = F.element_at("cum", -1)
+    n = F.size("set")
+    summed = named.withColumn("cum", F.transform(F.sequence(F.lit(0), n), until)).withColumn("total", total)
+    least_common = F.size(F.filter("cum", lambda c: c < F.lit(least) * F.col("total") - 1e-9))
+    level = F.greatest(F.least(least_common, F.when(n <= THREE_MOST, 3).when(n <= TWO_MOST, 2).otherwise(1)), F.lit(1))
+    # Totals of similar sets are in the same class or in neighbouring ones.
+    size_class = F.floor(F.log(F.col("total")) / F.lit(1e-6 - math.log(least))).cast("int")
+    leveled = materialize(summed.select("class_id", "set", "cum", "total", level.alias("own_level"), size_class.alias("size")), "sets")
+    slack = F.lit(1 - least) * F.col("total") + 1e-9
+    opened = None
+    for k in (1, 2, 3):
+        rows = leveled.where(F.col("own_level") >= k).select("class_id", "set", "total", "own_level", "size", F.lit(k).alias("level"), F.explode(_keys(k, slack)).alias("key"))
+        opened = rows if opened is None else opened.unionByName(rows)
+    x = opened.where("own_level = level").select("level", "key", "size", *[F.col(c).alias(f"{c}_a") for c in ("class_id", "set", "total")])
+    near = F.explode(F.array(*[F.col("size") + d for d in (-1, 0, 1)])).alias("size")
+    y = opened.select("level", "key", near, (F.col("own_level") == F.col("level")).alias("both_own"), *[F.col(c).alias(f"{c}_b") for c in ("class_id", "set", "total")])
+    pairs = x.join(y, ["level", "key", "size"]).where("class_id_a <> class_id_b AND (NOT both_own OR class_id_a < class_id_b)")
     both = F.col("total_a") + F.col("total_b")
-    enough = F.lit(least / (1 + least)) * both - 1e-9
-    pairs = pairs.where((F.least("total_a", "total_b") >= F.lit(least) * F.greatest("total_a", "total_b") - 1e-9))
-    # Judged at the first group that both have: the sets are sorted alike.
+    pairs = pairs.where(F.least("total_a", "total_b") >= F.lit(least) * F.greatest("total_a", "total_b") - 1e-9)
     shared = F.array_intersect("set_a", "set_b")
-    pairs = pairs.withColumn("shared", shared).where(F.col("shared")[0]["grp"] == F.col("grp"))
+    pairs = pairs.withColumn("shared", shared).where(F.transform(F.slice("shared", F.lit(1), F.col("level")), lambda z: z["grp"]) == F.col("key"))
     common = -F.aggregate("shared", F.lit(0.0), lambda s, z: s + z["w"])
-    judged = pairs.select("class_id_a", "class_id_b", common.alias("common"), both.alias("both"), enough.alias("enough")).where("common >= enough")
-    similarity = F.col("common") / (F.col("both") - F.col("common"))
-    links = judged.select(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    judged = pairs.select(F.least("class_id_a", "class_id_b").alias("a"), F.greatest("class_id_a", "class_id_b").alias("b"), common.alias("common"), both.alias("both"))
+    links = judged.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
     return classes, links
 
 

@@ -203,3 +203,36 @@ def test_global_order_equals_sorting(spark):
         total += n
         assert got[i] == (place, total)
     assert ranking.in_order(df.limit(0), ["id"], {"total": "n"}, "place").count() == 0
+
+
+@pytest.mark.parametrize(("least", "caps"), [(0.5, (16, 64)), (0.8, (16, 64)), (0.8, (4, 10))])
+def test_weighted_jaccard_links_equal_all_pairs(spark, monkeypatch, least, caps):
+    """Sets of 1 to 33 groups with even and uneven weights, at each of the levels."""
+    monkeypatch.setattr(groupstats, "THREE_MOST", caps[0])
+    monkeypatch.setattr(groupstats, "TWO_MOST", caps[1])
+    rng = random.Random(7)
+    weight = {g: rng.choice([0.5, 1.0, 2.0, rng.uniform(0.1, 6)]) for g in range(40)}
+    base = [rng.sample(range(40), rng.choice([1, 2, 3, 5, 8, 15, 20, 30])) for _ in range(12)]
+    items = {}
+    for i in range(120):
+        own = set(rng.choice(base))
+        for _ in range(rng.randint(0, 3)):
+            if rng.random() < 0.5 and len(own) > 1:
+                own.discard(rng.choice(sorted(own)))
+            else:
+                own.add(rng.randrange(40))
+        items[i] = frozenset(own)
+    incidence = spark.createDataFrame([(i, g) for i, own in items.items() for g in own], "item int, grp int")
+    classes, links = groupstats.weighted_jaccard(incidence, spark.createDataFrame(list(weight.items()), "grp int, weight double"), least)
+    first = {}
+    for i, own in items.items():
+        first.setdefault(own, i)
+    assert {r["item"]: r["class_id"] for r in classes.collect()} == {i: first[own] for i, own in items.items()}
+    want = {}
+    for (a, i), (b, j) in itertools.combinations(sorted(first.items(), key=lambda x: x[1]), 2):
+        share = sum(weight[g] for g in a & b) / sum(weight[g] for g in a | b)
+        if share >= least - 1e-9:
+            want[i, j] = share
+    got = {(r["a"], r["b"]): r["similarity"] for r in links.collect()}
+    assert links.count() == len(got)
+    assert got == pytest.approx(want)
