@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,38 +43,82 @@ def rates(c: DataFrame) -> DataFrame:
     return c.select("threshold", "tp", "taken", "positives", tpr.alias("tpr"), fpr.alias("fpr"), (F.col("tp") / F.col("taken")).alias("precision"), ((tpr + 1 - fpr) / 2).alias("balanced"))
 
 
-def resampled_auc(scores: np.ndarray, target: np.ndarray, draws: np.ndarray) -> np.ndarray:
-    """Areas under the curve of resamples; each draw seeds its own, positives and negatives apart."""
-    pos, neg = np.flatnonzero(target == 1), np.flatnonzero(target == 0)
-    out = np.empty((len(draws), scores.shape[1]))
-    for i, draw in enumerate(draws):
-        rng = np.random.default_rng(int(draw))
-        a, b = rng.choice(pos, len(pos)), rng.choice(neg, len(neg))
-        for c in range(scores.shape[1]):
-            low = np.sort(scores[b, c])
-            out[i, c] = (np.searchsorted(low, scores[a, c], "left") + np.searchsorted(low, scores[a, c], "right")).sum() / (2 * len(a) * len(b))
-    return out
+def draw_weights(hashes: np.ndarray, draws: int, seed: int) -> np.ndarray:
+    """How often each draw takes each row: Poisson numbers with mean 1, from a hash of the row and the draw, rows by draws."""
+    x = hashes.astype(np.uint64)[:, None] + (np.arange(draws, dtype=np.uint64) + np.uint64(seed * 1_000_003 + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    share = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53
+    law = np.cumsum([math.exp(-1.0) / math.factorial(k) for k in range(20)])
+    return np.searchsorted(law, share.reshape(-1), side="right").reshape(share.shape).astype(np.float64)
 
 
-def bootstrap_auc(df: DataFrame, scores: list[str], target: str, key: str, draws: int = 1000, seed: int = 0, most: int = 1_000_000) -> DataFrame:
-    """(draw, model, auc): the same stratified resamples for all models, spread over tasks by draw.
-
-    The predictions are broadcast; more than ``most`` of them are refused.
-    """
-    spark = df.sparkSession
-    rows = df.select(*scores, target, key).orderBy(key).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} predictions to resample")
-    shared = spark.sparkContext.broadcast((rows[scores].to_numpy(dtype=float), rows[target].to_numpy()))
+def range_sums(draws: int, seed: int):
+    """Per model of a range of scores, in order: resampled positives, negatives and pairs that are won, an array over draws each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, y = shared.value
+        done: dict[str, list[np.ndarray]] = {}
+        open_model, open_score, pending = None, None, np.zeros((2, draws))
+
+        def close() -> None:
+            if open_model is not None:
+                p, n, wins = done.setdefault(open_model, [np.zeros(draws) for _ in range(3)])
+                wins += pending[0] * (n + pending[1] / 2)
+                p += pending[0]
+                n += pending[1]
+
+        part = 0
         for batch in batches:
-            ids = batch["id"].to_numpy()
-            found = resampled_auc(x, y, ids + seed)
-            yield pd.DataFrame({"draw": np.repeat(ids, len(scores)), "model": scores * len(ids), "auc": found.reshape(-1)})
+            for at in range(0, len(batch), 512):
+                rows = batch.iloc[at : at + 512]
+                part = int(rows["part"].iloc[0])
+                w = draw_weights(rows["h"].to_numpy(), draws, seed)
+                positive = rows["target"].to_numpy() == 1
+                new = np.r_[True, (rows["model"].to_numpy()[1:] != rows["model"].to_numpy()[:-1]) | (rows["score"].to_numpy()[1:] != rows["score"].to_numpy()[:-1])]
+                starts = np.flatnonzero(new)
+                sums = [np.add.reduceat(w * side[:, None], starts, axis=0) for side in (positive, ~positive)]
+                for k, start in enumerate(starts):
+                    model, score = rows["model"].iloc[start], rows["score"].iloc[start]
+                    if (model, score) != (open_model, open_score):
+                        close()
+                        open_model, open_score, pending = model, score, np.zeros((2, draws))
+                    pending[0] += sums[0][k]
+                    pending[1] += sums[1][k]
+        close()
+        yield pd.DataFrame([(part, m, p, n, wins) for m, (p, n, wins) in done.items()], columns=["part", "model", "p", "n", "wins"])
+
+    return run
+
+
+def bootstrap_auc(df: DataFrame, scores: list[str], target: str, key: str, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """(draw, model, auc): resamples of positives and negatives, the same for all models.
+
+    A row counts in a draw as often as a Poisson number from a hash of its key says. Rows are dealt by ranges of
+    the score; a range gives sums per draw, and only these, an array per range and model, are put together.
+    """
+
+    def add_up(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        p, n, wins = (np.stack(pdf[c].to_numpy()) for c in ("p", "n", "wins"))
+        below = np.cumsum(n, axis=0) - n
+        pairs = p.sum(axis=0) * n.sum(axis=0)
+        won = (wins + p * below).sum(axis=0)
+        out = np.divide(won, pairs, out=np.full(draws, np.nan), where=pairs > 0)
+        return pd.DataFrame({"draw": np.arange(draws), "model": pdf["model"].iloc[0], "auc": out})
+
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("model"), F.col(c).cast("double").alias("score")) for c in scores])).alias("x")
+    long = df.select(F.xxhash64(key).alias("h"), F.col(target).alias("target"), pairs).select("h", "target", "x.model", "x.score")
+    ranged = long.where("score IS NOT NULL AND target IS NOT NULL").repartitionByRange("model", "score").sortWithinPartitions("model", "score").withColumn("part", F.spark_partition_id())
+    sums = ranged.mapInPandas(range_sums(draws, seed), "part int, model string, p array<double>, n array<double>, wins array<double>")
+    return sums.groupBy("model").applyInPandas(add_up, "draw long, model string, auc double")
+
 
-    return spark.range(0, draws, 1, 16).mapInPandas(run, "draw long, model string, auc double")
+def paired_delta(draws: DataFrame, better: str, worse: str) -> DataFrame:
+    """One row (model, mean, low, high, above): the difference of two models' areas over the same draws, its central 95 %, and the share of draws above 0."""
+    wide = draws.groupBy("draw").pivot("model", [better, worse]).agg(F.first("auc"))
+    delta = wide.select(F.lit(f"{better} - {worse}").alias("model"), (F.col(f"`{better}`") - F.col(f"`{worse}`")).alias("auc"))
+    above = delta.groupBy("model").agg(F.avg((F.col("auc") > 0).cast("double")).alias("above"))
+    return interval(delta, "auc", ["model"]).join(above, "model")
 
 
 def interval(df: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -117,6 +162,7 @@ def ridge_from(parts: tuple, alpha: float) -> np.ndarray:
     return np.vstack([w, sy / n - (sx / n) @ w])
 
 
-def found_at(score: str, key: str, target: str, k: int) -> Column:
-    """A row's place by score among the first ``k``; an expression over one window."""
-    return F.row_number().over(W.orderBy(F.desc(score), key)) <= k
+def found_at(df: DataFrame, score: str, key: str, k: int) -> DataFrame:
+    """The first ``k`` rows by score, with their place as ``rank``; ``k`` is what a report shows, so the window is over that many rows."""
+    top = df.orderBy(F.desc(score), key).limit(k)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), key)))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from collatrix.operators.ranking import in_order
 from collatrix.session import materialize
 
 MAX_ROUNDS = 60
@@ -119,64 +120,148 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return parts.agg(F.sum(F.coalesce("w", F.lit(0.0)) / F.col("m") - F.lit(resolution) * (F.col("d") / (2 * F.col("m"))) ** 2).alias("quality"), F.count("*").alias("communities"))
 
 
-def _local_moving(pdf: pd.DataFrame, resolution: float, seed: int) -> np.ndarray:
-    """Communities of one component: nodes move to the neighbouring community that gains most, then communities merge alike."""
+class _Level:
+    """A graph whose nodes stand for groups of nodes of the graph below: neighbours with weights, and degrees, inner edges included."""
+
+    def __init__(self, near: list[dict[int, float]], degree: np.ndarray, total: float):
+        self.near, self.degree, self.total = near, degree, total
+
+    @classmethod
+    def of(cls, a: np.ndarray, b: np.ndarray, weight: np.ndarray, n: int, total: float) -> _Level:
+        near: list[dict[int, float]] = [{} for _ in range(n)]
+        for x, y, w in zip(a.tolist(), b.tolist(), weight.tolist(), strict=True):
+            if x != y:
+                near[x][y] = near[x].get(y, 0.0) + w
+                near[y][x] = near[y].get(x, 0.0) + w
+        degree = np.bincount(a, weight, n) + np.bincount(b, weight, n)
+        return cls(near, degree, total)
+
+    def merged(self, group: np.ndarray) -> _Level:
+        n = int(group.max()) + 1
+        near: list[dict[int, float]] = [{} for _ in range(n)]
+        for v, own in enumerate(self.near):
+            x = int(group[v])
+            for u, w in own.items():
+                if (y := int(group[u])) != x:
+                    near[x][y] = near[x].get(y, 0.0) + w
+        return _Level(near, np.bincount(group, self.degree, n), self.total)
+
+    def best(self, v: int, part: np.ndarray, mass: np.ndarray, resolution: float, allowed=None) -> tuple[int, float]:
+        """The neighbouring part that a node, taken out of its own, gains most by, and what it gains over staying alone; ties to its own, then to the least."""
+        gains: dict[int, float] = {}
+        for u, w in self.near[v].items():
+            if allowed is None or allowed(u):
+                gains[int(part[u])] = gains.get(int(part[u]), 0.0) + w
+        here = int(part[v])
+        value = lambda c: round(gains.get(c, 0.0) - resolution * self.degree[v] * mass[c] / self.total, 12)
+        choice = max(sorted({here, *gains}), key=lambda c: (value(c), c == here, -c))
+        return choice, value(choice)
+
+    def move(self, part: np.ndarray, resolution: float, rng) -> np.ndarray:
+        """Nodes move to the part that gains most, as long as any does."""
+        part = part.copy()
+        mass = np.bincount(part, self.degree, len(part))
+        queue = rng.permutation(len(part)).tolist()
+        waiting = set(queue)
+        while queue:
+            v = queue.pop()
+            waiting.discard(v)
+            here = int(part[v])
+            mass[here] -= self.degree[v]
+            to, _ = self.best(v, part, mass, resolution)
+            mass[to] += self.degree[v]
+            if to != here:
+                part[v] = to
+                again = [u for u in self.near[v] if part[u] != to and u not in waiting]
+                waiting.update(again)
+                queue = again + queue
+        return part
+
+    def refine(self, part: np.ndarray, resolution: float, rng) -> np.ndarray:
+        """Each part built anew from single nodes: a node that is still alone joins a neighbouring piece of its part if that gains."""
+        piece = np.arange(len(part))
+        mass = self.degree.astype(float).copy()
+        size = np.ones(len(part), dtype=int)
+        for v in rng.permutation(len(part)).tolist():
+            if size[piece[v]] == 1:
+                here = int(piece[v])
+                mass[here] -= self.degree[v]
+                to, gain = self.best(v, piece, mass, resolution, lambda u: part[u] == part[v])  # noqa: B023
+                to = to if gain > 0 else here
+                piece[v] = to
+                mass[to] += self.degree[v]
+                size[here] -= 1
+                size[to] += 1
+        return piece
+
+
+def _numbered(x: np.ndarray) -> np.ndarray:
+    return np.unique(x, return_inverse=True)[1]
+
+
+def _pieces(level: _Level, part: np.ndarray) -> np.ndarray:
+    """Parts cut into what hangs together."""
+    out = np.full(len(part), -1)
+    for start in range(len(part)):
+        if out[start] < 0:
+            out[start], todo = start, [start]
+            while todo:
+                v = todo.pop()
+                for u in level.near[v]:
+                    if out[u] < 0 and part[u] == part[v]:
+                        out[u] = start
+                        todo.append(u)
+    return _numbered(out)
+
+
+def _leiden(pdf: pd.DataFrame, resolution: float, seed: int, total: float) -> np.ndarray:
+    """(node, community) of one component: nodes move, communities are refined, and the refined pieces become the nodes of the next level.
+
+    Repeated from what came out until no single node moves any more. ``total`` is the sum of degrees of the whole graph.
+    """
     nodes, at = np.unique(np.r_[pdf["a"].to_numpy(), pdf["b"].to_numpy()], return_inverse=True)
     half = len(pdf)
-    links = [(int(x), int(y), float(w)) for x, y, w in zip(at[:half], at[half:], pdf["weight"], strict=True)]
-    total = 2 * sum(w for *_, w in links) or 1.0
-    label, names = np.arange(len(nodes)), np.arange(len(nodes))
-    while True:
-        n = int(label.max()) + 1
-        near: list[dict[int, float]] = [{} for _ in range(n)]
-        degree = np.zeros(n)
-        for x, y, w in links:
-            a, b = int(label[x]), int(label[y])
-            degree[a] += w
-            degree[b] += w
-            if a != b:
-                near[a][b] = near[a].get(b, 0.0) + w
-                near[b][a] = near[b].get(a, 0.0) + w
-        own, mass, moved = np.arange(n), degree.copy(), True
-        changed = False
-        order = np.random.default_rng(seed).permutation(n)
-        while moved:
-            moved = False
-            for v in order:
-                gains: dict[int, float] = {}
-                for u, w in near[v].items():
-                    gains[int(own[u])] = gains.get(int(own[u]), 0.0) + w
-                here = int(own[v])
-                mass[here] -= degree[v]
-                value = lambda c: gains.get(c, 0.0) - resolution * degree[v] * mass[c] / total  # noqa: E731, B023
-                best = max(sorted({here, *gains}), key=lambda c: (round(value(c), 12), c == here, -c))
-                mass[best] += degree[v]
-                if best != here:
-                    own[v], moved, changed = best, True, True
-        _, own = np.unique(own, return_inverse=True)
-        label = own[label]
-        if not changed:
-            break
-    del names
-    return np.stack([nodes, label], axis=1)
+    first = _Level.of(at[:half], at[half:], pdf["weight"].to_numpy(dtype=float), len(nodes), total)
+    rng = np.random.default_rng(seed)
+    out = np.arange(len(nodes))
+    for _ in range(MAX_ROUNDS):
+        level, stands_for, part = first, np.arange(len(nodes)), out
+        while True:
+            moved = level.move(part, resolution, rng)
+            if level is first and (moved == part).all() and len(nodes) > int(part.max()) + 1:
+                return np.stack([nodes, out], axis=1)
+            part = _numbered(moved)
+            piece = _numbered(level.refine(part, resolution, rng))
+            if int(part.max()) + 1 == len(part) or int(piece.max()) + 1 == len(piece):
+                break
+            home = np.empty(int(piece.max()) + 1, dtype=np.int64)
+            home[piece] = part
+            level, stands_for, part = level.merged(piece), piece[stands_for], home
+        out = _pieces(first, part[stands_for])
+    return np.stack([nodes, out], axis=1)
+
+
+def _degree_sum(edges: DataFrame) -> float:
+    return 2.0 * (edges.agg(F.sum("weight").alias("w")).first()["w"] or 0.0) or 1.0
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, seed: int = 11) -> DataFrame:
-    """(node, label) of communities by local moving of weighted modularity, one task per connected component.
+    """(node, label) of communities by local moving, refinement and merging for weighted modularity, one task per connected component.
 
-    Labels are numbered by size, then by least node. A component must fit in a task.
+    Every community is connected. Labels are numbered by size, then by least node. A component must fit in a task.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _local_moving(pdf, resolution, seed)
+        found = _leiden(pdf, resolution, seed, total)
         return pd.DataFrame({"node": found[:, 0], "root": int(pdf["root"].iloc[0]), "part": found[:, 1]})
 
     edges = edges.select("a", "b", "weight")
+    total = _degree_sum(edges)
     roots = connected_components(edges)
     named = edges.join(roots.select(F.col("node").alias("a"), "root"), "a")
     parts = named.groupBy("root").applyInPandas(run, "node long, root long, part long")
     size = parts.groupBy("root", "part").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    ranked = size.withColumn("label", F.row_number().over(W.orderBy(F.desc("n"), "first")) - 1)
+    ranked = in_order(size, [F.desc("n"), F.col("first")], rank="place").select("root", "part", (F.col("place") - 1).alias("label"))
     return parts.join(ranked, ["root", "part"]).select("node", "label")
 
 
@@ -207,11 +292,12 @@ def sensitivity(edges: DataFrame, resolutions: tuple[float, ...] = (0.5, 1.0, 2.
         out = []
         for r in resolutions:
             for s in seeds:
-                found = _local_moving(pdf, r, s)
+                found = _leiden(pdf, r, s, total)
                 out.append(pd.DataFrame({"resolution": r, "seed": s, "node": found[:, 0], "root": int(pdf["root"].iloc[0]), "part": found[:, 1]}))
         return pd.concat(out)
 
     edges = edges.select("a", "b", "weight")
+    total = _degree_sum(edges)
     named = edges.join(connected_components(edges).select(F.col("node").alias("a"), "root"), "a")
     parts = named.groupBy("root").applyInPandas(run, "resolution double, seed long, node long, root long, part long")
     size = parts.groupBy("resolution", "seed", "root", "part").agg(F.count("*").alias("n"), F.min("node").alias("first"))

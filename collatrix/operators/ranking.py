@@ -33,3 +33,10 @@ def in_order(df: DataFrame, order: Sequence[Column | str], running: Mapping[str,
         *[(F.sum(c).over(until) + F.col(f"_sum_{i}_before")).alias(name) for i, (name, c) in enumerate(running.items())],
     )
     return out.drop("_range", *[c for c in offsets.columns])
+
+
+def competition_rank(df: DataFrame, score: str, place: str = "place") -> DataFrame:
+    """(score, place) per distinct score: one more than the number of rows that score higher."""
+    counted = df.groupBy(score).agg(F.count("*").alias("_n"))
+    ordered = in_order(counted, [F.desc(score)], running={"_until": "_n"})
+    return ordered.select(score, (F.col("_until") - F.col("_n") + 1).alias(place))

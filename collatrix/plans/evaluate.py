@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from collatrix.operators.evaluate import auc, bootstrap_auc, cumulative, interval, normal_equations, rates, ridge_from
+from collatrix.operators.evaluate import auc, bootstrap_auc, cumulative, interval, normal_equations, paired_delta, rates, ridge_from
 from collatrix.operators.ranking import in_order
 from collatrix.plans.registry import query
 from collatrix.plans.vectors import items
@@ -103,8 +103,9 @@ def average_precision_brier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average precision, Brier score and accuracy."""
     preds = predictions(spark, sf_dir)
     r = rates(cumulative(preds, "score", "target"))
-    step = F.col("precision") * (F.col("tpr") - F.coalesce(F.lag("tpr").over(W.orderBy(F.desc("threshold"))), F.lit(0.0)))
-    ap = r.select(step.alias("part")).agg(F.round(F.sum("part"), 9).alias("average_precision"))
+    # What a threshold adds to the true positives is what scores that alone.
+    own = preds.groupBy(F.col("score").alias("threshold")).agg(F.sum("target").alias("own"))
+    ap = r.join(own, "threshold").select((F.col("precision") * F.col("own") / F.col("positives")).alias("part")).agg(F.round(F.sum("part"), 9).alias("average_precision"))
     right = ((F.col("score") >= 1500).cast("int") == F.col("target")).cast("double")
     rest = preds.agg(F.round(F.avg((F.least(F.lit(1.0), F.col("score") / 5000) - F.col("target")) ** 2), 9).alias("brier"), F.round(F.avg(right), 9).alias("accuracy"))
     return ap.crossJoin(rest)
@@ -175,11 +176,14 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("bootstrap_auc")
 def bootstrap_auc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Intervals of two scores' areas under the curve, from the same resamples, and of their difference."""
-    draws = bootstrap_auc(predictions(spark, sf_dir), ["score", "score_b"], "target", "doc_id", draws=500)
-    wide = draws.groupBy("draw").pivot("model", ["score", "score_b"]).agg(F.first("auc"))
-    delta = wide.select("draw", F.lit("score_b - score").alias("model"), (F.col("score_b") - F.col("score")).alias("auc"))
-    return interval(draws.unionByName(delta), "auc", ["model"])
+    """Intervals of two scores' areas under the curve, from the same resamples."""
+    return interval(bootstrap_auc(predictions(spark, sf_dir), ["score", "score_b"], "target", "doc_id", draws=500), "auc", ["model"])
+
+
+@query("paired_bootstrap_delta")
+def paired_bootstrap_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The difference between two scores' areas under the curve over the same resamples, with its interval and the share above 0."""
+    return paired_delta(bootstrap_auc(predictions(spark, sf_dir), ["score", "score_b"], "target", "doc_id", draws=500, seed=7), "score_b", "score")
 
 
 @query("view_mapping")

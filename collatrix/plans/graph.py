@@ -61,7 +61,7 @@ def community_edge_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select("low", "high", "edges", F.round("w", 6).alias("weight"), F.round(F.log(1 + F.col("w")), 6).alias("quotient"))
 
 
-MUTUAL_SQL = ranked_sql(K) + ", mutual AS (SELECT x.src AS a, x.dst AS b, x.rank AS rank_a, y.rank AS rank_b FROM ranked x JOIN ranked y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst)"
+MUTUAL_SQL = ranked_sql(K).replace(" ranked AS (", " ranked AS MATERIALIZED (") + ", mutual AS (SELECT x.src AS a, x.dst AS b, x.rank AS rank_a, y.rank AS rank_b FROM ranked x JOIN ranked y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst)"
 
 
 @query("mutual_edges", MUTUAL_SQL + " SELECT a, b, rank_a, rank_b, round(sqrt(rank_a * rank_b), 9) AS effective_rank FROM mutual")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from collatrix.functions.scalar import count_map, dot, steps
+from collatrix.operators.ranking import competition_rank
 from collatrix.operators import groupstats as G
 from collatrix.operators.graph import endpoints
 from collatrix.operators.ingest import best_per_group
@@ -252,4 +253,4 @@ def interest_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = F.greatest(F.lit(0.0), 100 * (part("members", 15.0) + part("parents", 10.0)) - 15 * (5 - F.col("contexts")) / F.lit(4.0))
     tier = F.when(F.col("members") >= 50, "broad").when(F.col("members") >= 20, "common").when(F.col("members") >= 5, "some").otherwise("rare")
     scored = s.select("family", F.round(score, 6).alias("score"), tier.alias("tier"))
-    return scored.withColumn("place", F.rank().over(W.orderBy(F.desc("score"))))
+    return scored.join(competition_rank(scored, "score"), "score").select("family", "score", "place", "tier")

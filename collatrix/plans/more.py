@@ -11,6 +11,7 @@ from collatrix.operators.coverage import greedy_plan
 from collatrix.operators.graph import sensitivity
 from collatrix.operators.groupstats import adjusted_rand, core_and_edge
 from collatrix.operators.models import group_features
+from collatrix.operators.ranking import competition_rank
 from collatrix.plans.coverage import INCIDENCE_SQL, order_incidence
 from collatrix.plans.graph import near_edges
 from collatrix.plans.groupstats import medoid_percentiles
@@ -155,4 +156,5 @@ def supplier_priority_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Competition ranks over all, and places in each nation, of its two best suppliers."""
     s = table(spark, sf_dir, "supplier")
     own = F.row_number().over(W.partitionBy("s_nationkey").orderBy(F.desc("s_acctbal"), "s_suppkey"))
-    return s.select("s_suppkey", F.rank().over(W.orderBy(F.desc("s_acctbal"))).alias("place"), own.alias("in_nation")).where("in_nation <= 2")
+    best = s.select("s_suppkey", "s_acctbal", own.alias("in_nation")).where("in_nation <= 2")
+    return best.join(competition_rank(s, "s_acctbal"), "s_acctbal").select("s_suppkey", "place", "in_nation")

@@ -91,4 +91,5 @@ def region_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def prompt_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of one, four and sixteen cells."""
-    return spark.createDataFrame(prompt_grid(), "level long, x0 double, y0 double, x1 double, y1 double")
+    levels = spark.createDataFrame([(1,), (2,), (4,)], "n int")
+    return levels.select(F.col("n").cast("long").alias("level"), F.inline(prompt_grid(F.col("n"))))

@@ -26,12 +26,14 @@ def local_session(cores: int = 8, app: str = "collatrix", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, a temporary one for a local session, as other machines could not read it."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if place:
         return place
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not (sc.master or "").startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"collatrix-{uuid.uuid4().hex}"))
     return sc._jsc.sc().getCheckpointDir().get()
 

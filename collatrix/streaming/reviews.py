@@ -49,11 +49,23 @@ def fold_sessions(events: DataFrame) -> DataFrame:
 
 
 def run_once(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run a stream over all that is there, then return its result table."""
+    """Run a stream over all that is there, then return its result table: the last batch in complete mode, else all batches.
+
+    Batches are written to the shared folder, a folder each, so that a batch that is run again replaces its own rows.
+    """
     spark = stream.sparkSession
-    place = f"{shared_dir(spark).rstrip('/')}/stream-{name}"
-    running = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{place}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    place = f"{shared_dir(spark).rstrip('/')}/stream-{name}-{uuid.uuid4().hex}"
+    last = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+        last.append(number)
+
+    running = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).start()
     running.awaitTermination()
     if running.exception():
         raise RuntimeError(str(running.exception()))
-    return spark.table(name)
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    folder = f"{place}/rows/batch={max(last)}" if mode == "complete" else f"{place}/rows/batch=*"
+    return spark.read.schema(stream.schema).parquet(folder)

@@ -51,4 +51,10 @@ def test_mask_area_and_boxes(spark):
     df = spark.createDataFrame([(geometry.encode_mask(mask),)], "m string")
     assert df.select(geometry.mask_area("m").alias("n")).first()["n"] == 6
     assert [one(spark, c) for c in geometry.centered_box(F.lit(90), F.lit(50), 32)] == [29, 9, 61, 41]
-    assert len(geometry.prompt_grid()) == 21
+    levels = spark.createDataFrame([(1,), (2,), (4,)], "n int")
+    cells = [tuple(r) for r in levels.select(F.inline(geometry.prompt_grid(F.col("n")))).collect()]
+    assert len(cells) == 21 and cells[0] == (0.0, 0.0, 1.0, 1.0)
+    assert cells[1] == (0.0, 0.0, 0.5625, 0.5625) and cells[-1] == (0.71875, 0.71875, 1.0, 1.0)
+    assert geometry.decode_mask(geometry.encode_mask(np.ones((2, 3))), 2, 3).all()
+    assert geometry.run_lengths(geometry.encode_mask(np.ones((2, 3)))).tolist() == [0, 6]
+    assert geometry.decode_mask(geometry.encode_mask(np.zeros((0, 4))), 0, 4).shape == (0, 4)

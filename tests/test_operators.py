@@ -236,3 +236,58 @@ def test_weighted_jaccard_links_equal_all_pairs(spark, monkeypatch, least, caps)
     got = {(r["a"], r["b"]): r["similarity"] for r in links.collect()}
     assert links.count() == len(got)
     assert got == pytest.approx(want)
+
+
+def test_bootstrap_equals_plain_resampling(spark):
+    rng = random.Random(3)
+    rows = [(i, float(rng.randint(0, 30)), float(rng.random()), rng.randint(0, 1)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, s double, t double, y int")
+    got = {(r["draw"], r["model"]): r["auc"] for r in evaluate.bootstrap_auc(df.repartition(5), ["s", "t"], "y", "k", draws=20, seed=4).collect()}
+    hashes = {r["k"]: r["h"] for r in df.select("k", F.xxhash64("k").alias("h")).collect()}
+    weights = evaluate.draw_weights(np.array([hashes[r[0]] for r in rows]), 20, 4)
+    y = np.array([r[3] for r in rows])
+    assert weights.mean() == pytest.approx(1, abs=0.05) and weights.var() == pytest.approx(1, abs=0.1)
+    for c, name in ((1, "s"), (2, "t")):
+        x = np.array([r[c] for r in rows])
+        wins = (x[y == 1][:, None] > x[y == 0][None, :]) + 0.5 * (x[y == 1][:, None] == x[y == 0][None, :])
+        for draw in range(20):
+            a, b = weights[y == 1, draw], weights[y == 0, draw]
+            assert got[draw, name] == pytest.approx(a @ wins @ b / (a.sum() * b.sum()))
+    delta = evaluate.paired_delta(evaluate.bootstrap_auc(df, ["s", "t"], "y", "k", draws=20, seed=4), "t", "s").first()
+    plain = np.array([got[d, "t"] - got[d, "s"] for d in range(20)])
+    assert (delta["mean"], delta["above"]) == (pytest.approx(plain.mean()), (plain > 0).mean())
+    assert delta["low"] <= delta["mean"] <= delta["high"]
+
+
+def plain_quality(edges, label, resolution):
+    total, inner, degree = sum(w for *_, w in edges), 0.0, {}
+    for a, b, w in edges:
+        inner += w * (label[a] == label[b])
+        for v in (a, b):
+            degree[label[v]] = degree.get(label[v], 0.0) + w
+    return inner / total - resolution * sum((d / (2 * total)) ** 2 for d in degree.values())
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_communities_are_connected_and_no_single_move_gains(spark, seed):
+    rng = random.Random(seed)
+    edges = {}
+    for _ in range(260):
+        a, b = rng.randrange(60), rng.randrange(60)
+        if a != b and (a % 5 == b % 5 or rng.random() < 0.15):
+            edges[min(a, b), max(a, b)] = rng.uniform(0.2, 1)
+    rows = [(a, b, w) for (a, b), w in edges.items()]
+    df = spark.createDataFrame(rows, "a long, b long, weight double")
+    for resolution in (0.5, 1.0):
+        labels = graph.communities(df, resolution, seed)
+        assert graph.disconnected_communities(df, labels).count() == 0
+        label = {r["node"]: r["label"] for r in labels.collect()}
+        best = plain_quality(rows, label, resolution)
+        assert best >= plain_quality(rows, {v: 0 for v in label}, resolution) - 1e-12
+        near = {}
+        for a, b, _ in rows:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        for v in label:
+            for to in {label[u] for u in near[v]}:
+                assert plain_quality(rows, label | {v: to}, resolution) <= best + 1e-9
