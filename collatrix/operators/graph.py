@@ -312,3 +312,20 @@ def disconnected_communities(edges: DataFrame, labels: DataFrame) -> DataFrame:
     inner = connected_components(named.where("la = lb").select("a", "b"))
     pieces = labels.join(inner, "node", "left").groupBy("label").agg(F.countDistinct(F.coalesce("root", "node")).alias("pieces"))
     return pieces.where("pieces > 1")
+
+
+def hash_groups(df: DataFrame, key: str, value: str, most: int = 5, bits: int = 64) -> DataFrame:
+    """(key, group): rows whose hashes, whole numbers, differ in ``most`` bits at most are linked, and the least key names what hangs together.
+
+    Of ``most`` + 1 pieces of two such hashes at least one is equal, so hashes meet by piece and are then compared. Rows of one hash meet as one.
+    """
+    rows = df.select(F.col(key).alias("node"), F.col(value).cast("long").alias("h"))
+    heads = materialize(rows.groupBy("h").agg(F.min("node").alias("head")), "hashes")
+    cuts = [round(i * bits / (most + 1)) for i in range(most + 2)]
+    pieces = [F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (z - a)) - 1)).alias("x")) for i, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    dealt = heads.select("head", "h", F.explode(F.array(*pieces)).alias("piece"))
+    a, b = (dealt.select("piece", F.col("head").alias(t), F.col("h").alias(f"h_{t}")) for t in "ab")
+    near = a.join(b, "piece").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b"))) <= most)).select("a", "b").distinct()
+    roots = connected_components(near).select(F.col("node").alias("head"), "root")
+    named = heads.join(roots, "head", "left").select("h", F.coalesce("root", "head").alias("group"))
+    return rows.join(named, "h").select(F.col("node").alias(key), "group")

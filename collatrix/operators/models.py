@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -11,7 +13,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from collatrix.operators.evaluate import ridge_from
+from collatrix.functions.scalar import dot
+from collatrix.operators.evaluate import draw_weights, normal_equations, ridge_from
+from collatrix.operators.ranking import in_order
 
 
 def group_features(supports: DataFrame) -> DataFrame:
@@ -89,26 +93,51 @@ def random_partner(df: DataFrame, key: str, group: str) -> DataFrame:
     return joined.select("key", F.coalesce("partner", other).alias("partner"))
 
 
-def permutation_null(x: np.ndarray, y: np.ndarray, test: np.ndarray, truth: np.ndarray, alpha: float, draws: int = 50, seed: int = 0) -> np.ndarray:
-    """Mean cosines of a ridge regression on held-out rows after shuffling the training targets."""
-    rng, out = np.random.default_rng(seed), []
-    for _ in range(draws):
-        own = y[rng.permutation(len(y))]
-        w = ridge_from((x.T @ x, x.T @ own, x.sum(axis=0), own.sum(axis=0), len(x)), alpha)
-        guess = test @ w[:-1] + w[-1]
-        length = np.maximum(np.linalg.norm(guess, axis=1) * np.linalg.norm(truth, axis=1), 1e-12)
-        out.append(float(((guess * truth).sum(axis=1) / length).mean()))
-    return np.array(out)
+def permuted(df: DataFrame, y: str, key: str, draw: int) -> DataFrame:
+    """``df`` with the values of ``y`` dealt anew over its rows, by the order of a hash of the key and the draw: no task holds all rows."""
+    numbered = in_order(df, [F.col(key)], rank="_to")
+    dealt = in_order(df.select(F.col(key).alias("_k"), F.col(y).alias("_y")), [F.xxhash64("_k", F.lit(draw)), F.col("_k")], rank="_to").drop("_k")
+    return numbered.drop(y).join(dealt.withColumnRenamed("_y", y), "_to").drop("_to")
+
+
+def mean_cosine(test: DataFrame, x: str, y: str, weights: np.ndarray) -> float:
+    """Mean cosine of a linear guess and the truth."""
+    w = weights[:-1]
+    columns = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in w.T])
+    guess = F.zip_with(F.transform(columns, lambda c: dot(F.col(x), c)), F.array(*[F.lit(float(v)) for v in weights[-1]]), lambda p, q: p + q)
+    length = F.greatest(F.sqrt(dot(guess, guess)) * F.sqrt(dot(F.col(y), F.col(y))), F.lit(1e-12))
+    return test.agg(F.avg(dot(guess, F.col(y)) / length).alias("c")).first()["c"]
 
 
-def bootstrap_mean(df: DataFrame, value: str, by: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """(by, mean, low, high): means and central 95 % of resampled means, a task per group."""
+def permutation_null(train: DataFrame, test: DataFrame, x: str, y: str, key: str, alpha: float, draws: int = 50, seed: int = 0) -> list[float]:
+    """Mean cosines of a ridge regression on held-out rows after shuffling the training targets, a draw each."""
+    return [mean_cosine(test, x, y, ridge_from(normal_equations(permuted(train, y, key, seed + draw), x, y), alpha)) for draw in range(draws)]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.sort(pdf[value].to_numpy(dtype=float))
-        rng = np.random.default_rng(seed)
-        means = np.array([v[rng.integers(0, len(v), len(v))].mean() for _ in range(draws)])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [v.mean()], "low": [np.quantile(means, 0.025)], "high": [np.quantile(means, 0.975)]})
 
+def bootstrap_mean(df: DataFrame, value: str, by: str, key: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(by, mean, low, high): means and the central 95 % of resampled means.
+
+    A row counts in a draw as often as a Poisson number from a hash of its key says; tasks send sums per group and draw.
+    """
     kind = df.schema[by].dataType.simpleString()
-    return df.select(by, value).groupBy(by).applyInPandas(run, f"`{by}` {kind}, mean double, low double, high double")
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                rows = batch.iloc[at : at + 512]
+                w = draw_weights(rows["h"].to_numpy(), draws, seed)
+                v = rows["v"].to_numpy(dtype=float)
+                for g, own in rows.reset_index(drop=True).groupby("g", dropna=False).indices.items():
+                    weighed = sums.setdefault(g, np.zeros((2, draws)))
+                    weighed += np.stack([v[own] @ w[own], w[own].sum(axis=0)])
+        yield pd.DataFrame([(g, x[0], x[1]) for g, x in sums.items()], columns=["g", "total", "weight"])
+
+    def close(pdf: pd.DataFrame) -> pd.DataFrame:
+        total, weight = (np.stack(pdf[c].to_numpy()).sum(axis=0) for c in ("total", "weight"))
+        means = total[weight > 0] / weight[weight > 0]
+        return pd.DataFrame({by: [pdf["g"].iloc[0]], "low": [np.quantile(means, 0.025)], "high": [np.quantile(means, 0.975)]})
+
+    rows = df.where(F.col(by).isNotNull() & F.col(value).isNotNull()).select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(key).alias("h"))
+    ends = rows.mapInPandas(add, f"g {kind}, total array<double>, weight array<double>").groupBy("g").applyInPandas(close, f"`{by}` {kind}, low double, high double")
+    return df.groupBy(by).agg(F.avg(F.col(value).cast("double")).alias("mean")).join(ends, by).select(by, "mean", "low", "high")

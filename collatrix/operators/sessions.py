@@ -80,5 +80,10 @@ class RevisionStore:
             raise KeyError(key)
         return found[0]
 
+    def listing(self) -> DataFrame:
+        """(key, revision, revisions, state) of all records, by key: the last revision, and how many there are."""
+        counted = self._all().groupBy("key").agg(F.count("*").alias("revisions"))
+        return self.latest().join(counted, "key").select("key", "revision", "revisions", "state").orderBy("key")
+
     def latest(self) -> DataFrame:
         return latest_revision(self._all(), "key", "revision").orderBy("key")

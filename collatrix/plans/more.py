@@ -16,20 +16,19 @@ from collatrix.plans.coverage import INCIDENCE_SQL, order_incidence
 from collatrix.plans.graph import near_edges
 from collatrix.plans.groupstats import medoid_percentiles
 from collatrix.plans.registry import query
-from collatrix.plans.vectors import ITEMS_SQL, items
 from collatrix.sources.tables import table
 
 
 @query(
     "set_operations",
-    """WITH a AS (SELECT user_id FROM events WHERE event_type = 'click' AND value > 95), b AS (SELECT user_id FROM events WHERE event_type = 'view' AND value > 95)
+    """WITH a AS (SELECT user_id FROM events WHERE event_type = 'click'), b AS (SELECT user_id FROM events WHERE event_type = 'view')
     SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'union all', count(*) FROM (SELECT * FROM a UNION ALL SELECT * FROM b)
     UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
     UNION ALL SELECT 'except all', count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)""",
 )
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of unions, intersections and differences of two sets of users."""
-    e = table(spark, sf_dir, "events").where("value > 95")
+    e = table(spark, sf_dir, "events")
     a, b = e.where("event_type = 'click'").select("user_id"), e.where("event_type = 'view'").select("user_id")
     sets = {"union": a.union(b).distinct(), "union all": a.unionAll(b), "intersect": a.intersect(b), "except": a.subtract(b), "except all": a.exceptAll(b)}
     counted = [x.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, x in sets.items()]
@@ -96,15 +95,6 @@ def feedback_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "feedback string, item long, gain double, groups_before long")
 
 
-@query(
-    "near_duplicate_scenes",
-    f"""WITH {ITEMS_SQL} SELECT parent AS scene, min(id) AS representative, count(*) AS members, count(DISTINCT family) AS families FROM items GROUP BY parent""",
-)
-def near_duplicate_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One representative per scene: the least id."""
-    return items(spark, sf_dir).groupBy(F.col("parent").alias("scene")).agg(F.min("id").alias("representative"), F.count("*").alias("members"), F.countDistinct("family").alias("families"))
-
-
 @query("review_sample")
 def review_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items to look at in each family: near the medoid, far from it, and some by a hash."""
@@ -125,13 +115,13 @@ def partition_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "community_pairs",
-    """SELECT a.c_mktsegment AS low, b.c_mktsegment AS high, count(*) AS n FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000) a
-    JOIN (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 9000) b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment <= b.c_mktsegment GROUP BY ALL""",
+    """SELECT a.c_mktsegment AS low, b.c_mktsegment AS high, count(*) AS n FROM (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) a
+    JOIN (SELECT DISTINCT c_nationkey, c_mktsegment FROM customer) b ON a.c_nationkey = b.c_nationkey AND a.c_mktsegment <= b.c_mktsegment GROUP BY ALL""",
 )
 def community_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many nations two segments have rich customers; a segment with itself counts too."""
-    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select("c_nationkey", "c_mktsegment").distinct()
-    a, b = rich.withColumnRenamed("c_mktsegment", "low"), rich.withColumnRenamed("c_mktsegment", "high")
+    """In how many nations two segments have customers; a segment with itself counts too."""
+    held = table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment").distinct()
+    a, b = held.withColumnRenamed("c_mktsegment", "low"), held.withColumnRenamed("c_mktsegment", "high")
     return a.join(b, "c_nationkey").where("low <= high").groupBy("low", "high").agg(F.count("*").alias("n"))
 
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from collatrix.plans import coverage, evaluate, graph, groupstats, ingest, more, regions, sessions, streams, vectors  # noqa: F401
+    from collatrix.plans import audits, checks, coverage, evaluate, files, graph, groupstats, ingest, models, more, regions, sessions, streams, vectors  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -50,6 +50,12 @@ def drop_materialized(spark: SparkSession) -> int:
     return n
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has; ``drop_materialized`` deletes it."""
+    _WRITTEN.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -57,7 +63,6 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     loses nothing: every executor can read the files.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)

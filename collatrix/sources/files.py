@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from collatrix.operators.contracts import ContractError, expect
+from collatrix.session import materialize
 
 MARK = "﻿"
 
@@ -84,5 +85,38 @@ def read_zip_manifest(spark: SparkSession, path: str, prefix: str = "") -> DataF
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "archive string, member string, bytes long, sha256 string")
 
 
+def read_zip_members(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """(member, content) of the members that ``manifest`` (member, sha256) names; one that is missing or has another digest fails."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for m in z.namelist():
+                        if not m.endswith("/"):
+                            yield pd.DataFrame({"member": [m], "content": [z.read(m)]})
+
+    held = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "member string, content binary")
+    joined = manifest.select("member", "sha256").join(held, "member", "left")
+    return expect(joined, F.sha2("content", 256) == F.col("sha256"), "a member is missing or its digest differs from the manifest").select("member", "content")
+
+
+def gather_rows(arrays: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``read_arrays`` at the positions in ``wanted`` (row, ...): an equality join, wherever the rows are."""
+    return wanted.join(arrays.select("row", "v"), "row")
+
+
+def read_jsonl_until(spark: SparkSession, paths: Sequence[str], schema: str, wanted: DataFrame, key: str = "id") -> DataFrame:
+    """The wanted rows of files that are read in turn, until all are found; later files are not opened."""
+    missing, found = wanted.select(key).distinct(), None
+    for path in paths:
+        rows = spark.read.schema(schema).json(path).join(missing, key, "left_semi")
+        found = rows if found is None else found.unionByName(rows)
+        missing = materialize(missing.join(rows.select(key), key, "left_anti"), "missing")
+        if missing.isEmpty():
+            return found
+    raise ContractError(f"a wanted {key} is in none of {len(paths)} files")
+
+
 def text_schema(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from collatrix.functions.scalar import formula_guard
+from collatrix.operators.ranking import in_order
 from collatrix.sources.files import MARK
 
 
@@ -73,6 +77,43 @@ def receipt(spark, path: str) -> DataFrame:
 
 
 def write_document(df: DataFrame, path: str, version: int = 1) -> None:
-    """All rows as the items of one JSON document with a version; the committer makes it appear at once. For small results."""
-    items = df.agg(F.collect_list(F.struct("*")).alias("items"))
-    items.select(F.lit(version).alias("schema_version"), "items").coalesce(1).write.mode("overwrite").json(path)
+    """All rows as the items of one JSON document with a version; the committer makes it appear at once.
+
+    A document is one file, so one task writes it, row by row: nothing is gathered.
+    """
+
+    def lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = True
+        yield pd.DataFrame({"value": [f'{{"schema_version":{version},"items":[']})
+        for batch in batches:
+            for at in batch["value"]:
+                yield pd.DataFrame({"value": [at if first else "," + at]})
+                first = False
+        yield pd.DataFrame({"value": ["]}"]})
+
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).coalesce(1)
+    rows.mapInPandas(lines, "value string").write.mode("overwrite").text(path)
+
+
+def npy_files(df: DataFrame, column: str, order: str, rows_per_file: int = 100_000) -> DataFrame:
+    """(name, content) of ``.npy`` matrices of the vectors in ``column``, in order, so many rows a file; names sort like the rows."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        np.save(out, np.stack(pdf.sort_values("_n")["_v"].to_numpy()).astype(np.float32))
+        return pd.DataFrame({"name": [f"part-{int(pdf['_file'].iloc[0]):06d}.npy"], "content": [out.getvalue()]})
+
+    numbered = in_order(df.select(F.col(column).alias("_v"), F.col(order).alias("_o")), ["_o"], rank="_n")
+    dealt = numbered.select("_v", "_n", F.floor((F.col("_n") - 1) / rows_per_file).alias("_file"))
+    return dealt.groupBy("_file").applyInPandas(pack, "name string, content binary")
+
+
+def save_files(files: DataFrame, folder: str) -> None:
+    """Write (name, content) as files of a folder, on whatever file system it is; one file at a time passes through the driver."""
+    spark = files.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in files.select("name", "content").toLocalIterator():
+        place = jvm.org.apache.hadoop.fs.Path(f"{folder}/{r['name']}")
+        out = place.getFileSystem(conf).create(place, True)
+        out.write(bytes(r["content"]))
+        out.close()

@@ -44,3 +44,21 @@ def test_written_intermediates_can_be_dropped(spark):
     assert os.path.isdir(place)
     assert session.drop_materialized(spark) == 1
     assert not os.path.isdir(place)
+
+
+def test_golden_values_are_verified(spark):
+    golden = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", float("nan")), ("d", None), ("e", 5.0)], "k string, v double")
+    found = spark.createDataFrame([("a", 1.0 + 1e-13), ("b", 2.1), ("c", float("nan")), ("d", 1.0), ("f", 1.0)], "k string, v double")
+    got = {r["k"]: r["verdict"] for r in C.reverify(golden, found, ["k"], "v", 1e-12).collect()}
+    assert got == {"a": "same", "b": "differs", "c": "same", "d": "differs", "e": "missing", "f": "unexpected"}
+
+
+def test_values_of_a_list_and_columns_by_prefix(spark):
+    df = spark.createDataFrame([(1, "x", 2), (2, "y", None)], "id int, kind string, score_a int")
+    assert C.expect_one_of(df, "kind", ["x", "y"]).count() == 2
+    for bad in ("x", "z"):
+        with pytest.raises(Exception, match="kind is one of"):
+            C.expect_one_of(df.unionByName(spark.createDataFrame([(3, None, 1)], df.schema)), "kind", [bad, "x"]).collect()
+    assert sorted((r["id"], r["name"], r["value"]) for r in C.prefixed(df, ["id"], "score_").collect()) == [(1, "a", 2.0), (2, "a", None)]
+    fresh = spark.createDataFrame([(1, 7), (2, 8)], "id int, score_a int")
+    assert sorted(map(tuple, C.drop_and_replace(df, ["score_a"], fresh, ["id"]).collect())) == [(1, "x", 7), (2, "y", 8)]

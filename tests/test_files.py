@@ -1,10 +1,12 @@
 import gzip
+import hashlib
 import io
 import json
 import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from collatrix.operators.contracts import ContractError
 from collatrix.sources import files, sinks
@@ -79,3 +81,42 @@ def test_documents_and_receipts(spark, tmp_path):
     rows = sinks.receipt(spark, str(tmp_path / "c")).collect()
     assert sum(r["bytes"] for r in rows) == sum(p.stat().st_size for p in (tmp_path / "c").glob("part-*"))
     assert all(len(r["sha256"]) == 64 for r in rows)
+
+
+def test_jsonl_in_turn_until_all_are_found(spark, tmp_path):
+    for n in range(3):
+        (tmp_path / f"{n}.jsonl").write_text("\n".join(json.dumps({"id": 10 * n + i, "v": i}) for i in range(4)))
+    paths = [str(tmp_path / f"{n}.jsonl") for n in range(3)] + ["/no/such/file"]
+    wanted = spark.createDataFrame([(2,), (11,)], "id long")
+    assert sorted(r["id"] for r in files.read_jsonl_until(spark, paths, "id long, v int", wanted).collect()) == [2, 11]
+    with pytest.raises(ContractError):
+        files.read_jsonl_until(spark, paths[:3], "id long, v int", spark.createDataFrame([(99,)], "id long"))
+
+
+def test_zip_members_by_manifest(spark, tmp_path):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("a.txt", b"a")
+        z.writestr("b.txt", b"b")
+    (tmp_path / "z.zip").write_bytes(data.getvalue())
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    read = lambda rows: files.read_zip_members(spark, str(tmp_path / "z.zip"), spark.createDataFrame(rows, "member string, sha256 string")).collect()
+    assert [(r["member"], bytes(r["content"])) for r in read([("b.txt", digest(b"b"))])] == [("b.txt", b"b")]
+    for bad in ([("b.txt", digest(b"a"))], [("c.txt", digest(b"b"))]):
+        with pytest.raises(Exception, match="missing or its digest"):
+            read(bad)
+
+
+def test_documents_and_arrays_come_back(spark, tmp_path):
+    df = spark.createDataFrame([(i, None if i % 3 else f"n\"{i}\n") for i in range(50)], "id long, name string").repartition(4)
+    for rows in (df, df.limit(0)):
+        sinks.write_document(rows, str(tmp_path / "doc"), version=3)
+        found = files.read_document(spark, str(tmp_path / "doc"), "schema_version int, items array<struct<id: long, name: string>>", 3)
+        assert sorted(map(str, found.select(F.inline("items")).collect())) == sorted(map(str, rows.collect()))
+    bank = spark.createDataFrame([(100 - i, [float(i), 0.5]) for i in range(25)], "id long, v array<double>").repartition(3)
+    sinks.save_files(sinks.npy_files(bank, "v", "id", rows_per_file=10), str(tmp_path / "npy"))
+    names = sorted(p.name for p in (tmp_path / "npy").glob("*.npy"))
+    assert names == ["part-000000.npy", "part-000001.npy", "part-000002.npy"]
+    assert np.concatenate([np.load(tmp_path / "npy" / n) for n in names])[:, 0].tolist() == [float(i) for i in range(24, -1, -1)]
+    got = files.gather_rows(files.read_arrays(spark, str(tmp_path / "npy" / names[0])), spark.createDataFrame([(3,), (5,)], "row long"))
+    assert {r["row"]: r["v"] for r in got.collect()} == {3: [21.0, 0.5], 5: [19.0, 0.5]}

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from collatrix.operators import contracts, coverage, dossier, evaluate, graph, groupstats, ingest, ranking, regions, sessions, vectors
+from collatrix.operators import audits, contracts, coverage, dossier, evaluate, graph, groupstats, ingest, ranking, regions, sessions, vectors
 
 
 def incidence(spark, photos):
@@ -291,3 +291,44 @@ def test_communities_are_connected_and_no_single_move_gains(spark, seed):
         for v in label:
             for to in {label[u] for u in near[v]}:
                 assert plain_quality(rows, label | {v: to}, resolution) <= best + 1e-9
+
+
+def test_hashes_within_a_few_bits_hang_together(spark):
+    rng = random.Random(8)
+    rows, base = [], [rng.getrandbits(64) for _ in range(12)]
+    for i in range(150):
+        h = rng.choice(base)
+        for _ in range(rng.choice([0, 1, 2, 4, 7])):
+            h ^= 1 << rng.randrange(64)
+        rows.append((i, h - (1 << 64) if h >> 63 else h))
+    got = {r["id"]: r["group"] for r in graph.hash_groups(spark.createDataFrame(rows, "id long, h long"), "id", "h").collect()}
+    group = {i: i for i, _ in rows}
+    changed = True
+    while changed:
+        changed = False
+        for (i, x), (j, y) in itertools.combinations(rows, 2):
+            if bin((x ^ y) & (1 << 64) - 1).count("1") <= 5 and group[i] != group[j]:
+                group[i] = group[j] = min(group[i], group[j])
+                changed = True
+    assert got == group
+
+
+def test_audit_selections(spark):
+    rows = [("f", "p1", "edge", 1), ("f", "p1", "medoid", 2), ("f", "p2", "other", 3), ("f", "p3", "edge", 4), ("f", "p4", "other", 5), ("g", "p1", "other", 6)]
+    df = spark.createDataFrame(rows, "family string, parent string, role string, id int")
+    got = audits.role_examples(df, "family", "parent", "role", "id", ["medoid", "edge"], 3).collect()
+    assert sorted((r["family"], r["nth"], r["id"]) for r in got) == [("f", 1, 2), ("f", 2, 4), ("f", 3, 3), ("g", 1, 6)]
+    held = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("b", 3)], "photo string, family int")
+    added = spark.createDataFrame([("a", 2), ("a", 9), ("b", 9)], "photo string, family int")
+    assert sorted(map(tuple, audits.contributing(held, added, "photo", "family").select("photo", "family").collect())) == [("a", 2), ("b", 1), ("b", 3)]
+    first = spark.createDataFrame([(1, True, False), (2, True, True), (3, False, False)], "q int, is_visible boolean, is_correct boolean")
+    top = spark.createDataFrame([(q, r) for q in (1, 2, 3) for r in (1, 2)], "q int, rank int")
+    assert sorted(map(tuple, audits.recovered(first, top, "q").collect())) == [(1, 1), (1, 2)]
+    families = spark.createDataFrame([("a", 2, 0.5), ("b", 2, 0.9), ("c", 3, None), ("d", 2, None), ("e", 2, 0.5)], "f string, parents int, sim double")
+    order = lambda df: [r["f"] for r in df.orderBy("position").collect()]
+    assert order(audits.family_order(families, "f", "parents", "sim")) == ["c", "b", "a", "e", "d"]
+    ranking = spark.createDataFrame([("d", 1, 1), ("a", 2, 0), ("c", 3, 1)], "f string, position int, priority int")
+    assert order(audits.family_order(families, "f", "parents", "sim", ranking)) == ["d", "c"]
+    with pytest.raises(ValueError, match="does not have 3"):
+        audits.audit_rows(top.withColumn("arm", F.lit("x")), "arm", "x", first, ["q"], expected=3)
+    assert audits.audit_rows(top.withColumn("arm", F.lit("x")), "arm", "x", first, ["q"], expected=6).count() == 6

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
-from collatrix.operators import graph, groupstats, models
+from collatrix.operators import evaluate, graph, groupstats, models
 from collatrix.operators.contracts import ContractError
 from collatrix.operators.review import ReviewSessions, policy_weight
 from collatrix.sources import files, sinks
@@ -75,9 +75,15 @@ def test_cross_validation_and_pairs(spark):
     assert ranked[0][1] > 0.7
     model = models.pair_classifier(df, ["x", "z"], "y")
     assert model.coefficients[0] > 0.5
-    null = models.permutation_null(rng.normal(size=(40, 3)), rng.normal(size=(40, 2)), rng.normal(size=(20, 3)), rng.normal(size=(20, 2)), 1.0, 10)
-    assert abs(null.mean()) < 0.5
-    ci = models.bootstrap_mean(df, "x", "y", 200).collect()
+    ci = models.bootstrap_mean(df, "x", "y", "id", 200).collect()
+    means = {r["y"]: r["mean"] for r in ci}
+    assert means == {k: pytest.approx(np.mean([r[2] for r in rows if r[5] == k])) for k in (0, 1)}
+    weights = {r["id"]: w for r, w in zip(df.select("id", F.xxhash64("id").alias("h")).collect(), evaluate.draw_weights(np.array([r["h"] for r in df.select(F.xxhash64("id").alias("h")).collect()]), 200, 0), strict=True)}
+    for r in ci:
+        own = [x for x in rows if x[5] == r["y"]]
+        w = np.stack([weights[x[0]] for x in own])
+        plain = np.array([x[2] for x in own]) @ w / w.sum(axis=0)
+        assert (r["low"], r["high"]) == (pytest.approx(np.quantile(plain, 0.025)), pytest.approx(np.quantile(plain, 0.975)))
     assert all(r["low"] <= r["mean"] <= r["high"] for r in ci)
 
 
@@ -111,3 +117,20 @@ def test_exemplars_and_samples(spark):
     assert len(picked) <= 8
     assert {r["id"] for r in picked if r["kind"] == "core"} == {16, 17, 18, 19}
     assert {r["id"] for r in picked if r["kind"] == "edge"} == {0, 1, 2}
+
+
+def test_permutation_null_equals_plain_regression(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=(60, 2))
+    df = spark.createDataFrame([(i, x[i].tolist(), y[i].tolist()) for i in range(60)], "id long, x array<double>, y array<double>")
+    train, test = df.where("id < 40"), df.where("id >= 40")
+    null = models.permutation_null(train, test, "x", "y", "id", 1.0, draws=2, seed=3)
+    for draw, got in enumerate(null):
+        dealt = {r["id"]: r["y"] for r in models.permuted(train, "y", "id", 3 + draw).collect()}
+        assert sorted(map(tuple, dealt.values())) == sorted(map(tuple, y[:40].tolist()))
+        own = np.array([dealt[i] for i in range(40)])
+        assert (own != y[:40]).any()
+        w = evaluate.ridge(x[:40], own, 1.0)
+        guess = x[40:] @ w[:-1] + w[-1]
+        cosines = (guess * y[40:]).sum(axis=1) / (np.linalg.norm(guess, axis=1) * np.linalg.norm(y[40:], axis=1))
+        assert got == pytest.approx(cosines.mean())
