@@ -18,7 +18,7 @@ All pairs of a family are compared while it has ``FAMILY_BLOCKS`` blocks of ``BL
 each text is compared with one head that shares a band with it, ``HEAD_ROUNDS`` times, which
 unites most of a group of copies by one comparison per text and round. Then only
 texts that share a band and are not united yet are compared: those outside a band's largest
-united group with all others of the band, in blocks, so that no pair that shares a band is left out.
+united group with all others of the band (or of the family, where that is less to deal), in blocks, so that no pair that shares a band is left out.
 
 Defined cases: words are runs of non-space with A-Z lower-cased; fewer than five
 words are one shingle; null texts and texts without words are equal texts; of a
@@ -321,7 +321,7 @@ def is_hot(count: Column, n: int) -> Column:
 
 
 def join_spread(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFrame:
-    """Inner join on a key that all of ``left`` has in ``right`` (key, n_rows, ...): hot keys, at most 1 / HOT_SHARE of them, are broadcast and leave the shuffle."""
+    """Inner join with ``right`` (key, n_rows, ...), whose keys are unique: hot keys, at most 1 / HOT_SHARE of them, are broadcast and leave the shuffle."""
     own = [c for c in right.columns if c not in (key, "n_rows")]
     sides = [right.where(c).select(F.col(key).alias(f"key_{i}"), F.struct(*own).alias(f"x_{i}")) for i, c in enumerate((is_hot(F.col("n_rows"), n), ~is_hot(F.col("n_rows"), n)))]
     out = left.join(F.broadcast(sides[0]), F.col(key) == F.col("key_0"), "left")
@@ -329,11 +329,11 @@ def join_spread(left: DataFrame, right: DataFrame, key: str, n: int) -> DataFram
     spread = F.when(F.col("x_0").isNull(), F.struct(F.col(key).alias("k"), F.lit(0).cast("long").alias("s"))).otherwise(F.struct(F.lit(None).cast(left.schema[key].dataType).alias("k"), F.xxhash64("row").alias("s")))
     other = sides[1].withColumn("spread_1", F.struct(F.col("key_1").alias("k"), F.lit(0).cast("long").alias("s")))
     out = out.withColumn("spread_0", spread).join(other, F.col("spread_0") == F.col("spread_1"), "left")
-    return out.select(*[left[c] for c in left.columns], F.coalesce("x_0", "x_1").alias("x")).select(*left.columns, "x.*")
+    return out.select(*[left[c] for c in left.columns], F.coalesce("x_0", "x_1").alias("x")).where("x IS NOT NULL").select(*left.columns, "x.*")
 
 
 def united(banded: DataFrame, links: DataFrame | None) -> DataFrame:
-    """``banded`` (row, band) with the row's group by the links found so far."""
+    """``banded`` (row, band, family) with the row's group by the links found so far."""
     if links is None:
         return banded.withColumn("root", F.col("row"))
     labels = components(links)
@@ -344,7 +344,7 @@ def head_links(grouped: DataFrame, filled: DataFrame, seed: int, n: int) -> Data
     """Links of rows to a head each: of the heads that share a band with a row and are of another group, that of the least hash."""
     order = F.struct(F.xxhash64("row", F.lit(seed)).alias("h"), F.col("row").alias("head"), F.col("root").alias("head_root"))
     heads = grouped.groupBy("band").agg(F.min(order).alias("x"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n_rows")).where("lo <> hi")
-    chosen = grouped.join(heads.select("band", "x"), "band").where(F.col("root") != F.col("x.head_root")).groupBy("row").agg(F.min("x").alias("x")).select("row", "x.head")
+    chosen = join_spread(grouped, heads.select("band", "x", "n_rows"), "band", n).where(F.col("root") != F.col("x.head_root")).groupBy("row").agg(F.min("x").alias("x")).select("row", "x.head")
     chosen = materialize(chosen, "heads")
     counted = chosen.groupBy("head").agg(F.count("*").alias("m")).withColumn("salts", F.ceil(F.col("m") / HOT_ROWS).cast("int"))
     # A head with many rows is salted: its cells go to several tasks.
@@ -363,15 +363,37 @@ def head_links(grouped: DataFrame, filled: DataFrame, seed: int, n: int) -> Data
     return pairs.where(similar("sig", "cells", "head_sig", "head_cells")).select(F.col("row").alias("a"), F.col("head").alias("b"))
 
 
-def rest_links(grouped: DataFrame, filled: DataFrame) -> DataFrame:
-    """Links between texts that share a band and are of different groups: rows outside a band's largest group against all rows of the band, in blocks."""
+def deal(sizes: DataFrame) -> DataFrame:
+    """(unit, main, few, many, small, cost, n_rows) of units (unit, root, k): their largest group, blocks outside and inside it, and how many rows are dealt."""
+    own = sizes.groupBy("unit").agg(F.max(F.struct("k", "root")).alias("x"), F.sum("k").alias("n_rows"))
+    rest = F.col("n_rows") - F.col("x.k")
+    blocks = own.select("unit", F.col("x.root").alias("main"), F.ceil(rest / BLOCK_TEXTS).cast("int").alias("few"), F.ceil(F.col("x.k") / BLOCK_TEXTS).cast("int").alias("many"), "n_rows", F.col("x.k").alias("k"), rest.alias("rest"))
+    cost = F.when(F.col("n_rows") <= BLOCK_TEXTS, F.col("n_rows")).otherwise(F.col("k") * F.col("few") + F.col("rest") * (F.col("few") + F.col("many")))
+    return blocks.select("unit", "main", "few", "many", (F.col("n_rows") <= BLOCK_TEXTS).alias("small"), cost.alias("cost"), "n_rows")
+
+
+def rest_links(grouped: DataFrame, filled: DataFrame, n: int) -> DataFrame:
+    """Links between texts that share a band and are of different groups: rows outside the largest group of a unit against all its rows, in blocks.
+
+    A unit is a band, or a family where that deals fewer rows: in a group of copies most bands have the same rows.
+    """
     # Bands of the same rows are one.
-    marks = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("x")).where("lo <> hi")
-    kept = marks.groupBy("m", "x").agg(F.min("band").alias("band")).select("band")
-    rows = materialize(grouped.join(kept, "band"), "open_bands")
-    sizes = rows.groupBy("band", "root").agg(F.count("*").alias("k")).groupBy("band").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("m"))
-    sizes = sizes.select("band", F.col("main.root").alias("main"), F.ceil((F.col("m") - F.col("main.k")) / BLOCK_TEXTS).cast("int").alias("few"), F.ceil(F.col("main.k") / BLOCK_TEXTS).cast("int").alias("many"), "m")
-    dealt = rows.join(sizes, "band").withColumn("is_main", F.col("root") == F.col("main"))
+    marks = grouped.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n_rows"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("x")).where("lo <> hi")
+    kept = marks.groupBy("n_rows", "x").agg(F.min("band").alias("band")).select("band", F.lit(1).alias("one"), "n_rows")
+    rows = materialize(join_spread(grouped, kept, "band", n).drop("one"), "open_bands")
+    by_band = materialize(deal(rows.groupBy(F.col("band").alias("unit"), "root").agg(F.count("*").alias("k"))), "bands")
+    whole = rows.groupBy("family", "row", "root").agg(F.count("*").alias("bands")).drop("bands")
+    by_family = materialize(deal(whole.groupBy(F.col("family").alias("unit"), "root").agg(F.count("*").alias("k"))), "open_families")
+    family_of = rows.groupBy("band").agg(F.first("family").alias("family")).join(by_band.select(F.col("unit").alias("band"), "cost"), "band")
+    costs = family_of.groupBy("family").agg(F.sum("cost").alias("in_bands")).join(by_family.select(F.col("unit").alias("family"), "cost", "n_rows"), "family")
+    costs = costs.select("family", (F.col("cost") <= F.col("in_bands")).alias("as_one"), "n_rows")
+    # The rows of a family are as many in ``rows`` as its bands say.
+    as_one = join_spread(rows, costs, "family", n)
+    left = as_one.where(~F.col("as_one")).select(F.lit(0).alias("kind"), F.col("band").alias("unit"), "row", "root")
+    left = left.unionByName(as_one.where("as_one").select(F.lit(1).alias("kind"), F.col("family").alias("unit"), "row", "root").distinct())
+    sizes = by_band.withColumn("kind", F.lit(0)).unionByName(by_family.withColumn("kind", F.lit(1)))
+    named = lambda df: df.withColumn("unit", F.struct("kind", "unit")).drop("kind")
+    dealt = join_spread(named(left), named(sizes), "unit", n).withColumn("is_main", F.col("root") == F.col("main"))
     block = lambda c: F.pmod(F.xxhash64("row"), F.col(c)).cast("int")
     spots = lambda c, pair: F.transform(F.sequence(F.lit(0), F.col(c) - 1), pair)
     spot = lambda i, j: F.struct(i.alias("i"), j.alias("j"))
@@ -379,23 +401,23 @@ def rest_links(grouped: DataFrame, filled: DataFrame) -> DataFrame:
     own = block("few")
     few = F.array_distinct(F.concat(spots("few", lambda o: spot(F.least(own, o), F.greatest(own, o))), spots("many", lambda o: spot(-1 - o, own))))
     many = spots("few", lambda o: spot(-1 - block("many"), o))
-    small = F.col("m") <= BLOCK_TEXTS
-    where = F.when(small, F.array(spot(F.lit(0), F.lit(0)))).when(F.col("is_main"), many).otherwise(few)
-    bins = F.pmod(F.xxhash64("band"), F.lit(max(1, rows.count() // BLOCK_TEXTS)))
-    meet = dealt.select(F.col("band").alias("family"), "row", F.col("root").alias("side"), F.when(small, bins).otherwise(F.col("band")).alias("bin"), (~small).alias("large"), F.explode(where).alias("x"))
+    where = F.when(F.col("small"), F.array(spot(F.lit(0), F.lit(0)))).when(F.col("is_main"), many).otherwise(few)
+    bins = F.pmod(F.xxhash64("unit"), F.lit(max(1, n // BLOCK_TEXTS)))
+    name = F.xxhash64("unit")
+    meet = dealt.select(name.alias("family"), "row", F.col("root").alias("side"), F.when(F.col("small"), bins).otherwise(name).alias("bin"), (~F.col("small")).alias("large"), F.explode(where).alias("x"))
     groups = meet.join(filled.select("row", "sig", "cells"), "row").select("family", "row", "side", "bin", "large", "x.i", "x.j", "sig", "cells")
     return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links, "a long, b long")
 
 
 def links_of_large(filled: DataFrame, banded: DataFrame) -> DataFrame:
-    """Links inside families that are too large for all their pairs, from their rows (row, sig, cells) and (row, band)."""
-    filled = materialize(filled.select("row", "sig", "cells"), "large")
-    banded = materialize(banded.join(filled.select("row"), "row", "left_semi"), "large_bands")
+    """Links inside families that are too large for all their pairs, from their rows (row, family, sig, cells) and (row, band)."""
+    filled = materialize(filled.select("row", "family", "sig", "cells"), "large")
+    banded = materialize(banded.join(filled.select("row", "family"), "row"), "large_bands")
     n, links = filled.count(), None
     for seed in range(HEAD_ROUNDS):
         found = head_links(united(banded, links), filled, seed, n)
         links = materialize(found if links is None else links.unionByName(found), "head_links")
-    rest = rest_links(united(banded, links), filled)
+    rest = rest_links(united(banded, links), filled, n)
     return rest if links is None else links.unionByName(rest)
 
 
