@@ -237,8 +237,11 @@ def is_similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) ->
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def similar_links(rows: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, group: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A forest of the links between texts, by signatures, then exactly. With ``group``, only texts of different groups are compared."""
+def similar_links(rows: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, group: np.ndarray | None = None, united: bool = False) -> list[tuple[int, int]]:
+    """A forest of the links between texts, by signatures, then exactly.
+
+    With ``group``, only texts of different groups are compared; if groups are ``united``, a link ties whole groups, and further ones between them are not looked for.
+    """
     sizes = np.array([len(x) for x in sets], dtype=float)
     pairs = []
     for a in range(len(rows) - 1):
@@ -253,6 +256,10 @@ def similar_links(rows: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], si
     pairs = np.concatenate(pairs) if pairs else np.zeros((0, 3))
     pairs = pairs[np.argsort(pairs[:, 2], kind="stable")][:, :2].astype(int)
     forest, found = Forest(len(rows)), []
+    if united:
+        first: dict[int, int] = {}
+        for k, g in enumerate(group.tolist()):
+            forest.join(first.setdefault(g, k), k)
     for a, b in pairs.tolist():
         if forest.find(a) != forest.find(b) and is_similar(sets[a], sets[b], similarity):
             forest.join(a, b)
@@ -260,16 +267,27 @@ def similar_links(rows: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], si
     return found
 
 
-def family_links(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links of a task: families of a bin, or two blocks of a larger group; rows of the same ``side`` are not compared where it is not null."""
-    out = []
-    for _, own in pdf.groupby("family", sort=False):
-        own = own.drop_duplicates("row").sort_values("row")
-        sigs = np.frombuffer(b"".join(own["sig"]), dtype=np.uint32).reshape(len(own), COORDINATES)
-        sets = [np.frombuffer(x, dtype=_U) for x in own["cells"]]
-        side = None if own["side"].isna().any() else own["side"].to_numpy()
-        out += similar_links(own["row"].to_numpy(), sigs, sets, group=side)
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def family_links(united: bool):
+    """Links of a task: families of a bin, or two blocks of a larger group.
+
+    Rows of the same ``side`` are not compared where it is not null; if sides are ``united``, each is named by a row of it, and links are between these.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, own in pdf.groupby("family", sort=False):
+            own = own.drop_duplicates("row").sort_values("row")
+            sigs = np.frombuffer(b"".join(own["sig"]), dtype=np.uint32).reshape(len(own), COORDINATES)
+            sets = [np.frombuffer(x, dtype=_U) for x in own["cells"]]
+            side = None if own["side"].isna().any() else own["side"].to_numpy()
+            found = similar_links(own["row"].to_numpy(), sigs, sets, group=side, united=united)
+            if united:
+                name = dict(zip(own["row"].tolist(), own["side"].tolist(), strict=True))
+                found = [(name[a], name[b]) for a, b in found]
+            out += found
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return run
 
 
 def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str, repeated: bool) -> DataFrame:
@@ -313,7 +331,7 @@ def pairs_in_blocks(filled: DataFrame, n: int) -> DataFrame:
     bin_of = F.when(large, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, n // BLOCK_TEXTS))))
     side = F.when(F.col("i") == F.col("j"), none).otherwise(F.col("block").cast("long"))
     groups = meet.select("family", "row", "i", "j", "sig", "cells", side.alias("side"), large.alias("large"), bin_of.alias("bin"))
-    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links, "a long, b long")
+    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links(False), "a long, b long")
 
 
 def is_hot(count: Column, n: int) -> Column:
@@ -406,7 +424,7 @@ def rest_links(grouped: DataFrame, filled: DataFrame, n: int) -> DataFrame:
     name = F.xxhash64("unit")
     meet = dealt.select(name.alias("family"), "row", F.col("root").alias("side"), F.when(F.col("small"), bins).otherwise(name).alias("bin"), (~F.col("small")).alias("large"), F.explode(where).alias("x"))
     groups = meet.join(filled.select("row", "sig", "cells"), "row").select("family", "row", "side", "bin", "large", "x.i", "x.j", "sig", "cells")
-    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links, "a long, b long")
+    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links(True), "a long, b long").distinct()
 
 
 def links_of_large(filled: DataFrame, banded: DataFrame) -> DataFrame:
