@@ -184,24 +184,40 @@ def score(docs: DataFrame, model: SentenceModel | None, text: str = "text") -> D
     return docs.withColumn("score", of(F.col(text)))
 
 
-def locate(docs: DataFrame, model: SentenceModel, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
-    """The offending sentences: (key, start, end, sentence, score) of those that score ``least`` or more."""
+SPANS = "array<struct<start: int, end: int, sentence: string, score: double>>"
+
+
+def located(docs: DataFrame, model: SentenceModel | None, text: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` with a column ``sentences``: the offending ones (start, end, sentence, score), of ``least`` or more, in order. A text can score 0.5 by many mild sentences, none of which is offending by itself."""
+    if model is None:
+        return docs.withColumn("sentences", F.array().cast(SPANS))
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<struct<start: int, end: int, sentence: string, score: double>>")
+    @F.pandas_udf(SPANS)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([[(a, b, x[a:b], p) for a, b, p in shared.value.sentences(x) if p >= least] for x in batch])
+            yield pd.Series([[(a, b, x[a:b], p) for a, b, p in shared.value.sentences(x) if p >= least] if x else [] for x in batch])
 
-    found = docs.select(F.col(key).alias(key), F.explode(spans(F.col(text))).alias("x"))
-    return found.select(key, "x.*")
+    return docs.withColumn("sentences", spans(F.col(text)))
+
+
+def locate(docs: DataFrame, model: SentenceModel, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """The offending sentences: (key, start, end, sentence, score) of those that score ``least`` or more."""
+    found = located(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), model, least=least)
+    return found.select(F.col("key").alias(key), F.explode("sentences").alias("x")).select(key, "x.*")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    model = fit(docs, read(spark, sf_dir, "labels"))
+    scored = score(docs, model)
+    # Sentences are looked for in texts that are predicted toxic only: few, so the others are read once.
+    predicted = (F.col("score") >= 0.5).cast("int")
+    toxic = F.when(F.col("score") >= 0.5, F.col("text"))
+    found = located(scored.select("doc_id", "score", predicted.alias("predicted"), toxic.alias("text")), model)
+    offending = F.transform("sentences", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score")))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", offending.alias("sentences"))
 
 
 QUERIES = {"op5_toxicity": op5_toxicity}
