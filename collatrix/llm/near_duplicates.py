@@ -54,7 +54,7 @@ BLOCK_TEXTS, BLOCK_SHINGLES = 256, 200_000
 FAMILY_BLOCKS, HEAD_ROUNDS = 4, 2
 #: A key is hot with so many rows, and with this share of all rows: so there are few, which can be broadcast.
 HOT_ROWS, HOT_SHARE = 1000, 1e-4
-CACHE_MOST = 250_000
+CACHE_MOST = 100_000
 
 _U = np.uint64
 _WORDS: dict[bytes, int] = {}

@@ -58,7 +58,7 @@ GRAM = 24
 #: Strings per anchor's reach, and symbols of a string when its anchor is one.
 REACH = SPAN - GRAM + 1
 #: Bytes of text that a task cuts into blocks at a time, and least bytes per part that blocks are dealt to.
-CHUNK = 8 << 20
+CHUNK = 6 << 20
 PART = 4 << 20
 #: Symbols that one suffix array holds, unless one anchor has more.
 ARRAY = 10_000
