@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.store import documents, materialize, small_batches
+from collatrix.llm.store import documents, materialize, release_memory, released, small_batches
 from collatrix.operators.graph import connected_components as components
 
 SHINGLE = 5
@@ -203,6 +203,7 @@ def sign(docs: DataFrame, key: str, text: str) -> DataFrame:
                     "sig": [x.tobytes() for x in short],
                 }
             )
+        release_memory()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), text_hash(text).alias("text_hash"), of(F.col(text)).alias("x"))
     return rows.select("row", "key", "text_hash", "x.*")
@@ -298,6 +299,7 @@ def with_cells(members: DataFrame, docs: DataFrame, key: str, text: str, repeate
         for texts, ids in batches:
             hashed = [word_hashes(x) for x in texts]
             yield pd.Series([np.sort(unit_cells(shingles(h))).tobytes() if sequence_id(h) == bytes(i) else None for h, i in zip(hashed, ids, strict=True)])
+        release_memory()
 
     texts = docs.select(F.col(key).alias("text_key"), text_hash(text).alias("own_hash"), F.col(text).alias("text"))
     # By id and hash of the text, so that null ids, or an id with many texts, meet their own text only. Rows that repeat are combined before the shuffle.
@@ -331,7 +333,7 @@ def pairs_in_blocks(filled: DataFrame, n: int) -> DataFrame:
     bin_of = F.when(large, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(max(1, n // BLOCK_TEXTS))))
     side = F.when(F.col("i") == F.col("j"), none).otherwise(F.col("block").cast("long"))
     groups = meet.select("family", "row", "i", "j", "sig", "cells", side.alias("side"), large.alias("large"), bin_of.alias("bin"))
-    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links(False), "a long, b long")
+    return groups.groupBy("large", "bin", "i", "j").applyInPandas(released(family_links(False)), "a long, b long")
 
 
 def is_hot(count: Column, n: int) -> Column:
@@ -424,7 +426,7 @@ def rest_links(grouped: DataFrame, filled: DataFrame, n: int) -> DataFrame:
     name = F.xxhash64("unit")
     meet = dealt.select(name.alias("family"), "row", F.col("root").alias("side"), F.when(F.col("small"), bins).otherwise(name).alias("bin"), (~F.col("small")).alias("large"), F.explode(where).alias("x"))
     groups = meet.join(filled.select("row", "sig", "cells"), "row").select("family", "row", "side", "bin", "large", "x.i", "x.j", "sig", "cells")
-    return groups.groupBy("large", "bin", "i", "j").applyInPandas(family_links(True), "a long, b long").distinct()
+    return groups.groupBy("large", "bin", "i", "j").applyInPandas(released(family_links(True)), "a long, b long").distinct()
 
 
 def links_of_large(filled: DataFrame, banded: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from collatrix.llm.store import documents, first_by_hash, materialize, read, small_batches
+from collatrix.llm.store import documents, first_by_hash, materialize, read, release_memory, small_batches
 
 SPACE = b" \t\n\r\x0b\x0c"
 SYMBOLS = b"#*$%&|<>"
@@ -106,6 +106,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([statistics(x) for x in batch], columns=BASE + FEATURES)
+        release_memory()
 
     return docs.withColumn("stats", of(F.col(text)))
 
@@ -195,6 +196,7 @@ def with_score(measured: DataFrame, forest: IsolationForest) -> DataFrame:
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series(shared.value.score(batch[FEATURES].to_numpy(dtype=float)))
+        release_memory()
 
     return measured.withColumn("anomaly", score(F.col("stats")))
 

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ByteType, IntegerType, LongType, ShortType
 
-from collatrix.llm.store import documents, materialize, small_batches
+from collatrix.llm.store import documents, materialize, release_memory, released, released_each, small_batches
 from collatrix.llm.suffix_array import suffix_array
 from collatrix.operators.ranking import in_order
 
@@ -159,7 +159,7 @@ def hot_anchors(texts: DataFrame, sample: int = SAMPLE, least: int = SAMPLE_HOT)
                 yield pd.DataFrame({"anchor": np.unique(blocks(_encoded(text))[0]).view(np.int64)})
 
     some = texts.where(F.pmod(F.xxhash64("id", "text_hash"), F.lit(sample)) == 0).select("text")
-    often = some.mapInPandas(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    often = some.mapInPandas(released_each(run), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return np.sort(np.array([r["anchor"] for r in often.collect()], dtype=np.int64).view(_U))
 
 
@@ -542,14 +542,14 @@ def with_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", split:
     parts = max(1, math.ceil(total / max(PART, math.sqrt(total * 512.0))))
     long_enough = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= SPAN)).select("id", "text_hash", "text")
     hot = hot_anchors(long_enough, sample, sample_hot)
-    dealt = long_enough.mapInPandas(cut_chunks(parts, hot), DEALT)
-    settled = dealt.groupBy("part").applyInPandas(settle_part(split, hot), DEALT)
-    states = settled.groupBy("chunk").applyInPandas(settle_chunk, "id long, text_hash long, states binary, covered binary")
+    dealt = long_enough.mapInPandas(released_each(cut_chunks(parts, hot)), DEALT)
+    settled = dealt.groupBy("part").applyInPandas(released(settle_part(split, hot)), DEALT)
+    states = settled.groupBy("chunk").applyInPandas(released(settle_chunk), "id long, text_hash long, states binary, covered binary")
     # Rows that repeat have a state each, of which any will do.
     states = materialize(states.groupBy("id", "text_hash").agg(F.max_by(F.struct("states", "covered"), F.struct("states", "covered")).alias("x")).select("id", "text_hash", "x.*"), "blocks")
     # Both joins read the same columns of ``rows``, so that its exchange is made once and used again.
-    opened = rows.join(states, ["id", "text_hash"]).select("id", "text_hash", "key", "text", "doc", "states", "covered").mapInPandas(open_blocks(parts, parts, hot), FOUND)
-    spans = opened.groupBy("bin").applyInPandas(settle_bin(ARRAY), "id long, text_hash long, spans binary")
+    opened = rows.join(states, ["id", "text_hash"]).select("id", "text_hash", "key", "text", "doc", "states", "covered").mapInPandas(released_each(open_blocks(parts, parts, hot)), FOUND)
+    spans = opened.groupBy("bin").applyInPandas(released(settle_bin(ARRAY)), "id long, text_hash long, spans binary")
     spans = spans.groupBy("id", "text_hash").agg(F.collect_list("spans").alias("spans"))
     return rows.join(spans, ["id", "text_hash"], "left").select("doc", F.col("key").alias("id"), "text", "spans")
 
@@ -579,6 +579,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", **l
                 spans, kept = remove(body, b)
                 out.append((len(body), len(body) - len(kept), [tuple(s) for s in spans.tolist()], kept))
             yield pd.DataFrame(out, columns=["n_bytes", "n_removed", "removed", "kept"])
+        release_memory()
 
     found = with_spans(docs.select(key, text), key, text, **limits)
     return found.select(F.col("id").alias(key), of(F.col("text"), F.col("spans")).alias("x")).select(key, "x.*")
@@ -594,6 +595,7 @@ def cut_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for texts, blobs in batches:
             yield pd.Series([x if b is None else remove(_encoded(x), b)[1].decode("utf-8", "ignore") for x, b in zip(texts, blobs, strict=True)], dtype=object)
+        release_memory()
 
     rest = with_spans(docs, key, text).select("doc", "spans", F.col("text").alias("before"), of(F.col("text"), F.col("spans")).alias("after"))
     rest = rest.where(F.col("spans").isNull() | (F.col("after") != ""))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from collatrix.session import materialize, shared_dir
 
-__all__ = ["count_words", "first_by_hash", "documents", "materialize", "read", "shared_dir", "small_batches"]
+__all__ = ["count_words", "first_by_hash", "documents", "materialize", "read", "release_memory", "released", "released_each", "shared_dir", "small_batches"]
 
 #: A word is a run of anything but ASCII white space.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -21,6 +27,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
+def release_memory() -> None:
+    """Give what was freed back to the system: Python workers stay for a while after a task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(f: Callable[[pd.DataFrame], pd.DataFrame]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A function of a group that gives its memory back."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = f(pdf)
+        release_memory()
+        return out
+
+    return run
+
+
+def released_each(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives its memory back after the last one."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        release_memory()
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Arrow batches of few rows: a batch of very long texts must still fit in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
