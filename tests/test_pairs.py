@@ -61,7 +61,7 @@ def test_no_items(spark):
     assert pairs.pair_sims(spark.createDataFrame([], ITEMS)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["average_rank_pairs", "consensus_pair_selection"])
+@pytest.mark.parametrize("name", ["average_rank_pairs", "consensus_pair_selection", "pair_features"])
 def test_no_row_per_pair_in_joins_and_windows(spark, name):
     plan = registry.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "zip_with" not in plan and "lambdafunction" not in plan
