@@ -6,7 +6,7 @@ import pytest
 from collatrix.operators import graph, vectors
 
 
-@pytest.mark.parametrize("of", [graph.communities])
+@pytest.mark.parametrize("of", [graph.communities, graph.sensitivity])
 def test_edges_are_worked_out_once(spark, of):
     seen = spark.sparkContext.accumulator(0)
 
