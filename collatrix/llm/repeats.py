@@ -11,10 +11,11 @@ reach, so the work is cut such that equal strings always meet:
 2. Blocks are dealt by anchor, as hashes; equal blocks are combined before, so a
    passage that is in a third of all documents is one row per chunk. A block
    that a smaller id has is covered whole. If an anchor has a single block,
-   it is done; otherwise one copy of each of its blocks goes on.
+   it is done; otherwise each of its blocks goes on, as often as the least id has it.
 3. The bytes of those blocks are dealt by anchor again, the anchor itself written as
    one symbol, and a suffix array orders them. Strings that are equal to
    their neighbours form runs; those not of the run's least id are covered.
+   Of equal blocks one is in the array, and what is found in it goes from every copy.
    Which strings start in the same document only is found by hashes before, and
    blocks without any other are left out of the array: no other block can hold an equal string.
 
@@ -418,26 +419,13 @@ def may_repeat(anchors: np.ndarray, ids: np.ndarray, places: np.ndarray, offset:
     return out
 
 
-def combine(ids: np.ndarray, anchors: np.ndarray, places: np.ndarray, offset: np.ndarray, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which blocks stay, one of the least id for each different one, and which a smaller id has byte by byte."""
-    data, first, least = body.tobytes(), {}, ids.copy()
-    stays = np.ones(len(ids), dtype=bool)
+def combine(ids: np.ndarray, anchors: np.ndarray, places: np.ndarray, offset: np.ndarray, body: np.ndarray) -> np.ndarray:
+    """For each block the one that stands for it: of those that are equal byte by byte, the first of the least id."""
+    data, kinds = body.tobytes(), {}
     spots = zip(anchors.tolist(), places[:, 1].tolist(), offset.tolist(), (offset + places[:, 2] + REACH - 2).tolist(), strict=True)
-    for k, (anchor, place, a, z) in enumerate(spots):
-        head = first.setdefault((anchor, place, data[a:z]), k)
-        if head != k:
-            stays[k] = False
-            least[head] = min(least[head], ids[k])
-            least[k] = -1 - head
-    same = np.flatnonzero(~stays)
-    heads = -1 - least[same]
-    covered = ids > least
-    covered[same] = ids[same] > least[heads]
-    # The copy that stays must be of the least id.
-    for k, head in zip(same.tolist(), heads.tolist(), strict=True):
-        if stays[head] and ids[head] > least[head] and ids[k] == least[head]:
-            stays[head], stays[k] = False, True
-    return stays, covered
+    kind = np.array([kinds.setdefault((anchor, place, data[a:z]), len(kinds)) for anchor, place, a, z in spots], dtype=np.int64)
+    order = np.lexsort((ids, kind))
+    return order[np.flatnonzero(np.r_[True, kind[order][1:] != kind[order][:-1]])][kind]
 
 
 def settle_bin(most: int):
@@ -456,19 +444,28 @@ def settle_bin(most: int):
         length = places[:, 2] + REACH - 1
         offset = np.cumsum(length - 1) - (length - 1)
         out = []
-        stays, covered = combine(ids, anchors, places, offset, body)
+        head = combine(ids, anchors, places, offset, body)
+        covered = ids > ids[head]
         if covered.any():
             begin = places[covered, 0]
             out.append(np.stack([ids[covered], texts[covered], begin, begin + places[covered, 2] + SPAN - 1], axis=1))
-        fine = may_repeat(anchors, ids, places, offset, body) & stays
-        ids, texts, anchors, places, length, offset = (x[fine] for x in (ids, texts, anchors, places, length, offset))
-        order = np.argsort(anchors, kind="stable")
+        # One copy of a block goes into the array; what is found in it holds for every copy of its id.
+        copies = np.flatnonzero(~covered)
+        copies = copies[np.argsort(head[copies], kind="stable")]
+        copied = head[copies]
+        fine = np.flatnonzero(may_repeat(anchors, ids, places, offset, body) & (head == np.arange(len(head))))
+        order = fine[np.argsort(anchors[fine], kind="stable")]
         for own in arrays_of(order, anchors, length, most):
-            found = array_strings(own, ids, anchors, places, length, offset, body)
-            if len(found[0]):
-                block, nth = found
-                begin = places[block, 0] + nth
-                out.append(np.stack([ids[block], texts[block], begin, begin + SPAN], axis=1))
+            block, nth = array_strings(own, ids, anchors, places, length, offset, body)
+            if len(block):
+                # Strings of one block overlap, so those from its first to its last are one interval.
+                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                first, last = nth[start], nth[np.r_[start[1:], len(nth)] - 1]
+                at, stop = (np.searchsorted(copied, block[start], side=x) for x in ("left", "right"))
+                each = stop - at
+                copy = copies[np.repeat(at, each) + _ramp(each)]
+                begin, end = (places[copy, 0] + np.repeat(x, each) for x in (first, last + SPAN))
+                out.append(np.stack([ids[copy], texts[copy], begin, end], axis=1))
         rows = []
         if out:
             found = np.concatenate(out)

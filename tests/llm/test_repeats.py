@@ -112,6 +112,34 @@ def test_a_hot_anchor_is_split(spark):
         assert got == {k: (v[1], v[3]) for k, v in repeats(rows).items()}
 
 
+@pytest.mark.parametrize("limits", [{}, {"split": 1}])
+def test_passages_that_a_document_has_twice(spark, limits):
+    """An earlier document has a part of the passage: it goes from every copy."""
+    rng = random.Random(9)
+    say = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    rows = []
+    for i in range(40):
+        passage = say(160)
+        rows.append((i, say(20) + passage[: 60 + 2 * i] + say(20)))
+        rows.append((100 + i, passage + say(30) + passage + passage))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_removed"], len(r["removed"]), hashlib.sha256(r["kept"]).hexdigest()) for r in R.remove_repeats(df, **limits).collect()}
+    assert got == {k: v[1:4] for k, v in repeats(rows).items()}
+
+
+def test_a_passage_in_two_texts_of_an_id(spark):
+    rng = random.Random(3)
+    say = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    rows, want = [], []
+    for i in range(20):
+        passage, n = say(160), 60 + 4 * i
+        rows += [(i, "0" + passage[:n] + "0"), (100 + i, "1" + passage + "1"), (100 + i, "22" + passage + "2")]
+        want += [(i, n + 2, 0), (100 + i, 162, n), (100 + i, 163, n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in R.remove_repeats(df).collect()]
+    assert sorted(got) == sorted(want)
+
+
 def test_very_many_equal_rows_of_an_id(spark):
     text = "some words that are long enough to be a span of fifty bytes, surely"
     rows = [(7, text)] * 3000 + [(8, "and " + text)] * 3
